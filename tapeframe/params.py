@@ -47,5 +47,6 @@ class Strategy:
 
 ACTIVE = Strategy()
 
-# The driver's tables trade about 6e4 a session, so the liquidity floor is scaled to them.
-ON_FIXTURES = ACTIVE.with_(minimum_trading_value=5e4)
+# The driver's tables trade about 6e4 a session, so the liquidity floor is scaled to them,
+# and few tickers qualify on one day, so the number of slots is too.
+ON_FIXTURES = ACTIVE.with_(minimum_trading_value=5e4, max_positions=3)

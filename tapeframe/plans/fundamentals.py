@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tapeframe.operators import fundamentals as fa
 from tapeframe.operators.ranking import first_per_key, grouped_median
 from tapeframe.params import ON_FIXTURES
-from tapeframe.plans.registry import query, view
+from tapeframe.plans.registry import query, rounded, sql_round, view
 from tapeframe.sources.driver import Market
 
 # Current ratios per ticker: the provider's P/E for every third ticker, its P/B for every fourth.
@@ -137,14 +137,6 @@ view("fx_fa_basis", sql_scored("fx_metrics_basis"))
 view("fx_fa_reports", sql_scored("fx_metrics_reports"))
 
 
-def sql_round(names, digits) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
-
-
-def rounded(names, digits):
-    return [F.round(n, digits).alias(n) for n in names]
-
-
 def display_fa(market: Market) -> DataFrame:
     return fa.build_fa(market.companies, market.fin_wide, ON_FIXTURES, snapshot(market))
 
@@ -236,7 +228,7 @@ def restricted_status(spark, folder):
 
 
 @query("sector_relative_value", """
-SELECT ticker, sector, round(pe, 6) AS pe, round(sector_relative_value, 6) AS sector_relative_value FROM fx_metrics
+SELECT ticker, sector, round(pe + 1e-9, 6) AS pe, round(sector_relative_value + 1e-9, 6) AS sector_relative_value FROM fx_metrics
 """)
 def sector_relative_value(spark, folder):
     return display_fa(Market(spark, folder)).select(
@@ -261,8 +253,8 @@ ASOF LEFT JOIN fx_panel e ON e.ticker = b.ticker AND b.date >= e.effective_date
 
 
 @query("fa_panel", """
-SELECT ticker, cutoff, effective_date, round(fa_score, 6) AS fa_score, round(fa_coverage, 6) AS fa_coverage,
-       round(effective_fa, 6) AS effective_fa, fa_eligible, reason AS hard_reject_reason FROM fx_panel
+SELECT ticker, cutoff, effective_date, round(fa_score + 1e-9, 6) AS fa_score, round(fa_coverage + 1e-9, 6) AS fa_coverage,
+       round(effective_fa + 1e-9, 6) AS effective_fa, fa_eligible, reason AS hard_reject_reason FROM fx_panel
 """)
 def fa_panel(spark, folder):
     market = Market(spark, folder)
@@ -289,12 +281,12 @@ def theta_report_cutoff(spark, folder):
         F.max(F.when(F.col("n") > 0, F.col("cutoff"))).over(upto).alias("newest"))
 
 
-@query("asof_fa", "SELECT ticker, date, round(effective_fa, 6) AS effective_fa, fa_eligible FROM fx_asof_fa")
+@query("asof_fa", "SELECT ticker, date, round(effective_fa + 1e-9, 6) AS effective_fa, fa_eligible FROM fx_asof_fa")
 def asof_fa(spark, folder):
     market = Market(spark, folder)
     panel = fa.fa_panel(market.companies, market.fin_wide, ON_FIXTURES)
     out = fa.asof_fa(panel, market.bars.select("ticker", "date"))
-    return out.select("ticker", "date", F.round("effective_fa", 6).alias("effective_fa"), "fa_eligible")
+    return out.select("ticker", "date", *rounded(["effective_fa"], 6), "fa_eligible")
 
 
 def peer_values(market: Market) -> DataFrame:
@@ -353,7 +345,7 @@ def peer_median_pe(spark, folder):
 
 
 @query("pe_vs_peers", """
-SELECT p.ticker, round(v.own_pe, 6) AS own_pe, round(p.median_pe, 6) AS median_pe,
+SELECT p.ticker, round(v.own_pe + 1e-9, 6) AS own_pe, round(p.median_pe + 1e-9, 6) AS median_pe,
        round(v.own_pe / nullif(p.median_pe, 0) - 1, 6) AS difference
 FROM fx_peers p LEFT JOIN fx_peer_values v ON v.ticker = p.ticker
 """)

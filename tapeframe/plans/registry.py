@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -50,3 +51,16 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
         return fn
 
     return register
+
+
+# Scores sit on short decimal fractions, where the two engines round an exact half
+# differently.  Both sides are moved off the half by the same tiny amount.
+NUDGE = 1e-9
+
+
+def sql_round(names, digits: int) -> str:
+    return ", ".join(f"round({n} + {NUDGE}, {digits}) AS {n}" for n in names)
+
+
+def rounded(names, digits: int):
+    return [F.round(F.col(n) + NUDGE, digits).alias(n) for n in names]
