@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "windows", "fundamentals", "signals")
+MODULES = ("views", "windows", "fundamentals", "signals", "cleaning")
 
 
 def load_all() -> None:
