@@ -25,3 +25,14 @@ def rankings(signals: DataFrame, limit: int = 20, action: str | None = None) ->
     else:
         rows, order = signals, [action_rank().asc(), *best]
     return rows.orderBy(*order).limit(clamp(limit))
+
+
+def newest_then_ascending(rows: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` rows, returned oldest first."""
+    return rows.orderBy(F.col("date").desc()).limit(clamp(limit)).orderBy("date")
+
+
+def price_range(prices: DataFrame, ticker: str, start: str, end: str, limit: int = 1000) -> DataFrame:
+    wanted = prices.filter((F.col("ticker") == ticker) & F.col("analysis_ready")
+                           & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return newest_then_ascending(wanted, limit)

@@ -145,3 +145,17 @@ def strict_session_returns(bars: DataFrame, ordinals: DataFrame) -> DataFrame:
         "return_1d": F.when(gap == 1, F.col("return_prev_session")),
         "log_return_1d": F.when(gap == 1, F.col("log_return_prev_session")),
     }))
+
+
+def session_number_asof(frame: DataFrame, column: str, ordinals: DataFrame, name: str) -> DataFrame:
+    """Number of sessions up to each date, session or not.
+
+    The calendar is spread to every day it spans, which keeps this an equality join.
+    """
+    following = F.lead("date").over(Window.orderBy("date"))
+    spans = ordinals.withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col("date")))
+    days = spans.select("session", F.explode(F.sequence("date", "_until")).alias(column)).withColumnRenamed("session", "_s")
+    last, total = ordinals.select(F.max("date")).scalar(), ordinals.select(F.max("session")).scalar()
+    out = frame.join(days, column, "left")
+    return out.withColumn(name, F.when(F.col(column) > last, total).when(
+        F.col(column).isNotNull(), F.coalesce("_s", F.lit(0)))).drop("_s")

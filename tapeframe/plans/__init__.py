@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "windows", "fundamentals", "signals", "cleaning")
+MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger")
 
 
 def load_all() -> None:
