@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger")
+MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research")
 
 
 def load_all() -> None:
