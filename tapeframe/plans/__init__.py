@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research")
+MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research", "portfolio")
 
 
 def load_all() -> None:
