@@ -36,3 +36,49 @@ def price_range(prices: DataFrame, ticker: str, start: str, end: str, limit: int
     wanted = prices.filter((F.col("ticker") == ticker) & F.col("analysis_ready")
                            & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     return newest_then_ascending(wanted, limit)
+
+
+def newest(rows: DataFrame, ticker: str | None, time: str, limit: int, *then: str) -> DataFrame:
+    """Top-k newest rows of a ticker (or of a one-ticker table); the scan sees the ticker filter."""
+    wanted = rows if ticker is None else rows.filter(F.col("ticker") == ticker.strip().upper())
+    return wanted.orderBy(F.col(time).desc(), *then).limit(clamp(limit))
+
+
+def quotes(prices: DataFrame, tickers: list[str]) -> DataFrame:
+    """Last ready close of up to forty tickers."""
+    if not 1 <= len(tickers) <= 40:
+        raise ValueError("ask for 1 to 40 tickers")
+    wanted = prices.filter(F.col("ticker").isin([t.strip().upper() for t in tickers]) & F.col("analysis_ready"))
+    return wanted.groupBy("ticker").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
+
+
+def per_ticker_newest(rows: DataFrame, time: str, n: int) -> DataFrame:
+    from tapeframe.operators.ranking import first_per_key
+    return first_per_key(rows, ["ticker"], [F.col(time).desc()], n)
+
+
+def breakdown(rows: DataFrame, status: str, reason: str) -> DataFrame:
+    named = F.coalesce(F.when(F.col(reason) != "", F.col(reason)), F.lit("none"))
+    return rows.groupBy(F.col(status).alias("status"), named.alias("reason")).agg(F.count("*").alias("rows"))
+
+
+def ticker_context(signals: DataFrame, prices: DataFrame, annual: DataFrame, actions: DataFrame, peers: DataFrame) -> DataFrame:
+    """One nested row per ticker: signal, last two bars, newest report items, last actions, peer valuation.
+
+    Every list is cut to its newest few rows before it is gathered.
+    """
+    bars = per_ticker_newest(prices, "date", 2).groupBy("ticker").agg(
+        F.sort_array(F.collect_list(F.struct("date", "close", "volume")), asc=False).alias("prices"))
+    last = per_ticker_newest(actions, "ex_date", 5).groupBy("ticker").agg(
+        F.sort_array(F.collect_list(F.struct("ex_date", "action_type")), asc=False).alias("actions"))
+    items = latest_period_items(annual)
+    return (signals.join(bars, "ticker", "left").join(items, "ticker", "left").join(last, "ticker", "left")
+            .join(peers, "ticker", "left"))
+
+
+def latest_period_items(rows: DataFrame) -> DataFrame:
+    """Items of each ticker's newest period as a map; a period has one value per item code."""
+    newest_end = rows.groupBy("ticker").agg(F.max("period_end").alias("period_end"))
+    best = rows.join(newest_end, ["ticker", "period_end"])
+    return best.groupBy("ticker", "period_end").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("item_code", "value")))).alias("items"))

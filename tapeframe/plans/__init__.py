@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research", "portfolio")
+MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research", "portfolio", "quality")
 
 
 def load_all() -> None:
