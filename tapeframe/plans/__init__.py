@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research", "portfolio", "quality")
+MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research", "portfolio", "quality", "tables")
 
 
 def load_all() -> None:
