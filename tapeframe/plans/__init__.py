@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research", "portfolio", "quality", "tables")
+MODULES = ("views", "windows", "fundamentals", "signals", "cleaning", "prices", "ledger", "research", "portfolio", "quality", "tables", "text", "stream")
 
 
 def load_all() -> None:

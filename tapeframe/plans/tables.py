@@ -1,5 +1,7 @@
 """Sources, sinks and the star-schema export."""
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
@@ -117,16 +119,33 @@ class Star:
 
     def __init__(self, market: Market):
         self.market = market
-        self.prices = stage(cleaned(market), "prices")
-        self.annual = stage(annual(market), "annual")
-        self.company = stage(global_row_number(market.companies, [F.col("ticker").asc()], "id"), "dim_company")
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return stage(cleaned(self.market), "prices")
+
+    @cached_property
+    def annual(self) -> DataFrame:
+        return stage(annual(self.market), "annual")
+
+    @cached_property
+    def company(self) -> DataFrame:
+        return stage(global_row_number(self.market.companies, [F.col("ticker").asc()], "id"), "dim_company")
+
+    @cached_property
+    def source(self) -> DataFrame:
         names = union_all([self.prices.select("source").distinct(), self.annual.select("source").distinct(),
-                           market.benchmark.select(F.lit("INDEX").alias("source")).distinct(),
-                           market.actions.select(F.lit("vnstock KBS").alias("source")).distinct()])
-        self.source = stage(tb.surrogate_ids(names, "source"), "dim_source")
+                           self.market.companies.limit(1).select(F.explode(F.array(F.lit("INDEX"), F.lit("vnstock KBS"))).alias("source"))])
+        return stage(tb.surrogate_ids(names, "source"), "dim_source")
+
+    @cached_property
+    def item(self) -> DataFrame:
         items = self.annual.groupBy("item_code").agg(F.max("statement").alias("name"), F.max("unit").alias("unit"))
-        self.item = stage(tb.surrogate_ids(items, "item_code").join(items, "item_code"), "dim_item")
-        self.kind = stage(tb.surrogate_ids(market.actions, "action_type"), "dim_type")
+        return stage(tb.surrogate_ids(items, "item_code").join(items, "item_code"), "dim_item")
+
+    @cached_property
+    def kind(self) -> DataFrame:
+        return stage(tb.surrogate_ids(self.market.actions, "action_type"), "dim_type")
 
     def ids(self, dim: DataFrame, column: str, name: str) -> DataFrame:
         return dim.select(column, F.col("id").alias(name))
