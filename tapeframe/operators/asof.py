@@ -72,4 +72,4 @@ def calendar_returns(panel: DataFrame, months=(3, 6, 12)) -> DataFrame:
     carry = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_r", F.last(F.when(F.col("_shared"), F.struct(*names)), ignorenulls=True).over(carry))
     out = out.drop(*names).select("*", "_r.*").drop("_r", "_shared")
-    return out.withColumn("rs6", F.col("r6") - F.col("bm_r6"))
+    return out.withColumn("rs6", F.col("r6") - F.col("bm_r6")) if 6 in months else out

@@ -14,9 +14,7 @@ def global_row_number(frame: DataFrame, order: list[Column], name: str) -> DataF
     Rows are range-partitioned on the order and staged, each partition numbers its
     own rows, and the few partition sizes give the offsets.  ``order`` must be total.
     """
-    spark = frame.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stage(frame.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    ranged = stage(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
