@@ -55,7 +55,8 @@ def calendar_returns(panel: DataFrame, months=(3, 6, 12)) -> DataFrame:
     have can be a base or an end; other dates take the last shared date's result.
     A missing or non-positive base gives no return.
     """
-    out = panel.withColumn("_shared", F.coalesce(F.col("is_session"), F.lit(False)))
+    # Partitioned by ticker once; the windows below, and those of the caller, all fit it.
+    out = panel.repartition("ticker").withColumn("_shared", F.coalesce(F.col("is_session"), F.lit(False)))
 
     def base(column: str, k: int):
         return F.expr(

@@ -167,15 +167,13 @@ def merge_financial_sources(rows: DataFrame, primary: str) -> DataFrame:
     """
     keys = ["ticker", "statement", "report_period", "period_type", "item_code"]
     rank = F.when(F.lower("source").contains(primary.lower()), 0).otherwise(1)
-    order = F.struct("_rank", F.col("value").isNull().alias("n"), "value")
     per_source = rows.withColumn("_rank", rank).groupBy(*keys, "source", "_rank").agg(
-        F.min_by(F.struct("value"), order).alias("_first"), F.min("published_date").alias("_pub"),
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("*").alias("_n"))
+        F.min("published_date").alias("_pub"), F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("*").alias("_n"))
     cell = per_source.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "source", "_first", "_pub"))).alias("_s"),
+        F.array_sort(F.collect_list(F.struct("_rank", "source", F.col("_lo").alias("_first"), "_pub"))).alias("_s"),
         F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_n").alias("candidates"))
-    chosen = F.col("_s")[0]["_first"]["value"]
-    known = F.filter(F.transform("_s", lambda s: s["_first"]["value"]), lambda v: v.isNotNull())
+    chosen = F.col("_s")[0]["_first"]
+    known = F.filter(F.transform("_s", lambda s: s["_first"]), lambda v: v.isNotNull())
     anchor = F.get(known, F.lit(0))
     scale = F.greatest(F.abs(anchor), F.lit(1.0))
     spread = F.greatest(F.abs(F.col("_hi") - anchor), F.abs(F.col("_lo") - anchor)) / scale

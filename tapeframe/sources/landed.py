@@ -29,21 +29,23 @@ def cents(name: str) -> F.Column:
 
 
 def prices(bars: DataFrame) -> DataFrame:
-    """Daily rows of two sources; the second repeats every fifth day of the month."""
-    base = bars.select(
+    """Daily rows of two sources; the second repeats every fifth day of the month.
+
+    Both sources come out of one pass over the bars.
+    """
+    day = F.dayofmonth("date")
+    copies = F.when(day % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    base = bars.select("ticker", "date", day.alias("day"), *[cents(c).alias(c) for c in ("open", "high", "low", "close")],
+                       "volume", F.explode(copies).alias("copy"))
+    first = F.col("copy") == 1
+    swapped = first & (F.col("day") == 13)
+    return base.select(
         F.concat(F.lit(" "), F.lower("ticker"), F.lit(" ")).alias("ticker"),
-        F.concat(F.col("date").cast("string"), F.lit(" 00:00:00")).alias("date"),
-        F.dayofmonth("date").alias("day"), *[cents(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
-    swapped = F.col("day") == 13
-    first = base.select(
-        "ticker", "date", "day", "open", F.when(swapped, F.col("low")).otherwise(F.col("high")).alias("high"),
+        F.concat(F.col("date").cast("string"), F.lit(" 00:00:00")).alias("date"), "open",
+        F.when(swapped, F.col("low")).otherwise(F.col("high")).alias("high"),
         F.when(swapped, F.col("high")).otherwise(F.col("low")).alias("low"), "close",
-        F.when(F.col("day") != 17, F.col("volume")).alias("volume"),
-        F.when(F.col("day") % 2 == 0, "DNSE").otherwise("vnstock KBS").alias("source"))
-    second = base.filter("day % 5 = 0").select(
-        "ticker", "date", "day", "open", "high", "low", "close", (F.col("volume") + 1).alias("volume"),
-        F.lit("vnstock VCI").alias("source"))
-    return first.unionByName(second).drop("day")
+        F.when(~first, F.col("volume") + 1).when(F.col("day") != 17, F.col("volume")).alias("volume"),
+        F.when(~first, "vnstock VCI").when(F.col("day") % 2 == 0, "DNSE").otherwise("vnstock KBS").alias("source"))
 
 
 def financials(annual: DataFrame) -> DataFrame:
@@ -54,17 +56,16 @@ def financials(annual: DataFrame) -> DataFrame:
     long = annual.unpivot(["ticker", "fiscal_year", "period_end"], names, "item_code", "value").select(
         "ticker", statement[F.col("item_code")].alias("statement"), "fiscal_year", "period_end",
         "item_code", number.alias("item_no"), "value", F.expr(NUMBER).alias("num"))
-    year = F.col("fiscal_year")
-    first = long.filter((F.col("num") + year + F.col("item_no")) % 3 != 0).select(
-        "*", F.lit("DNSE").alias("source"), F.lit(None).cast("date").alias("published_date"))
-    second = long.withColumn("value", F.when((F.col("num") + year) % 5 == 0, F.col("value") * 1.05)
-                             .otherwise(F.col("value"))).select(
-        "*", F.lit("vnstock VCI").alias("source"),
-        F.when(year % 2 == 0, F.date_add("period_end", 60)).alias("published_date"))
-    return first.unionByName(second).select(
+    year, shift = F.col("fiscal_year"), F.col("num") + F.col("fiscal_year")
+    rows = long.select("*", F.explode(F.array(F.lit("DNSE"), F.lit("vnstock VCI"))).alias("source"))
+    first = F.col("source") == "DNSE"
+    rows = rows.filter(~first | ((shift + F.col("item_no")) % 3 != 0))
+    return rows.select(
         "ticker", "statement",
         F.when(year % 3 == 0, F.concat(year.cast("string"), F.lit(".0"))).otherwise(year.cast("string")).alias("report_period"),
-        F.lit("annual").alias("period_type"), "published_date", "item_code", "value", "source", "fiscal_year")
+        F.lit("annual").alias("period_type"), F.when(~first & (year % 2 == 0), F.date_add("period_end", 60)).alias("published_date"),
+        "item_code", F.when(~first & (shift % 5 == 0), F.col("value") * 1.05).otherwise(F.col("value")).alias("value"),
+        "source", "fiscal_year")
 
 
 def action_events(actions: DataFrame) -> DataFrame:
