@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tapeframe.plans.prices import NEW_FETCH, generations
 from tapeframe.plans.registry import query, view
-from tapeframe.runtime import new_path
 from tapeframe.sources.driver import Market
 from tapeframe.streaming import jobs
 
@@ -16,8 +15,8 @@ SELECT ticker, CAST(ts AS DATE) AS date, arg_min(price, (ts, tick_id)) AS open,
        CAST(sum(size) AS BIGINT) AS volume FROM fx_ticks GROUP BY ALL
 """)
 def stream_session_candle(spark, folder):
-    ticks = jobs.as_stream(Market(spark, folder).ticks, "ticks", "ts")
-    return jobs.run_updates(jobs.session_candles(ticks), ["ticker", "date"], "candles")
+    feed = jobs.replay(Market(spark, folder).ticks, "ticks", "ts")
+    return jobs.run_updates(feed, jobs.session_candles(feed.stream), ["ticker", "date"], "candles")
 
 
 @query("stream_fresh_filter", """
@@ -26,16 +25,17 @@ SELECT tick_id, ticker, price FROM fx_ticks WHERE (tick_id % 20) * 100 - 250 BET
 def stream_fresh_filter(spark, folder):
     shift = F.expr("make_dt_interval(0, 0, 0, (tick_id % 20) * 100 - 250)")
     ticks = Market(spark, folder).ticks.withColumn("seen_at", F.col("ts") + shift)
-    fresh = jobs.fresh_only(jobs.as_stream(ticks, "ticks", "ts").withWatermark("ts", "15 minutes"))
-    return jobs.run_append(fresh.select("tick_id", "ticker", "price"), "fresh")
+    feed = jobs.replay(ticks, "ticks", "ts")
+    fresh = jobs.fresh_only(feed.stream.withWatermark("ts", "15 minutes"))
+    return jobs.run_append(feed, fresh.select("tick_id", "ticker", "price"), "fresh")
 
 
 @query("stream_latest_trade", """
 SELECT ticker, max(ts) AS ts, arg_max(price, (ts, tick_id)) AS price, arg_max(size, (ts, tick_id)) AS size FROM fx_ticks GROUP BY ticker
 """)
 def stream_latest_trade(spark, folder):
-    ticks = jobs.as_stream(Market(spark, folder).ticks, "ticks", "ts")
-    return jobs.run_updates(jobs.latest_trades(ticks), ["ticker"], "latest")
+    feed = jobs.replay(Market(spark, folder).ticks, "ticks", "ts")
+    return jobs.run_updates(feed, jobs.latest_trades(feed.stream), ["ticker"], "latest")
 
 
 @query("stream_upsert_lineage", f"""
@@ -47,11 +47,8 @@ def stream_upsert_lineage(spark, folder):
     """The stored generation and the next fetch arrive as two micro-batches."""
     _, old, new = generations(spark, folder)
     facts = ["ticker", "date", "open", "high", "low", "close", "volume", "source", "row_checksum", "source_checksum"]
-    path = new_path(spark, "bar_feed")
-    old.select(*facts).coalesce(1).write.parquet(path)
-    new.select(*facts).coalesce(1).write.mode("append").parquet(path)
-    feed = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return jobs.upsert_lineage(spark, feed, NEW_FETCH, "bars").select("ticker", "date", "close", "data_version")
+    feed = jobs.feed_of([old.select(*facts), new.select(*facts)], "bar_feed")
+    return jobs.upsert_lineage(feed, NEW_FETCH, "bars").select("ticker", "date", "close", "data_version")
 
 
 view("quota_walk", f"""
@@ -74,7 +71,8 @@ walk AS (
 def stream_quota(spark, folder):
     rows = Market(spark, folder).table("events").select(
         "event_id", F.col("user_id").alias("subject"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at_s"))
-    return jobs.run_append(jobs.quota_stream(jobs.as_stream(rows, "events", "at_s"), LIMIT, WINDOW), "quota")
+    feed = jobs.replay(rows, "events", "at_s")
+    return jobs.run_append(feed, jobs.quota_stream(feed.stream, LIMIT, WINDOW), "quota")
 
 
 @query("stream_live_marks", """
@@ -85,5 +83,5 @@ def stream_live_marks(spark, folder):
     market = Market(spark, folder)
     num = F.substring("ticker", 2, 20).cast("long")
     held = market.companies.select("ticker", num.alias("account"), (num % 10 + 1).alias("quantity"))
-    ticks = jobs.as_stream(market.ticks, "ticks", "ts")
-    return jobs.run_append(jobs.live_marks(ticks, held), "marks")
+    feed = jobs.replay(market.ticks, "ticks", "ts")
+    return jobs.run_append(feed, jobs.live_marks(feed.stream, held), "marks")

@@ -7,28 +7,52 @@ own folder in overwrite mode, so a repeated micro-batch replaces itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeframe.operators import prices as px
 from tapeframe.runtime import new_path
 
 
-def as_stream(rows: DataFrame, name: str, order: str, files: int = 4) -> DataFrame:
-    """Replay a table as a stream of a few time slices, one per trigger and in time order."""
-    path = new_path(rows.sparkSession, name)
+@dataclass
+class Feed:
+    """A folder that grows slice by slice, and the stream over it.
+
+    A job runs once per slice from the same checkpoint, as a scheduled job would,
+    so state and offsets carry over and every slice is read by all tasks.
+    """
+
+    stream: DataFrame
+    path: str
+    slices: list[DataFrame]
+
+    def run(self, writer: DataStreamWriter) -> None:
+        for part in self.slices:
+            part.write.mode("append").parquet(self.path)
+            writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def feed_of(slices: list[DataFrame], name: str) -> Feed:
+    spark, schema = slices[0].sparkSession, slices[0].schema
+    path = new_path(spark, name)
+    slices[0].limit(0).write.parquet(path)
+    return Feed(spark.readStream.schema(schema).parquet(path), path, slices)
+
+
+def replay(rows: DataFrame, name: str, order: str, parts: int = 3) -> Feed:
+    """A table cut into equal spans of time, oldest first."""
     at = F.col(order).cast("double")
     low, high = rows.agg(F.min(at), F.max(at)).first()
-    part = F.floor((at - low) / max(high - low, 1.0) * (files - 1e-6))
-    for i in range(files):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    span = F.floor((at - low) / max(high - low, 1.0) * (parts - 1e-6))
+    return feed_of([rows.filter(span == i) for i in range(parts)], name)
 
 
-def run_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+def run_updates(feed: Feed, stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Run in update mode and return the last value each key had."""
     spark = stream.sparkSession
     out, schema = new_path(spark, name), stream.schema
@@ -36,20 +60,18 @@ def run_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    query = stream.writeStream.outputMode("update").foreachBatch(write).option(
-        "checkpointLocation", new_path(spark, name + "-checkpoint")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.read.schema(schema.add("epoch", "long") if "epoch" not in schema.names else schema).parquet(out)
+    feed.run(stream.writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", new_path(spark, name + "-checkpoint")))
+    rows = spark.read.schema(schema.add("epoch", "long")).parquet(out)
     values = [c for c in rows.columns if c not in (*keys, "epoch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v")).select(*keys, "_v.*")
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+def run_append(feed: Feed, stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     out, schema = new_path(spark, name), stream.schema
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option(
-        "checkpointLocation", new_path(spark, name + "-checkpoint")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    feed.run(stream.writeStream.outputMode("append").format("parquet").option("path", out).option(
+        "checkpointLocation", new_path(spark, name + "-checkpoint")))
     return spark.read.schema(schema).parquet(out)
 
 
@@ -116,14 +138,15 @@ def quota_stream(events: DataFrame, limit: int, window: int) -> DataFrame:
         step, QUOTA_SCHEMA, "started long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_lineage(spark: SparkSession, bars: DataFrame, fetched_at: str, name: str) -> DataFrame:
+def upsert_lineage(feed: Feed, fetched_at: str, name: str) -> DataFrame:
     """Merge micro-batches of bars into a versioned table and log what they revised.
 
     Each epoch writes a new version from the one before it, which is named by epoch
     number, so a repeated epoch rebuilds the same version.
     """
+    spark = feed.stream.sparkSession
     root = new_path(spark, name)
-    final = {"epoch": None}
+    final = {}
 
     def merge(batch: DataFrame, epoch: int) -> None:
         fresh = batch.dropDuplicates(["ticker", "date"])
@@ -136,6 +159,5 @@ def upsert_lineage(spark: SparkSession, bars: DataFrame, fetched_at: str, name:
         px.revisions(known, fresh, f"epoch-{epoch}", "stream").write.mode("overwrite").parquet(f"{root}/revisions/{epoch}")
         final["epoch"] = epoch
 
-    query = bars.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    feed.run(feed.stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/table/{final['epoch']}")
