@@ -1,7 +1,7 @@
 """As-of alignment without pairing rows.
 
-Both operators put the two sides on one time line per key and carry the last
-known value forward with a window, so the work is the sum of the two sides.
+Values are carried forward along a time line, or read with a range frame, so the
+work is the sum of the two sides.
 """
 
 from __future__ import annotations
@@ -12,23 +12,6 @@ from pyspark.sql import functions as F
 from tapeframe.functions.numeric import safe_divide
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-              values: list[str]) -> DataFrame:
-    """For each left row the values of the last right row at or before it.
-
-    A right row's values travel together, so a null inside the latest row stays null.
-    """
-    events = left.select(key, F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
-                         F.struct(*left.columns).alias("_row")).unionByName(
-        right.select(key, F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
-                     F.struct(F.col(right_time).alias("_rt"), *values).alias("_val")),
-        allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = events.withColumn("_last", F.last("_val", ignorenulls=True).over(order)).filter("_side = 1")
-    return carried.select("_row.*", F.col("_last._rt").alias(f"asof_{right_time}"),
-                          *[F.col(f"_last.{v}").alias(v) for v in values])
-
-
 def benchmark_panel(benchmark: DataFrame, dates: DataFrame, sizes=(50, 100, 200)) -> DataFrame:
     """Index price and its averages on every date, carried forward where it has no bar.
 

@@ -1,13 +1,11 @@
 """Model-portfolio state transition over two end-of-day runs."""
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeframe.operators import portfolio as pf
-from tapeframe.operators.windows import session_ordinals
 from tapeframe.params import ON_FIXTURES
 from tapeframe.plans.registry import query, rounded, view
-from tapeframe.plans.signals import NEXT_DATE, RUN_DATE, TOP, signals
+from tapeframe.plans.signals import NEXT_DATE, RUN_DATE, signals
 from tapeframe.runtime import stage
 from tapeframe.sources import landed as L
 from tapeframe.sources.driver import Market

@@ -7,7 +7,7 @@ from tapeframe.functions import cleaning as c
 from tapeframe.operators import clean, prices as px
 from tapeframe.operators.ranking import first_per_key
 from tapeframe.operators.windows import session_ordinals
-from tapeframe.plans.cleaning import sql_checksum, sql_priority
+from tapeframe.plans.cleaning import sql_checksum
 from tapeframe.plans.registry import query, rounded, view
 from tapeframe.sources import landed as L
 from tapeframe.sources.driver import Market
@@ -221,6 +221,21 @@ def adjust_prices(spark, folder):
     return out.select("ticker", "date", *rounded([f"adjusted_{n}" for n in px.OHLC], 5), "adjustment_status")
 
 
+@query("adjust_prices_by_source", f"""
+SELECT a.ticker, a.date, round(a.close * CASE WHEN {NUM.replace('ticker', 'a.ticker')} % 3 = 0 THEN 1 ELSE a.factor END + 1e-9, 5) AS adjusted_close,
+       CASE WHEN {NUM.replace('ticker', 'a.ticker')} % 3 = 0 THEN 'SOURCE_ADJUSTED' WHEN s.bad > 0 THEN 'PARTIAL' WHEN coalesce(s.applied, 0) = 0 THEN 'NOT_REQUIRED' ELSE 'APPLIED' END AS adjustment_status
+FROM bar_factors a LEFT JOIN (SELECT ticker, count(factor) AS applied, count(*) - count(factor) AS bad FROM act_factors GROUP BY ticker) s ON s.ticker = a.ticker
+""")
+def adjust_prices_by_source(spark, folder):
+    """Tickers whose every bar comes already adjusted keep their prices; the others are adjusted."""
+    market = Market(spark, folder)
+    source = F.when((F.expr(L.NUMBER) % 3 == 0) & (F.dayofmonth("date") % 2 == 0), "DNSE").when(
+        F.expr(L.NUMBER) % 3 == 0, "vnstock KBS").when(F.dayofmonth("date") % 2 == 0, "DNSE").otherwise("manual")
+    rows = market.staged_bars.select("ticker", "date", "close", source.alias("source"))
+    out = px.adjust_prices(rows, market.actions, px.source_is_adjusted(F.col("source")))
+    return out.select("ticker", "date", *rounded(["adjusted_close"], 5), "adjustment_status")
+
+
 # --- dedupes and statement sources -------------------------------------------------
 
 @query("dedupe_prices", f"""

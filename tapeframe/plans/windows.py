@@ -1,6 +1,5 @@
 """Indicator and as-of queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeframe.operators import asof, windows as w
