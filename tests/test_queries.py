@@ -8,6 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tapeframe.plans.registry import QUERIES as LIBRARY
 from tests.conftest import FOLDER
 from tools.check import rows_of
 
@@ -16,7 +17,7 @@ CORE = ["sma_20_50_100_200", "asof_calendar_return", "strict_session_return", "f
         "job_prices", "job_financials", "full_outer_reconcile", "adjust_prices", "merge_financial_sources", "ledger_positions",
         "topn_returns", "advance_state", "assign_actions", "validate_layer", "star_facts", "company_match", "stream_session_candle",
         "stream_quota", "stream_upsert_lineage"]
-NAMES = list(QUERIES) if os.environ.get("TAPEFRAME_ALL") else CORE
+NAMES = list(LIBRARY) if os.environ.get("TAPEFRAME_ALL") else CORE
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -28,7 +29,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_checking_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(LIBRARY) <= set(ORACLES)
 
 
 def test_entry_runs(spark):
