@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe, sharding
+from tapeframe.llm import bpe, sharding, simhash
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -15,6 +15,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op2_simhash")
+def op2_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     placed = sharding.place(table(spark, sf_dir, "documents"), SHARDS)
