@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe, sharding, simhash
+from tapeframe.llm import bpe, sharding, simhash, toxicity
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -21,6 +21,15 @@ def op2_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.CharacterModel.of(docs)
+    scorer = toxicity.fit(docs, labels, model, allowed=~toxicity.held_out())
+    scored = toxicity.score(docs.select("doc_id", "text"), scorer, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     placed = sharding.place(table(spark, sf_dir, "documents"), SHARDS)
