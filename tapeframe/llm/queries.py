@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe, sharding, simhash, toxicity
+from tapeframe.llm import bpe, decontamination, sharding, simhash, toxicity
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -15,6 +15,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_decontamination")
+def op1_decontamination(spark, sf_dir):
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_simhash")
 def op2_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
