@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe, decontamination, sharding, simhash, toxicity
+from tapeframe.llm import bpe, decontamination, licenses, sharding, simhash, toxicity
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -26,6 +26,11 @@ def op2_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op3_licenses", licenses.checking_sql())
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
