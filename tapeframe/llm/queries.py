@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe, decontamination, licenses, sharding, simhash, toxicity
+from tapeframe.llm import bpe, decontamination, licenses, secrets, sharding, simhash, toxicity
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -46,6 +46,11 @@ def op8_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op9_secrets")
+def op9_secrets(spark, sf_dir):
+    return secrets.Scanner(table(spark, sf_dir, "documents")).report()
+
+
 @query("op10_bpe")
 def op10_bpe(spark, sf_dir):
     encoded = bpe.encode(table(spark, sf_dir, "documents"), default_vocabulary())
