@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe, decontamination, licenses, secrets, sharding, simhash, toxicity
+from tapeframe.llm import bpe, decontamination, licenses, secrets, sharding, simhash, toxicity, warc
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -40,6 +40,16 @@ def op5_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+@query("op7_warc")
+def op7_warc(spark, sf_dir):
+    folder = warc.archive_folder(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), folder)
+    records = warc.read(index, folder)
+    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
+    return records.select(F.col("key").cast("long").alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                          "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     placed = sharding.place(table(spark, sf_dir, "documents"), SHARDS)
