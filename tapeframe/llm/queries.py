@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe, decontamination, licenses, secrets, sharding, simhash, toxicity, warc
+from tapeframe.llm import ann, bpe, decontamination, licenses, secrets, sharding, simhash, toxicity, warc
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -31,6 +31,13 @@ def op3_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op4_ann")
+def op4_ann(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("vec_id").cast("long").alias("vec_id"), "score")
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
