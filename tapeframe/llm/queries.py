@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import ann, bpe, decontamination, licenses, secrets, sharding, simhash, toxicity, warc
+from tapeframe.llm import ann, bpe, decontamination, licenses, secrets, sharding, simhash, suffixes, toxicity, warc
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -47,6 +47,13 @@ def op5_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+@query("op6_suffixes")
+def op6_suffixes(spark, sf_dir):
+    cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                          F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_warc")
 def op7_warc(spark, sf_dir):
     folder = warc.archive_folder(spark)
