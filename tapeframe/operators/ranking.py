@@ -36,15 +36,16 @@ def first_per_key(frame: DataFrame, keys: list[str], order: list[Column], n: int
     return frame.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def grouped_median(frame: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median of positive values per group.
+def grouped_median(frame: DataFrame, group: list[str], value: str, name: str = "median", positive: bool = True) -> DataFrame:
+    """Exact median per group, of the positive values or of all.
 
     Values are counted, the counts are summed in narrow geometric bins, and only
     the one or two bins that hold the middle ranks are looked at value by value, so
     a group with a third of all rows is never gathered.
     """
-    counts = frame.filter(F.col(value) > 0).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_bin", F.floor(F.log("_v") * 64))
+    counts = frame.filter(F.col(value) > 0 if positive else F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    size = F.floor(F.log(F.abs("_v")) * 64) + 100_000  # above 0 for every double
+    counts = counts.withColumn("_bin", F.when(F.col("_v") == 0, 0).otherwise(F.signum("_v").cast("long") * size))
     bins = counts.groupBy(*group, "_bin").agg(F.sum("_n").alias("_bn"))
     w = Window.partitionBy(*group)
     run = w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)

@@ -284,7 +284,8 @@ def position_changes(held: DataFrame) -> DataFrame:
     out = held.withColumns({"bar": F.row_number().over(bars).cast("long"), "_was": F.coalesce(F.lag("held").over(bars), F.lit(0)),
                             "prev_px": F.lag("px").over(bars)})
     exits = F.when((F.col("held") == 0) & (F.col("_was") == 1), F.struct("bar", "date", "px", "prev_px"))
-    ahead = bars.rowsBetween(1, Window.unboundedFollowing)
+    # Newest first, so the rows ahead are a growing frame.
+    ahead = Window.partitionBy("ticker").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumns({"exit": F.min(exits).over(ahead), "bars": F.count("*").over(Window.partitionBy("ticker"))})
     return out.filter("held = 1 AND _was = 0").select(
         "ticker", F.col("date").alias("entry_date"), F.col("bar").alias("entry_bar"), F.col("px").alias("entry_price"),

@@ -77,8 +77,9 @@ def ticker_context(signals: DataFrame, prices: DataFrame, annual: DataFrame, act
 
 
 def latest_period_items(rows: DataFrame) -> DataFrame:
-    """Items of each ticker's newest period as a map; a period has one value per item code."""
+    """Items of each ticker's newest period as a map; of a code in several statements the last statement's value."""
     newest_end = rows.groupBy("ticker").agg(F.max("period_end").alias("period_end"))
-    best = rows.join(newest_end, ["ticker", "period_end"])
+    best = rows.join(newest_end, ["ticker", "period_end"]).groupBy("ticker", "period_end", "item_code").agg(
+        F.max(F.struct("statement", "value")).alias("_v")).select("ticker", "period_end", "item_code", "_v.value")
     return best.groupBy("ticker", "period_end").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("item_code", "value")))).alias("items"))

@@ -212,9 +212,9 @@ def source_priority(spark, folder):
     return names.groupBy("source").agg(F.count("*").alias("rows")).withColumn("priority", c.source_priority(F.col("source")))
 
 
-@query("row_checksum", f"SELECT ticker, date, {sql_checksum()} AS row_checksum FROM ld_typed WHERE source <> 'vnstock VCI'")
+@query("row_checksum", f"SELECT ticker, date, {sql_checksum()} AS row_checksum FROM ld_typed")
 def row_checksum(spark, folder):
-    rows = clean.typed_prices(L.Landed(Market(spark, folder)).prices()).filter("source <> 'vnstock VCI'")
+    rows = clean.typed_prices(L.Landed(Market(spark, folder)).prices())
     return clean.with_checksums(rows).select("ticker", "date", "row_checksum")
 
 
@@ -252,7 +252,7 @@ def unit_rescale(spark, folder):
     even = F.expr(L.NUMBER) % 2 == 0
     rows = Market(spark, folder).staged_bars.select("ticker", "date", *[
         F.when(even, L.cents(n) / 1000).otherwise(L.cents(n)).alias(n) for n in clean.OHLC])
-    return clean.unit_rescaled(rows, grouped_median(rows, ["ticker"], "close"))
+    return clean.unit_rescaled(rows, grouped_median(rows, ["ticker"], "close", positive=False))
 
 
 @query("estimated_value", f"""
@@ -430,11 +430,10 @@ def clean_universe(rows):
 
 @query("suspicious_move", f"""
 SELECT ticker, coalesce(bool_or(NOT ok), false) OR coalesce(bool_or(abs(change) > 0.5), false) AS needs_fallback
-FROM (SELECT ticker, ohlc_valid AS ok, close / nullif(lag(close) {W}), 0) - 1 AS change FROM cl_prices WHERE day(date) <> 13) GROUP BY ticker
+FROM (SELECT ticker, ohlc_valid AS ok, close / nullif(lag(close) {W}), 0) - 1 AS change FROM cl_prices) GROUP BY ticker
 """)
 def suspicious_move(spark, folder):
-    rows = clean.prices(L.Landed(Market(spark, folder)).prices()).filter(F.dayofmonth("date") != 13)
-    return needs_fallback(rows)
+    return needs_fallback(clean.prices(L.Landed(Market(spark, folder)).prices()))
 
 
 def needs_fallback(rows):

@@ -9,9 +9,18 @@ from tapeframe.operators.ranking import first_per_key
 from tapeframe.operators.windows import session_ordinals
 from tapeframe.plans.cleaning import sql_checksum
 from tapeframe.plans.registry import query, rounded, view
+from tapeframe.runtime import stage
 from tapeframe.sources import landed as L
 from tapeframe.sources.driver import Market
 
+# Statement items a company must have.
+CRITICAL_ITEMS = [
+    "revenue", "cogs", "gross_profit", "ebit", "interest_expense", "profit_before_tax", "net_income", "eps",
+    "total_assets", "equity", "cash_and_cash_equivalents", "current_assets", "current_liabilities",
+    "short_term_borrowings", "long_term_borrowings", "total_liabilities", "operating_cash_flow", "capex",
+    "depreciation", "amortization",
+]
+
 _C = ", ".join(f"floor({x} * 100) / 100 AS {x}" for x in ("open", "high", "low", "close"))
 NUM = "CAST(substr(ticker, 2) AS BIGINT)"
 RUN_ID, OLD_FETCH, NEW_FETCH = "sync-1", "2001-12-01T00:00:00", "2001-12-02T00:00:00"
@@ -288,29 +297,21 @@ def cross_source_mismatch(spark, folder):
     return out.filter("mismatch").select("ticker", "report_period", "item_code", "value")
 
 
-@query("anti_fallback_gaps", """
-SELECT f.ticker, f.report_period, f.item_code, f.value FROM ld_fin f WHERE f.source <> 'DNSE' AND NOT EXISTS (
-  SELECT 1 FROM ld_fin p WHERE p.source = 'DNSE' AND p.ticker = f.ticker AND p.statement = f.statement
-  AND p.report_period = f.report_period AND p.item_code = f.item_code)
+@query("anti_fallback_gaps", f"""
+WITH all_fin AS MATERIALIZED (SELECT ticker, statement, report_period, period_type, item_code, value, source FROM ld_fin
+  WHERE item_code IN ({', '.join(repr(n) for n in CRITICAL_ITEMS)}))
+SELECT f.ticker, f.report_period, f.item_code, f.value FROM all_fin f ANTI JOIN (SELECT * FROM all_fin WHERE source = 'DNSE') p
+  USING (ticker, statement, report_period, period_type, item_code) WHERE f.source <> 'DNSE'
 """)
 def anti_fallback_gaps(spark, folder):
-    """Fallback cells of required items that the primary source lacks."""
-    rows = L.Landed(Market(spark, folder)).financials()
+    """Fallback cells of required items that the primary source lacks; the statements are planned once."""
+    rows = stage(L.Landed(Market(spark, folder)).financials(), "financials")
     keys = ["ticker", "statement", "report_period", "period_type", "item_code"]
     required = rows.filter((F.col("source") != "DNSE") & F.col("item_code").isin(*CRITICAL_ITEMS))
     return required.join(rows.filter("source = 'DNSE'").select(*keys), keys, "left_anti").select(
         "ticker", "report_period", "item_code", "value")
 
 
-# Statement items a company must have.
-CRITICAL_ITEMS = [
-    "revenue", "cogs", "gross_profit", "ebit", "interest_expense", "profit_before_tax", "net_income", "eps",
-    "total_assets", "equity", "cash_and_cash_equivalents", "current_assets", "current_liabilities",
-    "short_term_borrowings", "long_term_borrowings", "total_liabilities", "operating_cash_flow", "capex",
-    "depreciation", "amortization",
-]
-
-
 @query("pivot_financials", "SELECT ticker, report_period, fiscal_year, period_end, " + ", ".join(
     f"max(CASE WHEN item_code = '{n}' THEN value END) AS {n}" for n in L.ITEMS)
     + " FROM cl_fin WHERE row_valid GROUP BY ticker, report_period, fiscal_year, period_end")
@@ -438,12 +439,12 @@ def all_periods(annual: DataFrame) -> DataFrame:
 @query("except_missing_items", f"""
 SELECT t.ticker, i.item_code FROM (SELECT DISTINCT ticker FROM ld_fin) t CROSS JOIN
   (SELECT unnest([{', '.join(repr(n) for n in CRITICAL_ITEMS)}]) AS item_code) i
-EXCEPT SELECT ticker, item_code FROM ld_fin WHERE source = 'DNSE' AND fiscal_year = 1998
+EXCEPT SELECT ticker, item_code FROM ld_fin WHERE source = 'DNSE'
 """)
 def except_missing_items(spark, folder):
-    """Required items a ticker's primary source lacks in 1998; at most one array of items per ticker."""
+    """Required items that a ticker's primary source never has; at most one array of items per ticker."""
     rows = L.Landed(Market(spark, folder)).financials()
-    mine = F.collect_set(F.when((F.col("source") == "DNSE") & (F.col("fiscal_year") == 1998), F.col("item_code")))
+    mine = F.collect_set(F.when(F.col("source") == "DNSE", F.col("item_code")))
     required = F.array(*[F.lit(n) for n in CRITICAL_ITEMS])
     return rows.groupBy("ticker").agg(mine.alias("have")).select(
         "ticker", F.explode(F.array_except(required, "have")).alias("item_code"))

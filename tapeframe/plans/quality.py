@@ -344,7 +344,7 @@ SELECT "check", value, value <= lim AS passed FROM (
   UNION ALL SELECT 'source_rows_missing_checksum', (SELECT count(*) FROM cl_prices WHERE source = 'DNSE' AND source_checksum IS NULL), 0
   UNION ALL SELECT 'ready_missing_close', (SELECT count(*) FROM cl_prices WHERE analysis_ready AND close IS NULL), 0
   UNION ALL SELECT 'actions_missing_ex_date', (SELECT count(*) FROM fx_actions WHERE ex_date IS NULL), 0
-  UNION ALL SELECT 'companies_minus_signals', (SELECT count(*) FROM fx_companies) - (SELECT count(*) FROM st_actions), 0
+  UNION ALL SELECT 'companies_minus_signals', abs((SELECT count(*) FROM fx_companies) - (SELECT count(*) FROM st_actions)), 0
   UNION ALL SELECT 'stale_buys', (SELECT count(*) FROM st_actions WHERE action = 'BUY' AND NOT price_fresh), 0
   UNION ALL SELECT 'hard_rejected_buys', (SELECT count(*) FROM st_actions WHERE action = 'BUY' AND rejected), 0
   UNION ALL SELECT 'watch_without_reason', (SELECT count(*) FROM st_actions WHERE action = 'WATCH' AND (reason IS NULL OR reason = 'NONE')), 0
@@ -369,7 +369,7 @@ def validate_layer(spark, folder):
         "duplicate_price_keys": q.repeated(prices, ["ticker", "date"]), "source_rows_missing_checksum": sums.select("a").scalar(),
         "ready_missing_close": sums.select("b").scalar(),
         "actions_missing_ex_date": market.actions.filter("ex_date IS NULL").agg(F.count("*")).scalar(),
-        "companies_minus_signals": market.companies.agg(F.count("*")).scalar() - F.col("n"),
+        "companies_minus_signals": F.abs(market.companies.agg(F.count("*")).scalar() - F.col("n")),
         "model_positions": state.filter("position IS NOT NULL").agg(F.count("*")).scalar()})
     limits = {n: 0 for n in one.columns if n != "n"} | {"model_positions": SLOTS.max_positions}
     checks = F.array(*[q.assertion(n, F.col(n), limit) for n, limit in limits.items()])

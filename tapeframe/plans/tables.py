@@ -60,11 +60,11 @@ def align_columns(spark, folder):
 
 @query("sink_parquet", "SELECT ticker, date, close FROM fx_bars")
 def sink_parquet(spark, folder):
-    """Two versions published; readers see the newer complete one."""
+    """Versions 9 and 10 published; readers see the newer complete one."""
     root = new_path(spark, "published")
     rows = Market(spark, folder).staged_bars.select("ticker", "date", "close")
-    tb.publish(rows.withColumn("close", F.lit(0.0)), root, "price_daily", "1")
-    tb.publish(rows, root, "price_daily", "2")
+    tb.publish(rows.withColumn("close", F.lit(0.0)), root, "price_daily", "9")
+    tb.publish(rows, root, "price_daily", "10")
     return tb.read_published(spark, root, "price_daily")
 
 

@@ -232,13 +232,13 @@ def join_common_dates(spark, folder):
 
 
 @query("intersect_dates", """
-SELECT DISTINCT date FROM fx_bars WHERE ticker = 'S1' AND date IN (
-  SELECT date FROM fx_benchmark WHERE month(date) % 3 <> 0)
+SELECT DISTINCT ticker, date FROM fx_bars WHERE date IN (SELECT date FROM fx_benchmark WHERE month(date) % 3 <> 0)
 """)
 def intersect_dates(spark, folder):
+    """The dates that each ticker has in common with the index."""
     market = Market(spark, folder)
-    stock = market.staged_bars.filter("ticker = 'S1'").select("date")
-    return stock.intersect(market.staged_benchmark.filter(F.month("date") % 3 != 0).select("date"))
+    index = market.staged_benchmark.filter(F.month("date") % 3 != 0).select("date")
+    return market.staged_bars.select("ticker", "date").distinct().join(index, "date", "left_semi").select("ticker", "date")
 
 
 @query("overlap_start", """

@@ -51,7 +51,9 @@ def publish(rows: DataFrame, root: str, name: str, version: str) -> None:
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    newest = spark.read.schema("name string, version string").json(f"{root}/_current/{name}").agg(F.max("version")).first()[0]
+    pointers = spark.read.schema("name string, version string").json(f"{root}/_current/{name}")
+    # Versions are numbers written as text; others follow them in text order.
+    newest = pointers.agg(F.max(F.struct(F.expr("try_cast(version AS decimal(38,0))").alias("number"), "version")).alias("v")).first()[0]["version"]
     return spark.read.parquet(f"{root}/{name}/version={newest}")
 
 
