@@ -327,15 +327,19 @@ def freshness_status(spark, folder):
 @query("sync_consistency", """
 SELECT (SELECT count(*) FROM fx_signals) AS signals, (SELECT count(*) FROM fx_companies) AS companies, (SELECT max(signal_date) FROM fx_signals) AS signal_date,
        (SELECT max(date) FROM fx_benchmark WHERE date <= DATE '2001-07-16') AS benchmark_date,
-       (SELECT count(*) FROM fx_signals) = (SELECT count(*) FROM fx_companies) AND (SELECT max(signal_date) FROM fx_signals) <= (SELECT max(date) FROM fx_benchmark WHERE date <= DATE '2001-07-16') AS consistent
+       (SELECT max(date) FROM fx_bars WHERE date <= DATE '2001-07-16') AS price_date,
+       (SELECT count(*) FROM fx_signals) = (SELECT count(*) FROM fx_companies) AND (SELECT max(signal_date) FROM fx_signals) = (SELECT max(date) FROM fx_bars WHERE date <= DATE '2001-07-16')
+         AND (SELECT max(date) FROM fx_benchmark WHERE date <= DATE '2001-07-16') >= (SELECT max(date) FROM fx_bars WHERE date <= DATE '2001-07-16') AS consistent
 """)
 def sync_consistency(spark, folder):
     market = Market(spark, folder)
     out = signals(market).agg(F.count("*").alias("signals"), F.max("signal_date").alias("signal_date"))
     companies = market.companies.agg(F.count("*")).scalar()
     index = market.staged_benchmark.filter("date <= DATE '2001-07-16'").agg(F.max("date")).scalar()
-    return out.withColumns({"companies": companies, "benchmark_date": index}).withColumn(
-        "consistent", (F.col("signals") == F.col("companies")) & (F.col("signal_date") <= F.col("benchmark_date")))
+    prices = market.staged_bars.filter("date <= DATE '2001-07-16'").agg(F.max("date")).scalar()
+    return out.withColumns({"companies": companies, "benchmark_date": index, "price_date": prices}).withColumn(
+        "consistent", (F.col("signals") == F.col("companies")) & (F.col("signal_date") == F.col("price_date"))
+        & (F.col("benchmark_date") >= F.col("price_date")))
 
 
 @query("validate_layer", """

@@ -2,12 +2,12 @@
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
 from tapeframe.operators import prices as px
-from tapeframe.operators.quality import count_if, repeated, union_all
+from tapeframe.operators.quality import count_if, union_all
 from tapeframe.operators.ranking import global_row_number
 from tapeframe.plans.prices import all_periods, generations, RUN_ID
 from tapeframe.plans.quality import annual, cleaned
@@ -87,21 +87,22 @@ def sink_chunked_csv(spark, folder):
     return spark.read.csv(path, header=True, schema="ticker string, date date, close double")
 
 
+EXPORTED = [("companies", 10_000), ("price_daily", 20_000), ("corporate_actions", 50_000)]
+
+
 @query("export_manifest", """
 SELECT 'companies' AS tbl, count(*) AS rows, 1 AS load_order, true AS complete FROM fx_companies
 UNION ALL SELECT 'price_daily', count(*), 2, true FROM fx_bars UNION ALL SELECT 'corporate_actions', count(*), 3, true FROM fx_actions
 """)
 def export_manifest(spark, folder):
-    """Rows per exported table, with every part's size and digest present."""
+    """Rows per exported table, summed over the manifest's parts."""
     market = Market(spark, folder)
     parts = []
-    for order, (name, rows, chunk) in enumerate([("companies", market.companies, 10_000), ("price_daily", market.bars, 20_000),
-                                                 ("corporate_actions", market.actions, 50_000)], 1):
+    for order, ((name, chunk), rows) in enumerate(zip(EXPORTED, (market.companies, market.bars, market.actions)), 1):
         path = tb.write_chunked_csv(rows, name, chunk)
-        files = tb.file_manifest(spark, path).agg((F.min(F.length("sha256")) == 64).alias("a"), F.min("bytes").alias("b"))
-        count = spark.read.csv(path, header=True, schema=rows.schema).agg(F.count("*")).scalar()
-        parts.append(files.select(F.lit(name).alias("tbl"), count.alias("rows"), F.lit(order).alias("load_order"),
-                                  (F.col("a") & (F.col("b") > 0)).alias("complete")))
+        whole = (F.min(F.length("sha256")) == 64) & (F.min("bytes") > 0) & (F.max("rows") <= chunk)
+        parts.append(tb.part_manifest(spark, path, rows.schema).agg(F.sum("rows").alias("rows"), whole.alias("complete")).select(
+            F.lit(name).alias("tbl"), "rows", F.lit(order).alias("load_order"), "complete"))
     return union_all(parts)
 
 
@@ -269,27 +270,83 @@ def fk_orphans(spark, folder):
     return star.price_fact().join(damaged, "company_id", "left_anti").groupBy("company_id").agg(F.count("*").alias("orphans"))
 
 
-@query("validate_bundle", """
-SELECT 'price_daily' AS tbl, count(*) AS rows, CAST(0 AS BIGINT) AS duplicate_keys, count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS null_prices,
-       CAST(0 AS BIGINT) AS orphans, count(*) FILTER (source_checksum IS NOT NULL AND length(source_checksum) <> 66) AS bad_checksums FROM fact_price
-UNION ALL SELECT 'financial_values', count(*), 0, 0, 0, 0 FROM fact_fin
+def _bundle_sql(bundle: str, damaged: bool) -> str:
+    """Checks of the three facts; the damaged bundle has lost ids from its dimensions, repeats rows, and lost prices and prefixes."""
+    lost = "% 10 = 0" if damaged else "< 0"
+    repeat = "UNION ALL SELECT * FROM {0} WHERE company_id % 7 = 1" if damaged else ""
+    close = "CASE WHEN company_id % 5 = 2 THEN NULL ELSE close END" if damaged else "close"
+    mark = "CASE WHEN company_id % 4 = 3 THEN substr(row_checksum, 3) ELSE row_checksum END" if damaged else "row_checksum"
+
+    def part(tbl, source, keys, nulls, bad, other, expected):
+        return f"""
+SELECT '{bundle}' AS bundle, '{tbl}' AS tbl, sum(n)::BIGINT AS rows, any_value(expected) AS manifest_rows, count(*) FILTER (n > 1) AS duplicate_keys,
+       sum(nulls)::BIGINT AS null_values, sum(lost_company)::BIGINT AS company_orphans, sum(lost_source)::BIGINT AS source_orphans,
+       sum(lost_other)::BIGINT AS item_orphans, sum(bad)::BIGINT AS bad_checksums
+FROM (SELECT {keys}, count(*) AS n, (SELECT count(*) FROM {expected}) AS expected, count(*) FILTER ({nulls}) AS nulls,
+             count(*) FILTER (company_id {lost}) AS lost_company, count(*) FILTER (source_id {'= 1' if damaged else '< 0'}) AS lost_source,
+             count(*) FILTER ({other} {'= 1' if damaged else '< 0'}) AS lost_other, count(*) FILTER ({bad}) AS bad
+      FROM ({source} {repeat.format(f'({source})')}) GROUP BY {keys})"""
+
+    price = f"SELECT company_id, date, open, high, low, {close} AS close, source_id, {mark} AS row_checksum, source_checksum FROM fact_price"
+    broken = "coalesce(length(row_checksum) <> 66 OR NOT starts_with(row_checksum, '\\x'), true) OR length(source_checksum) <> 66"
+    return " UNION ALL ".join([
+        part("price_daily", price, "company_id, date", "open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL", broken, "CAST(NULL AS BIGINT)", "fact_price"),
+        part("financial_values", "SELECT * FROM fact_fin", "company_id, period_kind, period_end, statement_id, item_id", "value IS NULL", "false", "item_id", "fact_fin"),
+        part("corporate_actions", "SELECT *, CAST(NULL AS BIGINT) AS source_id FROM fact_act", "company_id, ex_date, action_type_id", "ex_date IS NULL", "false",
+             "action_type_id", "fact_act")])
+
+
+view("fact_act", """
+SELECT c.id AS company_id, a.ex_date, t.id AS action_type_id FROM fx_actions a JOIN dim_company c ON c.ticker = a.ticker JOIN dim_type t ON t.action_type = a.action_type
 """)
+FAULTS = ["duplicate_keys", "null_values", "company_orphans", "source_orphans", "item_orphans", "bad_checksums"]
+
+
+def bundle_checks(rows: DataFrame, manifest_rows: Column, keys: list[str], nulls: Column, bad: Column, dims: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """Row, key, null, orphan and checksum counts of one fact, from a single aggregation per key and one over the keys."""
+    for dim, column, name in dims:
+        known = dim.select(F.col("id").alias(column), F.lit(True).alias(f"_{name}"))
+        rows = rows.join(known, column, "left").withColumn(name, F.col(column).isNotNull() & F.col(f"_{name}").isNull())
+    for name in ("company_orphans", "source_orphans", "item_orphans"):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(False))
+    per_key = rows.groupBy(*keys).agg(F.count("*").alias("n"), count_if(nulls).alias("null_values"), count_if(bad).alias("bad_checksums"),
+                                      *[count_if(F.col(n)).alias(n) for n in ("company_orphans", "source_orphans", "item_orphans")])
+    total = [F.sum(n).alias(n) for n in FAULTS if n != "duplicate_keys"]
+    return per_key.agg(F.sum("n").alias("rows"), count_if(F.col("n") > 1).alias("duplicate_keys"), *total).withColumn("manifest_rows", manifest_rows)
+
+
+@query("validate_bundle", "SELECT *, rows = manifest_rows AND " + " + ".join(FAULTS) + " = 0 AS valid FROM ("
+       + _bundle_sql("intact", False) + " UNION ALL " + _bundle_sql("damaged", True) + ")")
 def validate_bundle(spark, folder):
+    """The checks of an export over the bundle as it is and over a damaged one."""
     star = Star(Market(spark, folder))
-    known = star.company.select(F.col("id").alias("company_id"))
-    prices, fin = stage(star.price_fact(), "price_fact"), stage(star.financial_fact(), "fin_fact")
-    orphans = lambda rows: rows.join(known, "company_id", "left_anti").agg(F.count("*")).scalar()
-    missing = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
-    bad = F.col("source_checksum").isNotNull() & (F.length("source_checksum") != 66)
-    a = prices.agg(F.count("*").alias("rows"), count_if(missing).alias("null_prices"), count_if(bad).alias("bad_checksums")).select(
-        F.lit("price_daily").alias("tbl"), "rows", repeated(prices, ["company_id", "date"]).alias("duplicate_keys"), "null_prices",
-        orphans(prices).alias("orphans"), "bad_checksums")
-    keys = ["company_id", "period_kind", "period_end", "statement_id", "item_id"]
-    zero = F.lit(0).cast("long")
-    b = fin.agg(F.count("*").alias("rows")).select(
-        F.lit("financial_values").alias("tbl"), "rows", repeated(fin, keys).alias("duplicate_keys"), zero.alias("null_prices"),
-        orphans(fin).alias("orphans"), zero.alias("bad_checksums"))
-    return a.unionByName(b)
+    price, fin, acts = stage(star.price_fact(), "price_fact"), stage(star.financial_fact(), "fin_fact"), stage(star.action_fact(), "action_fact")
+    out = []
+    for bundle in ("intact", "damaged"):
+        damaged = bundle == "damaged"
+        broken = lambda rows: rows.union(rows.filter("company_id % 7 = 1")) if damaged else rows
+        keep = lambda dim, lost: dim.filter(~lost) if damaged else dim
+        company, source = keep(star.company, F.col("id") % 10 == 0), keep(star.source, F.col("id") == 1)
+        item, kind = keep(star.item, F.col("id") == 1), keep(star.kind, F.col("id") == 1)
+        p = price
+        if damaged:
+            p = p.withColumns({"close": F.when(F.col("company_id") % 5 == 2, None).otherwise(F.col("close")),
+                               "row_checksum": F.when(F.col("company_id") % 4 == 3, F.substring("row_checksum", 3, 64)).otherwise(F.col("row_checksum"))})
+        no_price = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
+        bad = (F.coalesce((F.length("row_checksum") != 66) | ~F.col("row_checksum").startswith("\\x"), F.lit(True))
+               | F.coalesce(F.length("source_checksum") != 66, F.lit(False)))
+        never = F.lit(False)
+        for name, rows, whole, keys, nulls, wrong, dims in (
+                ("price_daily", p, price, ["company_id", "date"], no_price, bad, [(company, "company_id", "company_orphans"), (source, "source_id", "source_orphans")]),
+                ("financial_values", fin, fin, ["company_id", "period_kind", "period_end", "statement_id", "item_id"], F.col("value").isNull(), never,
+                 [(company, "company_id", "company_orphans"), (source, "source_id", "source_orphans"), (item, "item_id", "item_orphans")]),
+                ("corporate_actions", acts, acts, ["company_id", "ex_date", "action_type_id"], F.col("ex_date").isNull(), never,
+                 [(company, "company_id", "company_orphans"), (kind, "action_type_id", "item_orphans")])):
+            checks = bundle_checks(broken(rows), whole.agg(F.count("*")).scalar(), keys, nulls, wrong, dims)
+            faults = sum((F.col(n) for n in FAULTS), F.lit(0))
+            out.append(checks.select(F.lit(bundle).alias("bundle"), F.lit(name).alias("tbl"), "rows", "manifest_rows", *FAULTS,
+                                     ((F.col("rows") == F.col("manifest_rows")) & (faults == 0)).alias("valid")))
+    return union_all(out)
 
 
 @query("dataset_manifest", """

@@ -95,6 +95,12 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
                         F.sha2("content", 256).alias("sha256"))
 
 
+def part_manifest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Name, rows, size and digest of each part."""
+    rows = spark.read.csv(path, header=True, schema=schema).groupBy(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file")).agg(F.count("*").alias("rows"))
+    return file_manifest(spark, path).join(rows, "file", "left").fillna(0, ["rows"]).select("file", "rows", "bytes", "sha256")
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """Order-free fingerprint of a table: row count and two sums of row hashes."""
     content = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in rows.columns])
