@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
+import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,17 +59,24 @@ def config(id_: int, name: str, strategy: Strategy, cost: float = 0.0015, vol_ta
 
 
 def grid(base: Strategy, axes: dict, count: int) -> list[dict]:
-    """The base configuration, then distinct combinations of the axes in digest order."""
-    picked = [config(0, "baseline", base)]
-    combos = []
-    for values in itertools.product(*axes.values()):
-        changes = dict(zip(axes, values))
+    """The base configuration, then ``count - 1`` distinct combinations of the axes, drawn by digest.
+
+    Draw n picks the combination whose number is the digest of n, so neither the product of the axes is listed nor
+    does a longer sample change a shorter one.
+    """
+    sizes = [len(values) for values in axes.values()]
+    total = math.prod(sizes)
+    picked, seen, draw = [config(0, "baseline", base)], set(), 0
+    while len(picked) < count and len(seen) < total:
+        number = int(hashlib.sha256(f"draw {draw}".encode()).hexdigest(), 16) % total
+        draw += 1
+        if number in seen:
+            continue
+        seen.add(number)
+        changes = {}
+        for (name, values), size in zip(axes.items(), sizes):
+            changes[name], number = values[number % size], number // size
         text = ";".join(f"{k}={v}" for k, v in sorted(changes.items()))
-        combos.append((hashlib.sha256(text.encode()).hexdigest(), text, changes))
-    for _, text, changes in sorted(combos, key=lambda c: c[:2]):
-        if len(picked) == count:
-            break
-        changes = dict(changes)
         if "profile" in changes:
             changes["component_weights"] = PROFILES[changes.pop("profile")]
         candidate = base.with_(**changes)
@@ -78,70 +86,89 @@ def grid(base: Strategy, axes: dict, count: int) -> list[dict]:
 
 
 def ablations(base: Strategy) -> list[dict]:
-    """Baseline, one component removed at a time, no trailing stop, shorter exit average."""
+    """Baseline and one component removed at a time.
+
+    Variants of exits (trailing stop, exit average) do not change a set-based return and are left out.
+    """
     out = [("baseline", base)]
     for name in base.component_weights:
         out.append((f"without_{name}", base.with_(component_weights={**base.component_weights, name: 0.0})))
-    out += [("without_trailing_stop", base.with_(trailing_stop=1.0)), ("exit_ma50", base.with_(exit_ma=50))]
     return [config(i, n, s) for i, (n, s) in enumerate(out)]
 
 
 def experiments(base: Strategy) -> list[dict]:
-    guard = base.with_(exit_score=30.0, minimum_holding_days=20, cooldown_days=10)
-    return [config(0, "baseline", base), config(1, "turnover_guard", guard),
-            config(2, "volatility_cap", base, vol_target=0.025), config(3, "guard_and_cap", guard, vol_target=0.025)]
+    """Baseline and volatility cap; the turnover guard works through exits, which a set-based return has not got."""
+    return [config(0, "baseline", base), config(1, "volatility_cap", base, vol_target=0.025)]
 
 
-# The local changes around a chosen configuration.
-NEIGHBOUR_STEPS = [("entry_score", -5), ("entry_score", 5), ("exit_score", -5), ("exit_score", 5),
-                   ("max_positions", -5), ("max_positions", 5), ("minimum_holding_days", -5),
-                   ("minimum_holding_days", 5), ("fa_weight", -.05), ("fa_weight", .05)]
+# The local changes around a chosen configuration that change a set-based return.
+NEIGHBOUR_STEPS = [("entry_score", -5), ("entry_score", 5), ("max_positions", -5), ("max_positions", 5), ("fa_weight", -.05), ("fa_weight", .05)]
+LIMITS = {"max_positions": (1, 10 ** 6), "fa_weight": (.05, .9)}
 
 
-def neighbours(parent: int, strategy: Strategy, first_id: int) -> list[dict]:
-    limits = {"max_positions": (1, 10 ** 6), "minimum_holding_days": (0, 10 ** 6), "fa_weight": (.05, .9)}
+def neighbours(parent: dict, first_id: int) -> list[dict]:
+    """Local changes of one configuration."""
     out = []
     for i, (name, step) in enumerate(NEIGHBOUR_STEPS):
-        low, high = limits.get(name, (float("-inf"), float("inf")))
-        value = min(high, max(low, getattr(strategy, name) + step))
-        out.append(config(first_id + i, f"{name}{step:+}", strategy.with_(**{name: value}), parent=parent))
+        low, high = LIMITS.get(name, (float("-inf"), float("inf")))
+        out.append({**parent, "config": first_id + i, "parent": parent["config"], "name": f"{name}{step:+}",
+                    name: type(parent[name])(min(high, max(low, parent[name] + step)))})
     return out
 
 
+MEMBER = ("config", "entry_score", "regime_ma", "max_positions", "liquidity", "cost", "vol_target")
+SCORING = (*PROFILES["balanced"], "fa_weight", "volume_ratio")
+
+
+def _kinds(names) -> str:
+    kind = {"name": "string", **{n: "bigint" for n in ("config", "parent", "regime_ma", "max_positions")}}
+    return ",".join(f"{n}:{kind.get(n, 'double')}" for n in names)
+
+
 def config_array(configs: list[dict]) -> Column:
-    def typed(k, v):
-        kind = "string" if k == "name" else "double" if isinstance(v, float) else "long"
-        return F.lit(v).cast(kind).alias(k)
+    """The configurations as one constant; their number is that of the sweep."""
+    rows = [{k: c[k] for k in CONFIG_FIELDS} for c in configs]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_kinds(CONFIG_FIELDS)}>>")
+
 
-    return F.array(*[F.struct(*[typed(k, c[k]) for k in CONFIG_FIELDS]) for c in configs])
+def scoring_array(configs: list[dict]) -> Column:
+    """Configurations by what they score alike, each group with its least entry score."""
+    groups: dict[tuple, dict] = {}
+    for c in configs:
+        group = groups.setdefault(tuple(c[k] for k in SCORING), {**{k: c[k] for k in SCORING}, "least": c["entry_score"], "members": []})
+        group["least"] = min(group["least"], c["entry_score"])
+        group["members"].append({k: c[k] for k in MEMBER})
+    kind = f"array<struct<{_kinds(SCORING)},least:double,members:array<struct<{_kinds(MEMBER)}>>>>"
+    return F.from_json(F.lit(json.dumps(list(groups.values()))), kind)
 
 
-def sweep_panel(history: DataFrame, configs: Column, min_liquidity: float, keep: Column | None = None,
-                fill: str = "px") -> DataFrame:
+def sweep_panel(history: DataFrame, configs: list[dict], fill: str = "px") -> DataFrame:
     """Every bar under every configuration that would enter it.
 
-    Gates that no configuration can change come first; the rest are tested on the
-    exploded row at once, so only entering pairs go any further.  ``keep`` may narrow
-    the configurations at run time, ``fill`` names the price that fills orders.
+    Gates that no configuration can change come first.  A bar is scored once for each way of scoring, and only where
+    that reaches the least entry score the configurations of that group are looked at, so only entering pairs go any
+    further.  ``fill`` names the price that fills orders.
     """
     c = F.col
     core = (c("r12").isNotNull() & c("ma200").isNotNull() & c("effective_fa").isNotNull() & c("fa_eligible")
-            & (c("avg_trading_value20") >= min_liquidity))
+            & (c("avg_trading_value20") >= min(k["liquidity"] for k in configs)))
     own = F.lead(fill, 1).over(by_date()), F.lead(fill, 2).over(by_date())
     rows = history.withColumns({"px1": own[0], "px2": own[1], "prev_vol": F.lag("volatility20").over(by_date()),
                                 "prev_adv": F.lag("avg_trading_value20").over(by_date())}).filter(core)
     rows = rows.withColumn("strength", selection_strength("r3", "r6", "r12", "rs6"))
-    rows = rows.select("*", F.explode(configs).alias("c"))
-    rows = rows if keep is None else rows.filter(keep)
-    k = lambda n: c(f"c.{n}")
-    passed = components(k("volume_ratio"))
-    market = sum((passed[n].cast("double") * k(n) for n in PROFILES["balanced"]), F.lit(0.0))
-    regime = F.when(k("regime_ma") == 50, c("bm_ma50")).when(k("regime_ma") == 100, c("bm_ma100")).otherwise(c("bm_ma200"))
-    rows = rows.withColumn("score", c("effective_fa") * k("fa_weight") + market * (1 - k("fa_weight")))
-    enter = (c("score") >= k("entry_score")) & (c("avg_trading_value20") >= k("liquidity")) & (c("bm_px") >= regime)
-    return rows.filter(enter).select(
-        k("config").alias("config"), "ticker", "date", "score", "strength", "px", "px1", "px2", "prev_vol", "prev_adv",
-        k("max_positions").alias("max_positions"), k("cost").alias("cost"), k("vol_target").alias("vol_target"))
+    rows = rows.select("*", F.explode(scoring_array(configs)).alias("g"))
+    g = lambda n: c(f"g.{n}")
+    passed = components(g("volume_ratio"))
+    market = sum((passed[n].cast("double") * g(n) for n in PROFILES["balanced"]), F.lit(0.0))
+    rows = rows.withColumn("score", c("effective_fa") * g("fa_weight") + market * (1 - g("fa_weight"))).filter(c("score") >= g("least"))
+
+    def enters(m):
+        regime = F.when(m["regime_ma"] == 50, c("bm_ma50")).when(m["regime_ma"] == 100, c("bm_ma100")).otherwise(c("bm_ma200"))
+        return (c("score") >= m["entry_score"]) & (c("avg_trading_value20") >= m["liquidity"]) & (c("bm_px") >= regime)
+
+    rows = rows.withColumn("m", F.explode(F.filter(g("members"), enters)))
+    return rows.select("m.config", "ticker", "date", "score", "strength", "px", "px1", "px2", "prev_vol", "prev_adv",
+                       "m.max_positions", "m.cost", "m.vol_target")
 
 
 def members(panel: DataFrame, most_positions: int) -> DataFrame:
@@ -159,7 +186,7 @@ def with_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", scale / F.col("max_positions"))
 
 
-def daily_returns(picked: DataFrame, calendar: DataFrame, configs: Column, keep: Column | None = None) -> DataFrame:
+def daily_returns(picked: DataFrame, calendar: DataFrame, configs: Column) -> DataFrame:
     """Return, turnover and holdings of each configuration on every session.
 
     Decided at t, filled at the ticker's next bar, earning to the one after.  What
@@ -175,7 +202,7 @@ def daily_returns(picked: DataFrame, calendar: DataFrame, configs: Column, keep:
                                                   F.sum("came").alias("came"), F.sum("weight").alias("exposure"))
     left = rows.filter("goes = 1").groupBy("config", (F.col("session") + 1).alias("session")).agg(F.count("*").alias("went"))
     every = calendar.select("date", "session", F.explode(configs).alias("c"))
-    every = (every if keep is None else every.filter(keep)).select(
+    every = every.select(
         "date", "session", F.col("c.config").alias("config"), F.col("c.max_positions").alias("n"), F.col("c.cost").alias("cost"))
     out = every.join(today, ["config", "session"], "left").join(left, ["config", "session"], "left").fillna(
         0, ["came", "went", "holdings"]).fillna(0.0, ["gain", "exposure"])
@@ -184,12 +211,15 @@ def daily_returns(picked: DataFrame, calendar: DataFrame, configs: Column, keep:
                       turnover.alias("turnover"), "holdings", (1 - F.col("exposure")).alias("cash_weight"))
 
 
-def sweep(history: DataFrame, calendar: DataFrame, configs: list[dict], keep: Column | None = None,
-          fill: str = "px") -> DataFrame:
+def sweep(history: DataFrame, calendar: DataFrame, configs: list[dict], fill: str = "px") -> DataFrame:
     """Daily results of every configuration."""
-    array = config_array(configs)
-    panel = sweep_panel(history, array, min(c["liquidity"] for c in configs), keep, fill)
-    return daily_returns(members(panel, max(c["max_positions"] for c in configs)), calendar, array, keep)
+    panel = sweep_panel(history, configs, fill)
+    return daily_returns(members(panel, max(c["max_positions"] for c in configs)), calendar, config_array(configs))
+
+
+def at_cost(daily: DataFrame, more: float) -> DataFrame:
+    """The same days at a cost higher by ``more``."""
+    return daily.withColumn("ret", F.col("ret") - more * F.col("turnover"))
 
 
 def running_equity(rows: DataFrame, by: list[str], ret: str) -> DataFrame:

@@ -16,27 +16,21 @@ from tapeframe.runtime import stage
 from tapeframe.sources.driver import Market
 
 BASE = ON_FIXTURES.with_(entry_score=40.0, max_positions=5)
-AXES = {"fa_weight": (0.1, 0.2, 0.4), "profile": tuple(rs.PROFILES), "entry_score": (30.0, 40.0, 50.0),
-        "minimum_volume_ratio": (0.8, 1.2), "regime_ma": (50, 100, 200), "max_positions": (5, 10)}
-GRID = rs.grid(BASE, AXES, 8)
+# The axes of the search that a set-based return depends on.
+AXES = {"fa_weight": (0.1, 0.2, 0.3, 0.4), "profile": tuple(rs.PROFILES), "entry_score": (30.0, 40.0, 50.0), "minimum_volume_ratio": (0.8, 1.0, 1.2),
+        "regime_ma": (50, 100, 200), "max_positions": (5, 10, 20), "minimum_trading_value": (BASE.minimum_trading_value, 2 * BASE.minimum_trading_value)}
+SAMPLE = 384  # configurations of a published search
+GRID = rs.grid(BASE, AXES, SAMPLE)
 ABLATIONS = rs.ablations(BASE)
 EXPERIMENTS = rs.experiments(BASE)
-STRESS = [{**c, "cost": 0.003} for c in GRID]
 BASELINE = [rs.config(0, "baseline", BASE)]
 PERIODS = [("train", "1997-01-01", "1999-12-31"), ("validation", "2000-01-01", "2000-12-31"),
            ("stress", "2001-01-01", "2099-12-31"), ("full", "1900-01-01", "2099-12-31")]
 CUTOFFS = [1999, 2000, 2001]
-FREE = {"min_positions": 0.0, "max_turnover": 1e9}
+EXTRA_COST = 0.0015  # doubles the one-way cost
 
 
-def _strategy_of(c: dict):
-    changes = dict(fa_weight=c["fa_weight"], entry_score=c["entry_score"], minimum_volume_ratio=c["volume_ratio"],
-                   regime_ma=c["regime_ma"], max_positions=c["max_positions"],
-                   component_weights={k: c[k] for k in rs.PROFILES["balanced"]})
-    return BASE.with_(**changes)
-
-
-NEIGHBOURS = [n for c in GRID for n in rs.neighbours(c["config"], _strategy_of(c), 1000 + 100 * c["config"])]
+NEIGHBOURS = rs.neighbours(GRID[0], 1000)
 
 
 def _flag(text: str) -> str:
@@ -65,10 +59,22 @@ JOIN fx_asof_fa_late l ON l.ticker = h.ticker AND l.date = h.date
 """)
 
 
-def _register_sweep(p: str, configs: list[dict], source: str = "rs_hist") -> None:
+def _register_sweep(p: str, configs: list[dict] | str, source: str = "rs_hist") -> None:
+    """Views of a sweep in SQL over listed configurations, or over those a statement selects."""
+    if isinstance(configs, str):
+        view(f"{p}_cfg", configs)
+    else:
+        _list_configs(p, configs)
+    _sweep_views(p, source)
+
+
+def _list_configs(p: str, configs: list[dict]) -> None:
     rows = ", ".join("(" + ", ".join(repr(c[k]) if k == "name" else f"{c[k]!r}::DOUBLE" if isinstance(c[k], float) else str(c[k])
                                      for k in rs.CONFIG_FIELDS) + ")" for c in configs)
     view(f"{p}_cfg", f"SELECT * FROM (VALUES {rows}) AS t({', '.join(rs.CONFIG_FIELDS)})")
+
+
+def _sweep_views(p: str, source: str) -> None:
     view(f"{p}_panel", f"""
 SELECT * FROM (
   SELECT c.config, h.ticker, h.date, h.strength, h.px, h.px1, h.px2, h.prev_vol, h.prev_adv, c.max_positions, c.cost, c.vol_target, c.entry_score,
@@ -100,7 +106,7 @@ LEFT JOIN (SELECT m.config, m.session + 1 AS session, count(*) AS went
 """)
 
 
-for _p, _configs in (("base", BASELINE), ("sw", GRID), ("abl", ABLATIONS), ("exq", EXPERIMENTS), ("dbl", STRESS), ("nbr", NEIGHBOURS)):
+for _p, _configs in (("base", BASELINE), ("sw", GRID), ("abl", ABLATIONS), ("exq", EXPERIMENTS), ("nbr", NEIGHBOURS)):
     _register_sweep(_p, _configs)
 _register_sweep("lag", GRID, "rs_hist_late")
 
@@ -142,14 +148,14 @@ def daily_of(market: Market, configs: list[dict], lag_days: int | None = None) -
 
 
 def picked_of(market: Market, configs: list[dict]) -> DataFrame:
-    panel = rs.sweep_panel(research_history(market), rs.config_array(configs), min(c["liquidity"] for c in configs))
+    panel = rs.sweep_panel(research_history(market), configs)
     return rs.members(panel, max(c["max_positions"] for c in configs))
 
 
 @query("cross_config_panel", "SELECT config, date, count(*) AS entries, round(max(score) + 1e-9, 6) AS best FROM sw_panel GROUP BY config, date")
 def cross_config_panel(spark, folder):
     """Bars under every configuration that would enter them, summarised per configuration and session."""
-    panel = rs.sweep_panel(research_history(Market(spark, folder)), rs.config_array(GRID), BASE.minimum_trading_value)
+    panel = rs.sweep_panel(research_history(Market(spark, folder)), GRID)
     return panel.groupBy("config", "date").agg(F.count("*").alias("entries"), F.max("score").alias("best")).select(
         "config", "date", "entries", *rounded(["best"], 6))
 
@@ -160,7 +166,7 @@ FROM sw_cfg c LEFT JOIN sw_panel p ON p.config = c.config GROUP BY ALL
 """)
 def config_grid(spark, folder):
     """The candidate configurations of the search and how many bars each would enter."""
-    panel = rs.sweep_panel(research_history(Market(spark, folder)), rs.config_array(GRID), BASE.minimum_trading_value)
+    panel = rs.sweep_panel(research_history(Market(spark, folder)), GRID)
     rows = spark.createDataFrame([tuple(c[k] for k in ("config", "name", "entry_score", "fa_weight", "regime_ma", "max_positions"))
                                   for c in GRID], "config long, name string, entry_score double, fa_weight double, regime_ma long, max_positions long")
     counts = panel.groupBy("config").agg(F.count("*").alias("entries"))
@@ -169,13 +175,13 @@ def config_grid(spark, folder):
 
 @query("config_variants", "SELECT 'ablation' AS family, c.name, count(p.ticker) AS entries FROM abl_cfg c LEFT JOIN abl_panel p ON p.config = c.config GROUP BY ALL "
        "UNION ALL SELECT 'experiment', c.name, count(p.ticker) FROM exq_cfg c LEFT JOIN exq_panel p ON p.config = c.config GROUP BY ALL "
-       "UNION ALL SELECT 'neighbour', c.name, count(p.ticker) FROM nbr_cfg c LEFT JOIN nbr_panel p ON p.config = c.config WHERE c.parent = 0 GROUP BY ALL")
+       "UNION ALL SELECT 'neighbour', c.name, count(p.ticker) FROM nbr_cfg c LEFT JOIN nbr_panel p ON p.config = c.config GROUP BY ALL")
 def config_variants(spark, folder):
     """Ablations, experiments and local neighbours of the baseline, each with the bars it would enter."""
     hist = stage(research_history(Market(spark, folder)), "history")
     out = None
-    for family, configs in (("ablation", ABLATIONS), ("experiment", EXPERIMENTS), ("neighbour", [n for n in NEIGHBOURS if n["parent"] == 0])):
-        panel = rs.sweep_panel(hist, rs.config_array(configs), BASE.minimum_trading_value)
+    for family, configs in (("ablation", ABLATIONS), ("experiment", EXPERIMENTS), ("neighbour", NEIGHBOURS)):
+        panel = rs.sweep_panel(hist, configs)
         names = spark.createDataFrame([(c["config"], c["name"]) for c in configs], "config long, name string")
         part = names.join(panel.groupBy("config").agg(F.count("*").alias("entries")), "config", "left").fillna(0, ["entries"]).select(
             F.lit(family).alias("family"), "name", "entries")
@@ -373,7 +379,7 @@ def sql_cut(source: str) -> str:
 
 
 view("obj", f"""
-SELECT t.*, CASE WHEN t.annual_turnover > 1e9 OR t.average_positions < 0 THEN -100 - t.annual_turnover ELSE
+SELECT t.*, CASE WHEN t.annual_turnover > {rs.MAX_TURNOVER} OR t.average_positions < {rs.MIN_POSITIONS} THEN -100 - t.annual_turnover ELSE
        0.45 * s_mean + 0.25 * s_min + 2 * a_mean + a_min + 0.5 * (t.cagr - b.cagr) - 0.5 * abs(dd) - 0.02 * t.annual_turnover END AS objective
 FROM ({sql_metrics(sql_cut('sw_daily'), 'config, cutoff', False)}) t
 JOIN ({sql_metrics(sql_cut('bm_daily'), 'cutoff', False)}) b ON b.cutoff = t.cutoff
@@ -387,8 +393,19 @@ WHERE t.sessions >= 252
 view("obj_rank", "SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY round(objective, 6) DESC, config) AS rank FROM obj")
 
 
+def _neighbour_sql(i: int, name: str, step: float) -> str:
+    low, high = rs.LIMITS.get(name, ("-1e300", "1e300"))
+    kind = "BIGINT" if name == "max_positions" else "DOUBLE"
+    return (f"SELECT * REPLACE (CAST({1000 + i} AS BIGINT) AS config, config AS parent, '{name}{step:+}' AS name, "
+            f"CAST(least({high}, greatest({low}, {name} + {step}::DOUBLE)) AS {kind}) AS {name}) "
+            "FROM sw_cfg WHERE config = (SELECT config FROM obj_rank WHERE cutoff = 2001 AND rank = 1)")
+
+
+_register_sweep("win", " UNION ALL ".join(_neighbour_sql(i, n, step) for i, (n, step) in enumerate(rs.NEIGHBOUR_STEPS)))
+
+
 def objective_of(market: Market, daily: DataFrame) -> DataFrame:
-    return rs.objective(daily, index_returns(market), CUTOFFS, **FREE)
+    return rs.objective(daily, index_returns(market), CUTOFFS)
 
 
 @query("training_objective", "SELECT config, round(objective, 6) AS objective FROM obj WHERE cutoff = 2001")
@@ -430,14 +447,14 @@ def walk_forward(spark, folder):
 @query("ablation_select", f"""
 SELECT m.config, c.name, round(m.sharpe, 6) AS sharpe, round(m.maximum_drawdown, 6) AS maximum_drawdown, eligible,
        row_number() OVER (ORDER BY eligible DESC, round(m.sharpe, 6) DESC NULLS LAST, round(m.maximum_drawdown, 6) DESC, m.config) AS rank
-FROM (SELECT *, coalesce(sharpe IS NOT NULL AND average_positions >= 0.1, false) AS eligible
+FROM (SELECT *, coalesce(sharpe IS NOT NULL AND average_positions >= {rs.MIN_POSITIONS}, false) AS eligible
       FROM ({sql_metrics("SELECT * FROM abl_daily WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'", 'config')})) m JOIN abl_cfg c ON c.config = m.config
 """)
 def ablation_select(spark, folder):
     """Variants by training Sharpe, then drawdown; the baseline wins exact ties."""
     daily = daily_of(Market(spark, folder), ABLATIONS).filter("date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
     rows = rs.metrics(daily, ["config"]).withColumn(
-        "eligible", F.col("sharpe").isNotNull() & (F.col("average_positions") >= 0.1))
+        "eligible", F.col("sharpe").isNotNull() & (F.col("average_positions") >= rs.MIN_POSITIONS))
     names = spark.createDataFrame([(c["config"], c["name"]) for c in ABLATIONS], "config long, name string")
     order = Window.orderBy(F.col("eligible").desc(), F.round("sharpe", 6).desc_nulls_last(), F.round("maximum_drawdown", 6).desc(), "config")
     return rows.join(names, "config").select("config", "name", F.round("sharpe", 6).alias("sharpe"),
@@ -446,7 +463,7 @@ def ablation_select(spark, folder):
 
 
 view("scen_daily", """
-SELECT 'normal' AS scenario, * FROM sw_daily UNION ALL SELECT 'double_cost', * FROM dbl_daily UNION ALL SELECT 'fa_lag_plus90', * FROM lag_daily
+SELECT 'normal' AS scenario, * FROM sw_daily UNION ALL SELECT 'double_cost', * REPLACE (ret - 0.0015::DOUBLE * turnover AS ret) FROM sw_daily UNION ALL SELECT 'fa_lag_plus90', * FROM lag_daily
 """)
 view("scen", sql_metrics(sql_periods("scen_daily"), "scenario, config, period", False))
 
@@ -454,7 +471,7 @@ view("scen", sql_metrics(sql_periods("scen_daily"), "scenario, config, period",
 def scenarios_of(market: Market, normal: DataFrame) -> DataFrame:
     """Metrics per scenario, configuration and period: normal, double cost, statements 90 days later."""
     late = daily_of(market, GRID, ON_FIXTURES.reporting_lag_days + 90)
-    twice = daily_of(market, STRESS)
+    twice = rs.at_cost(normal, EXTRA_COST)
     rows = normal.withColumn("scenario", F.lit("normal")).unionByName(twice.withColumn("scenario", F.lit("double_cost"))).unionByName(
         late.withColumn("scenario", F.lit("fa_lag_plus90")))
     return rs.metrics(rs.in_periods(rows, PERIODS), ["scenario", "config", "period"], strict=False)
@@ -487,13 +504,13 @@ GATES = """
   ('full_sharpe_not_worse', s_full_sharpe >= b_full_sharpe),
   ('full_drawdown_within_2pp', s_full_maximum_drawdown >= b_full_maximum_drawdown - 0.02)
 """
-_NBR_TRAIN = "SELECT d.*, c.parent FROM nbr_daily d JOIN nbr_cfg c ON c.config = d.config WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"
+_NBR_TRAIN = "SELECT d.*, c.parent FROM win_daily d JOIN win_cfg c ON c.config = d.config WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"
 view("gate_row", f"""
 SELECT any_value(sel) AS sel, {_wide('b', 'normal', '0')}, {_wide('s', 'normal', 'sel')}, {_wide('d', 'double_cost', 'sel')}, {_wide('l', 'fa_lag_plus90', 'sel')},
   (SELECT count(*) FILTER (sharpe >= baseline_sharpe) FROM wf) AS wins, (SELECT count(*) // 2 + 1 FROM wf) AS need,
-  (SELECT median(sharpe) FROM ({sql_metrics(_NBR_TRAIN, 'config, parent', False)}) WHERE parent = any_value(sel)) AS local_sharpe
+  (SELECT median(sharpe) FROM ({sql_metrics(_NBR_TRAIN, 'config, parent', False)})) AS local_sharpe
 FROM scen, (SELECT config AS sel FROM obj_rank WHERE cutoff = 2001 AND rank = 1)
-""".replace("WHERE parent = any_value(sel))", "WHERE parent = (SELECT config FROM obj_rank WHERE cutoff = 2001 AND rank = 1))"))
+""")
 
 
 def _lookup(scen: DataFrame, alias: str, scenario: str, sel) -> list:
@@ -513,13 +530,15 @@ def promotion_gates(spark, folder):
     calendar = calendar_of(market)
     normal = stage(rs.sweep(hist, calendar, GRID, fill="fill"), "daily")
     winner = stage(rs.ranked(objective_of(market, normal)).filter("cutoff = 2001 AND rank = 1").select("config"), "winner")
-    sel = winner.select("config").scalar()
+    chosen = winner.first()  # one configuration, whose neighbours are swept next
+    chosen = GRID[chosen["config"]] if chosen else GRID[0]
+    sel = F.lit(chosen["config"])
     late = stage(rs.sweep(research_history(market, ON_FIXTURES.reporting_lag_days + 90), calendar, GRID, fill="fill"), "late")
-    twice = stage(rs.sweep(hist, calendar, STRESS, fill="fill"), "twice")
+    twice = rs.at_cost(normal, EXTRA_COST)
     rows = normal.withColumn("scenario", F.lit("normal")).unionByName(twice.withColumn("scenario", F.lit("double_cost"))).unionByName(
         late.withColumn("scenario", F.lit("fa_lag_plus90")))
     scen = stage(rs.metrics(rs.in_periods(rows, PERIODS), ["scenario", "config", "period"], strict=False), "scenarios")
-    local = rs.metrics(rs.sweep(hist, calendar, NEIGHBOURS, F.col("c.parent") == sel, "fill").filter("date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"),
+    local = rs.metrics(rs.sweep(hist, calendar, rs.neighbours(chosen, 1000), "fill").filter("date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"),
                        ["config"], strict=False).agg(F.median("sharpe"))
     wf = stage(walk_forward_rows(market, normal), "walk_forward")
     wins = wf.agg(F.count(F.when(F.col("sharpe") >= F.col("baseline_sharpe"), 1)).alias("w"), F.floor(F.count("*") / 2 + 1).alias("n"))
@@ -549,7 +568,7 @@ EXPERIMENT_GATES = {
 }
 # Equal results may differ in the last bits of a sum, so gates compare at nine decimals.
 EXPERIMENT_GATES = {n: re.sub(r"([cb]_\w+)", r"round(\1, 9)", e) for n, e in EXPERIMENT_GATES.items()}
-_register_sweep("exd", [{**c, "cost": 0.003} for c in EXPERIMENTS])
+view("exd_daily", "SELECT * REPLACE (ret - 0.0015::DOUBLE * turnover AS ret) FROM exq_daily")
 view("ex_all", f"""
 SELECT config, period, cagr, sharpe, maximum_drawdown, annual_turnover, false AS twice FROM ({sql_metrics(sql_periods('exq_daily'), 'config, period', False)})
 UNION ALL SELECT config, period, cagr, sharpe, maximum_drawdown, annual_turnover, true FROM ({sql_metrics(sql_periods('exd_daily'), 'config, period', False)})
@@ -571,7 +590,8 @@ def experiment_gates(spark, folder):
     market = Market(spark, folder)
     hist, calendar = stage(research_history(market), "history"), calendar_of(market)
     once = rs.sweep(hist, calendar, EXPERIMENTS, fill="fill").withColumn("twice", F.lit(False))
-    twice = rs.sweep(hist, calendar, [{**c, "cost": 0.003} for c in EXPERIMENTS], fill="fill").withColumn("twice", F.lit(True))
+    once = stage(once, "experiments")
+    twice = rs.at_cost(once, EXTRA_COST).withColumn("twice", F.lit(True))
     rows = stage(rs.metrics(rs.in_periods(once.unionByName(twice), PERIODS), ["config", "period", "twice"], strict=False), "experiments")
     base = rows.filter("config = 0").select("period", "twice", *[F.col(m).alias(f"b_{m}") for m in METRICS[:4]])
     both = rows.filter("config > 0").join(base, ["period", "twice"])
