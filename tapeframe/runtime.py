@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_own_folders: list[tuple[SparkSession, str]] = []
 
 
 def build_session(master: str = "local[8]", app: str = "tapeframe", **conf: str) -> SparkSession:
@@ -46,7 +47,7 @@ def shared_root(spark: SparkSession) -> str:
     global _local_root
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/") + "/tapeframe"
+        return _own_folder(spark, configured.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if _local_root is None:
@@ -55,6 +56,26 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def _own_folder(spark: SparkSession, configured: str) -> str:
+    """A folder of this process in the shared one, removed when the process ends in order."""
+    for session, path in _own_folders:
+        if path.startswith(f"{configured}/") and session.sparkContext is spark.sparkContext:
+            return path
+    path = f"{configured}/tapeframe-{uuid.uuid4().hex}"
+    _own_folders.append((spark, path))
+    if len(_own_folders) == 1:
+        atexit.register(_remove_own_folders)
+    return path
+
+
+def _remove_own_folders() -> None:
+    for spark, path in _own_folders:
+        if spark.sparkContext._jsc is None:  # stopped: nothing can be reached any more
+            continue
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path nobody has written to yet."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

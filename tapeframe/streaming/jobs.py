@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tapeframe.operators import prices as px
+from tapeframe.operators.ranking import first_per_key
 from tapeframe.runtime import new_path
 
 
@@ -44,10 +47,15 @@ def feed_of(slices: list[DataFrame], name: str) -> Feed:
     return Feed(spark.readStream.schema(schema).parquet(path), path, slices)
 
 
+# Rows of one slice, and so of one trigger, if they are spread evenly over time.
+SLICE_ROWS = 5_000_000
+
+
 def replay(rows: DataFrame, name: str, order: str, parts: int = 3) -> Feed:
-    """A table cut into equal spans of time, oldest first."""
+    """A table cut into equal spans of time, oldest first; their number grows with the table, so that a trigger stays bounded."""
     at = F.col(order).cast("double")
-    low, high = rows.agg(F.min(at), F.max(at)).first()
+    low, high, count = rows.agg(F.min(at), F.max(at), F.count("*")).first()
+    parts = max(parts, -(-count // SLICE_ROWS))
     span = F.floor((at - low) / max(high - low, 1.0) * (parts - 1e-6))
     return feed_of([rows.filter(span == i) for i in range(parts)], name)
 
@@ -119,6 +127,7 @@ def quota_walk(limit: int, window: int) -> Callable:
     return decide
 
 
+CHUNK_ROWS = 50_000
 QUOTA_SCHEMA = "event_id long, subject long, at_s long, allowed boolean, remaining long, retry_after long"
 
 
@@ -128,36 +137,56 @@ def quota_stream(events: DataFrame, limit: int, window: int) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started, used = state.get if state.exists else (0, 0)
-        # One trigger's events of one subject; the source bounds a trigger.
-        rows = pd.concat(list(batches)).sort_values(["at_s", "event_id"])
-        result, started, used = decide(rows, started, used)
+        # Sorting needs a trigger's times and ids of one subject, 16 bytes an event; a slice bounds a trigger.
+        times, ids = zip(*((b["at_s"].to_numpy(np.int64), b["event_id"].to_numpy(np.int64)) for b in batches))
+        times, ids = np.concatenate(times), np.concatenate(ids)
+        order = np.lexsort((ids, times))
+        for at in range(0, len(order), CHUNK_ROWS):
+            some = order[at:at + CHUNK_ROWS]
+            rows = pd.DataFrame({"event_id": ids[some], "subject": key[0], "at_s": times[some]})
+            result, started, used = decide(rows, started, used)
+            yield result[["event_id", "subject", "at_s", "allowed", "remaining", "retry_after"]]
         state.update((started, used))
-        yield result[["event_id", "subject", "at_s", "allowed", "remaining", "retry_after"]]
 
     return events.groupBy("subject").applyInPandasWithState(
         step, QUOTA_SCHEMA, "started long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_lineage(feed: Feed, fetched_at: str, name: str) -> DataFrame:
-    """Merge micro-batches of bars into a versioned table and log what they revised.
+class LineageTable:
+    """Bars by month; an epoch writes only the months it touches, and readers take the newest epoch of each month.
 
-    Each epoch writes a new version from the one before it, which is named by epoch
-    number, so a repeated epoch rebuilds the same version.
+    A repeated epoch replaces what it wrote and reads only earlier ones, so restarts are safe.
     """
+
+    def __init__(self, spark: SparkSession, root: str, columns: StructType):
+        self.spark, self.path, self.log = spark, f"{root}/table", f"{root}/revisions"
+        self.schema = StructType([*columns.fields, StructField("epoch", LongType()), StructField("month", LongType())])
+        empty = spark.createDataFrame([], columns).withColumns({"epoch": F.lit(-1).cast("long"), "month": F.lit(0).cast("long")})
+        empty.write.mode("ignore").partitionBy("epoch", "month").parquet(self.path)
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        found = self.spark.read.schema(self.schema).parquet(self.path)
+        found = found if before is None else found.filter(F.col("epoch") < before)
+        newest = found.groupBy("month").agg(F.max("epoch").alias("epoch"))
+        return found.join(newest, ["month", "epoch"], "left_semi").drop("epoch")
+
+    def merge(self, batch: DataFrame, epoch: int, fetched_at: str) -> None:
+        month = (F.year("date") * 12 + F.month("date")).cast("long")
+        order = [F.col(c).desc_nulls_last() for c in batch.columns if c not in px.KEY]
+        fresh = first_per_key(batch, px.KEY, order)
+        touched = fresh.select(month.alias("month")).distinct()
+        known = self.rows(before=epoch).join(touched, "month", "left_semi").drop("month")
+        merged = px.upsert(known, px.apply_lineage(fresh, known, fetched_at)).select(*[f.name for f in self.schema.fields[:-2]])
+        merged.withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/epoch={epoch}")
+        px.revisions(known, fresh, f"epoch-{epoch}", "stream").write.mode("overwrite").parquet(f"{self.log}/{epoch}")
+
+
+def upsert_lineage(feed: Feed, fetched_at: str, name: str, root: str | None = None) -> DataFrame:
+    """Merge micro-batches of bars into a table by month and log what they revised; the same root goes on where it was."""
     spark = feed.stream.sparkSession
-    root = new_path(spark, name)
-    final = {}
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.dropDuplicates(["ticker", "date"])
-        if epoch == 0:
-            known = fresh.limit(0).withColumns({"fetched_at": F.lit(fetched_at), "data_version": F.lit(1).cast("long")})
-        else:
-            known = spark.read.parquet(f"{root}/table/{epoch - 1}")
-        dated = px.apply_lineage(fresh, known, fetched_at)
-        px.upsert(known, dated).write.mode("overwrite").parquet(f"{root}/table/{epoch}")
-        px.revisions(known, fresh, f"epoch-{epoch}", "stream").write.mode("overwrite").parquet(f"{root}/revisions/{epoch}")
-        final["epoch"] = epoch
-
-    feed.run(feed.stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/table/{final['epoch']}")
+    root = root or new_path(spark, name)
+    none = spark.createDataFrame([], feed.stream.schema).withColumns({"fetched_at": F.lit(fetched_at), "data_version": F.lit(1).cast("long")})
+    table = LineageTable(spark, root, none.schema)
+    feed.run(feed.stream.writeStream.foreachBatch(lambda batch, epoch: table.merge(batch, epoch, fetched_at)).option(
+        "checkpointLocation", f"{root}/checkpoint"))
+    return table.rows().drop("month")
