@@ -13,8 +13,8 @@ from tapeframe.functions.numeric import finite, first_match
 SOURCE_PRIORITY = [("DNSE", 0), ("vnfinancialdata", 10), ("vnstock KBS", 20), ("KBS", 20),
                    ("vnstock VCI", 30), ("VCI", 30)]
 
-# Provider item ids and the canonical code of each.
-ITEM_CODES = {
+# Item ids of each provider and their canonical codes; ids not listed stay as they are.
+LOCAL_ITEMS = {
     "is_doanh_so_thuan": "revenue",
     "is_gia_von_hang_ban": "cogs",
     "is_lai_gop": "gross_profit",
@@ -35,6 +35,8 @@ ITEM_CODES = {
     "cf_tien_mua_tai_san_co_dinh_va_cac_tai_san_dai_han_khac": "capex",
     "cf_khau_hao_tscd": "depreciation",
     "cf_phan_bo_loi_the_thuong_mai": "amortization",
+}
+ENGLISH_ITEMS = {
     "net_revenue": "revenue",
     "cost_of_goods_sold": "cogs",
     "operating_profit": "ebit",
@@ -51,6 +53,32 @@ ITEM_CODES = {
     "depreciation_of_fixed_assets_and_investment_properties": "depreciation",
 }
 
+# Detail codes, their canonical codes and the statement each belongs to; other codes are not taken.
+DETAIL_ITEMS = {
+    "REVENUE": ("revenue", "income_statement"),
+    "NET_REVENUE": ("revenue", "income_statement"),
+    "COST_OF_GOODS_SOLD": ("cogs", "income_statement"),
+    "GROSS_PROFIT": ("gross_profit", "income_statement"),
+    "EBIT": ("ebit", "income_statement"),
+    "INTEREST_EXPENSE": ("interest_expense", "income_statement"),
+    "PROFIT_BEFORE_TAX": ("profit_before_tax", "income_statement"),
+    "PROFIT_AFTER_TAX_PARENT_COMPANY": ("net_income", "income_statement"),
+    "EPS": ("eps", "income_statement"),
+    "TOTAL_ASSETS": ("total_assets", "balance_sheet"),
+    "OWNERS_EQUITY": ("equity", "balance_sheet"),
+    "CASH_AND_CASH_EQUIVALENTS": ("cash_and_cash_equivalents", "balance_sheet"),
+    "SHORT_TERM_ASSETS": ("current_assets", "balance_sheet"),
+    "SHORT_TERM_LIABILITIES": ("current_liabilities", "balance_sheet"),
+    "SHORT_TERM_BORROWINGS": ("short_term_borrowings", "balance_sheet"),
+    "LONG_TERM_BORROWINGS": ("long_term_borrowings", "balance_sheet"),
+    "TOTAL_LIABILITIES": ("total_liabilities", "balance_sheet"),
+    "ACCOUNTS_PAYABLE": ("accounts_payable", "balance_sheet"),
+    "CASH_FLOW": ("operating_cash_flow", "cash_flow"),
+    "CAPEX": ("capex", "cash_flow"),
+    "DEPRECIATION": ("depreciation", "cash_flow"),
+    "AMORTIZATION": ("amortization", "cash_flow"),
+}
+
 # Provider ratio names and our column names.
 RATIO_FIELDS = {
     "marketShare": "market_share", "totalAssets": "total_assets", "eps": "eps_ttm", "pe": "pe", "ps": "ps",
@@ -140,11 +168,23 @@ def normalize_report_period(text: Column, period_type: str) -> Column:
         .otherwise(up))
 
 
-def canonical_item_code(raw: Column) -> Column:
-    """Exact lookup only, so similarly named subtotals never merge."""
-    code = F.regexp_replace(F.lower(F.trim(F.coalesce(raw, F.lit("")))), " ", "_")
-    table = F.create_map(*[F.lit(x) for pair in ITEM_CODES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, code), F.when(code != "", code), F.lit("unknown_item"))
+def _lookup(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def canonical_item_code(raw: Column, items: dict[str, str]) -> Column:
+    """Exact lookup in one provider's ids, so similarly named subtotals never merge; unlisted ids stay."""
+    code = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    code = F.regexp_replace(code, " ", "_") if items is ENGLISH_ITEMS else code
+    return F.coalesce(F.try_element_at(_lookup(items), code), F.when(code != "", code), F.lit("unknown_item"))
+
+
+def detail_item(raw: Column) -> Column:
+    """Canonical code and statement of a detail code; null where it is not taken."""
+    code = F.upper(F.trim(raw))
+    item = F.try_element_at(_lookup({k: v[0] for k, v in DETAIL_ITEMS.items()}), code)
+    statement = F.try_element_at(_lookup({k: v[1] for k, v in DETAIL_ITEMS.items()}), code)
+    return F.when(item.isNotNull(), F.struct(item.alias("item_code"), statement.alias("statement")))
 
 
 def source_priority(source: Column) -> Column:

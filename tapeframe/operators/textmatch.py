@@ -51,6 +51,7 @@ INDUSTRY_HINTS = [
     (["dược"], "dược phẩm"),
     (["điện", "năng lượng"], "điện và năng lượng"),
 ]
+# Industries too wide for news of them.
 UNSPECIFIC_INDUSTRIES = ["sản xuất", "dịch vụ", "khác"]
 
 
@@ -99,12 +100,27 @@ def company_match(docs: DataFrame, companies: DataFrame) -> DataFrame:
     return by_word.select("doc_id", "ticker").union(by_code.select("doc_id", "ticker")).distinct()
 
 
-def industry_match(docs: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
-    """(document, industry) pairs by keyword in the title only."""
+def industry_terms(industry: Column, keywords: dict[str, list[str]], unspecific: list[str]) -> Column:
+    """Terms of every keyword entry that the industry's text contains, else its own name, else none."""
+    text = F.trim(F.lower(industry))
+    listed = F.flatten(F.filter(F.array(*[F.when(text.contains(key), F.array(*map(F.lit, terms))) for key, terms in keywords.items()]), lambda t: t.isNotNull()))
+    own = F.when(~text.isin(unspecific) & (text != ""), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.when(F.size(listed) > 0, listed).otherwise(own))
+
+
+def industry_match(docs: DataFrame, industries: DataFrame, keywords: dict[str, list[str]] = INDUSTRY_KEYWORDS,
+                   unspecific: list[str] = UNSPECIFIC_INDUSTRIES) -> DataFrame:
+    """(document, industry) pairs by a term of the industry in the title only.
+
+    ``industries`` has the distinct industry texts of companies, a short vocabulary by nature; titles meet them by term,
+    and only terms that occur are paired.
+    """
+    terms = industries.select("industry").distinct().select("industry", F.explode(industry_terms(F.col("industry"), keywords, unspecific)).alias("term"))
+    vocabulary = [r.term for r in terms.select("term").distinct().collect()]
     title = F.lower("title")
-    hits = F.array(*[F.when(contains_any(title, terms), F.lit(name)) for name, terms in keywords.items()])
-    fit = docs.filter(article_like(F.col("title")))
-    return fit.select("doc_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("industry"))
+    hits = F.array_compact(F.array(*[F.when(title.contains(t), F.lit(t)) for t in vocabulary])) if vocabulary else F.array().cast("array<string>")
+    fit = docs.filter(article_like(F.col("title"))).select("doc_id", F.explode(hits).alias("term"))
+    return fit.join(terms, "term").select("doc_id", "industry").distinct()
 
 
 def industry_hint(name: Column, industry: Column, hints=INDUSTRY_HINTS) -> Column:

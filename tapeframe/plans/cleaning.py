@@ -183,22 +183,48 @@ FROM (""" + " UNION ALL ".join(f"SELECT ticker, fiscal_year, period_end, '{n}' A
 """)
 
 
+def _sql_values(pairs) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in pair) + ")" for pair in pairs)
+
+
+def provider_ids(items: dict[str, str]) -> dict[str, str]:
+    """One provider id for each canonical code it has."""
+    out: dict[str, str] = {}
+    for raw, code in items.items():
+        out.setdefault(code, raw)
+    return out
+
+
+DETAIL_OF = provider_ids({raw: code for raw, (code, _) in c.DETAIL_ITEMS.items()})
+view("ld_detail", f"SELECT * FROM (VALUES {_sql_values((code, raw, c.DETAIL_ITEMS[raw][1]) for code, raw in DETAIL_OF.items())}) AS t(item_code, raw, detail_statement)")
+
+
 @query("canonical_item_code", """
-SELECT ticker, fiscal_year, CASE WHEN num % 10 = 3 THEN concat('x_', item_code) WHEN num % 10 = 4 THEN 'unknown_item' ELSE item_code END AS item_code,
-       count(*) AS items FROM fx_fin_long GROUP BY ALL
+SELECT provider, ticker, fiscal_year, item_code, statement, count(*) AS items FROM (
+  SELECT provider, ticker, fiscal_year, statement, CASE WHEN num % 10 = 3 THEN concat(CASE provider WHEN 'english' THEN 'x_' ELSE 'x ' END, item_code)
+    WHEN num % 10 = 4 THEN 'unknown_item' ELSE item_code END AS item_code FROM fx_fin_long, (VALUES ('local'), ('english')) AS p(provider)
+  UNION ALL SELECT 'detail', f.ticker, f.fiscal_year, d.detail_statement, f.item_code FROM fx_fin_long f JOIN ld_detail d ON d.item_code = f.item_code
+  WHERE f.num % 10 NOT IN (3, 4)) GROUP BY ALL
 """)
 def canonical_item_code(spark, folder):
-    """Provider ids of every statement row, in upper case and padded, to canonical codes."""
+    """Ids of three providers for every statement row, in odd case and padded, to canonical codes; unlisted and blank ones too."""
     names = list(L.ITEMS)
-    raw_of = {}
-    for raw, code in c.ITEM_CODES.items():
-        raw_of.setdefault(code, raw)
-    raw = F.create_map(*[F.lit(x) for n in names for x in (n, raw_of.get(n, n))])
+    kinds = F.create_map(*[F.lit(x) for pair in L.ITEMS.items() for x in pair])
     long = Market(spark, folder).fin_wide.unpivot(["ticker", "fiscal_year"], names, "code", "value")
-    last = F.expr(L.NUMBER) % 10
-    seen = (F.when(last == 3, F.concat(F.lit("X "), F.col("code"))).when(last == 4, "  ")
-            .otherwise(F.concat(F.lit(" "), F.upper(raw[F.col("code")]))))
-    return long.groupBy("ticker", "fiscal_year", c.canonical_item_code(seen).alias("item_code")).agg(F.count("*").alias("items"))
+    last, code = F.expr(L.NUMBER) % 10, F.col("code")
+
+    def seen(of: dict[str, str]):
+        raw = F.create_map(*[F.lit(x) for n in names for x in (n, of.get(n, n))])[code]
+        return F.when(last == 3, F.concat(F.lit("X "), code)).when(last == 4, "  ").otherwise(F.concat(F.lit(" "), F.upper(raw)))
+
+    parts = []
+    for provider, items in (("local", c.LOCAL_ITEMS), ("english", c.ENGLISH_ITEMS)):
+        parts.append(F.struct(F.lit(provider).alias("provider"), c.canonical_item_code(seen(provider_ids(items)), items).alias("item_code"),
+                              kinds[code].alias("statement")))
+    detail = c.detail_item(seen(DETAIL_OF))
+    parts.append(F.struct(F.lit("detail").alias("provider"), detail["item_code"].alias("item_code"), detail["statement"].alias("statement")))
+    rows = long.select("ticker", "fiscal_year", F.explode(F.array(*parts)).alias("p")).select("ticker", "fiscal_year", "p.*").filter("item_code IS NOT NULL")
+    return rows.groupBy("provider", "ticker", "fiscal_year", "item_code", "statement").agg(F.count("*").alias("items"))
 
 
 @query("source_priority", f"""

@@ -28,9 +28,11 @@ def src_ticker_files(spark, folder):
 
 @query("src_metadata_json", "SELECT ticker, company_name, exchange, market_cap FROM fx_companies")
 def src_metadata_json(spark, folder):
+    """One object per file; a ticker that landed under two spellings of its folder keeps the later folder's object."""
     rows = Market(spark, folder).companies.select("ticker", "company_name", "exchange", "market_cap")
-    path = tb.write_ticker_files(rows, "metadata", "json")
-    return tb.read_ticker_files(spark, path, "company_name string, exchange string, market_cap double", "json")
+    twice = rows.withColumn("ticker", F.lower("ticker")).unionByName(rows.filter(f"{L.NUMBER} % 5 = 0").withColumn("company_name", F.lit("superseded")))
+    path = tb.write_ticker_files(twice, "metadata", "json")
+    return tb.last_per_ticker(tb.read_ticker_files(spark, path, "company_name string, exchange string, market_cap double", "json", multi_line=True))
 
 
 @query("src_completed_universe", f"""

@@ -49,9 +49,19 @@ def company_match(spark, folder):
     return tm.company_match(market.news, companies(market))
 
 
-@query("industry_match", " UNION ALL ".join(f"SELECT doc_id, '{n}' AS industry FROM fx_news WHERE {ARTICLE} AND {sql_any('lower(title)', t)}" for n, t in KEYWORDS.items()))
+# Industry texts of companies: some contain a keyword's name, some stand for themselves, one is too wide.
+INDUSTRIES = ["Retail banking", "steel and energy", "ouxeau", "und", "the", "Other"]
+UNSPECIFIC = ["the", "other"]
+view("tx_terms", "SELECT DISTINCT industry, term FROM (" + " UNION ALL ".join(
+    f"SELECT i.industry, unnest([{', '.join(repr(t) for t in terms)}]) AS term FROM (SELECT unnest({INDUSTRIES}) AS industry) i WHERE contains(lower(i.industry), '{key}')"
+    for key, terms in KEYWORDS.items()) + " UNION ALL SELECT industry, lower(trim(industry)) FROM (SELECT unnest(" + str(INDUSTRIES) + ") AS industry) i WHERE NOT "
+     + sql_any("lower(i.industry)", list(KEYWORDS)) + " AND lower(i.industry) NOT IN (" + ", ".join(f"'{u}'" for u in UNSPECIFIC) + "))")
+
+
+@query("industry_match", f"SELECT DISTINCT n.doc_id, t.industry FROM fx_news n JOIN tx_terms t ON contains(lower(n.title), t.term) WHERE {ARTICLE}")
 def industry_match(spark, folder):
-    return tm.industry_match(Market(spark, folder).news, KEYWORDS)
+    industries = spark.createDataFrame([(i,) for i in INDUSTRIES], "industry string")
+    return tm.industry_match(Market(spark, folder).news, industries, KEYWORDS, UNSPECIFIC)
 
 
 _HINT = "CASE " + " ".join(f"WHEN {sql_any('t', terms)} THEN '{label}'" for terms, label in HINTS) + " ELSE industry END"

@@ -19,13 +19,21 @@ def write_ticker_files(rows: DataFrame, name: str, fmt: str = "csv") -> str:
     return path
 
 
-def read_ticker_files(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
-    """All ticker folders in one scan; the ticker comes from the folder name."""
+def read_ticker_files(spark: SparkSession, path: str, schema: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """All ticker folders in one scan; the ticker comes from the folder name, which is kept as ``folder`` for multi-line objects."""
     reader = spark.read.schema(schema).option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", "true")
+    if multi_line:
+        folder = F.regexp_extract("_metadata.file_path", "folder=([^/]+)/", 1)
+        return reader.json(path, multiLine=True).select(F.upper(F.trim(folder)).alias("ticker"), folder.alias("folder"), "*")
     rows = reader.csv(path, header=True) if fmt == "csv" else reader.json(path)
     return rows.select(F.upper(F.regexp_extract("_metadata.file_path", "folder=([^/]+)/", 1)).alias("ticker"), "*")
 
 
+def last_per_ticker(rows: DataFrame) -> DataFrame:
+    """The row of the last folder, in order of its name, of each ticker."""
+    return first_per_key(rows, ["ticker"], [F.col("folder").desc()]).drop("folder")
+
+
 def completed_universe(rows: DataFrame, completed: DataFrame, active: DataFrame) -> DataFrame:
     return rows.join(completed.select("ticker"), "ticker", "left_semi").join(active.select("ticker"), "ticker", "left_semi")
 
