@@ -11,6 +11,7 @@ from tapeframe.operators.asof import benchmark_panel, calendar_returns
 from tapeframe.operators.fundamentals import effective_fa
 from tapeframe.operators.ranking import global_row_number
 from tapeframe.params import Strategy
+from tapeframe.runtime import stage
 
 FLAGS = {"momentum": "momentum_pass", "relative_strength": "rs_pass", "trend": "trend_pass",
          "breakout": "breakout_pass", "volume": "volume_pass"}
@@ -171,10 +172,10 @@ def with_exit_triggers(frame: DataFrame, strategy: Strategy) -> DataFrame:
 
 def with_rank(frame: DataFrame) -> DataFrame:
     """Candidates numbered from 1 by score, strength and ticker; others have no rank."""
-    order = [F.col("entry_eligible").desc(), F.round("unified_score", 6).desc_nulls_last(),
-             F.round("selection_strength", 6).desc_nulls_last(), F.col("ticker").asc()]
-    ranked = global_row_number(frame, order, "_rank")
-    return ranked.withColumn("unified_rank", F.when(F.col("entry_eligible"), F.col("_rank"))).drop("_rank")
+    scored = stage(frame, "scored")
+    order = [F.round("unified_score", 6).desc_nulls_last(), F.round("selection_strength", 6).desc_nulls_last(), F.col("ticker").asc()]
+    eligible = scored.filter("entry_eligible").select("ticker", "unified_score", "selection_strength")
+    return scored.join(global_row_number(eligible, order, "unified_rank").select("ticker", "unified_rank"), "ticker", "left")
 
 
 def with_final_action(frame: DataFrame, strategy: Strategy) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeframe.runtime import stage
+
 # Words too common in company names to identify one.
 STOP_WORDS = ["ctcp", "cong", "công", "ty", "tap", "tập", "doan", "đoàn", "tong", "tổng", "ngan", "ngân", "hang", "hàng",
               "thuong", "thương", "mai", "mại", "viet", "việt", "nam"]
@@ -85,19 +87,28 @@ def code_tokens(text: Column) -> Column:
 def company_match(docs: DataFrame, companies: DataFrame) -> DataFrame:
     """(document, company) pairs: the ticker as a whole token, or enough distinctive name words.
 
-    Documents and names meet on words, so only documents sharing a word with a name
-    are ever paired with it.
+    Texts are cut into words once, and only words of names and tickers are kept.  A name that needs h of its n words
+    is looked for by its n - h + 1 rarest ones, of which every match has at least one; candidates are then tested on
+    all words.  A word that most names share is thus never joined on unless a name has nothing rarer.
     """
     fit = docs.filter(article_like(F.col("title")) & ~contains_any(F.lower("title"), DERIVATIVE_TERMS))
     body = F.concat_ws(" ", "title", "content")
     own = F.filter(F.array_distinct(words(F.col("company_name"))),
                    lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS))
-    names = companies.select("ticker", F.explode(own).alias("word"), F.when(F.size(own) == 1, 1).otherwise(2).alias("needed"))
-    by_word = fit.select("doc_id", F.explode(F.array_distinct(words(body))).alias("word")).join(names, "word").groupBy(
-        "doc_id", "ticker").agg(F.count("*").alias("hits"), F.max("needed").alias("needed")).filter("hits >= needed")
+    bags = stage(fit.select("doc_id", F.array_distinct(words(body)).alias("bag"), F.array_distinct(code_tokens(body)).alias("codes")), "bags")
+    names = companies.select("ticker", "company_name", own.alias("own"), F.when(F.size(own) == 1, 1).otherwise(2).alias("needed")).distinct()
+    words_of = names.select("*", F.explode("own").alias("word"))
+    seen = bags.select("doc_id", F.explode("bag").alias("word")).join(words_of.select("word").distinct(), "word", "left_semi")
+    seen = stage(seen, "seen")
+    common = words_of.join(seen.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    rarity = Window.partitionBy("ticker", "company_name").orderBy(F.coalesce("n", F.lit(0)), "word")
+    keyed = common.withColumn("rn", F.row_number().over(rarity)).filter(F.col("rn") <= F.size("own") - F.col("needed") + 1)
+    tried = seen.join(keyed.select("word", "ticker", "company_name"), "word").select("doc_id", "ticker", "company_name").distinct()
+    tested = tried.join(names, ["ticker", "company_name"]).join(bags.select("doc_id", "bag"), "doc_id")
+    by_word = tested.filter(F.size(F.array_intersect("bag", "own")) >= F.col("needed")).select("doc_id", "ticker")
     codes = companies.select("ticker", F.lower("ticker").alias("code"))
-    by_code = fit.select("doc_id", F.explode(F.array_distinct(code_tokens(body))).alias("code")).join(codes, "code")
-    return by_word.select("doc_id", "ticker").union(by_code.select("doc_id", "ticker")).distinct()
+    by_code = bags.select("doc_id", F.explode("codes").alias("code")).join(codes, "code").select("doc_id", "ticker")
+    return by_word.union(by_code).distinct()
 
 
 def industry_terms(industry: Column, keywords: dict[str, list[str]], unspecific: list[str]) -> Column:

@@ -40,8 +40,8 @@ own AS (SELECT ticker, company_name, list_filter(list_distinct(regexp_extract_al
 dw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '([\p{{L}}\p{{N}}_]+)', 1)) AS word FROM docs),
 dc AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '([a-z0-9]+)', 1)) AS code FROM docs)
 SELECT doc_id, ticker FROM (
-  SELECT dw.doc_id, o.ticker, count(*) AS hits, max(CASE WHEN o.n = 1 THEN 1 ELSE 2 END) AS needed
-  FROM dw JOIN (SELECT ticker, unnest(ws) AS word, len(ws) AS n FROM own) o ON o.word = dw.word GROUP BY ALL) WHERE hits >= needed
+  SELECT dw.doc_id, o.ticker, o.company_name, count(*) AS hits, max(CASE WHEN o.n = 1 THEN 1 ELSE 2 END) AS needed
+  FROM dw JOIN (SELECT ticker, company_name, unnest(ws) AS word, len(ws) AS n FROM (SELECT DISTINCT * FROM own)) o ON o.word = dw.word GROUP BY ALL) WHERE hits >= needed
 UNION SELECT dc.doc_id, c.ticker FROM dc JOIN tx_companies c ON lower(c.ticker) = dc.code
 """)
 def company_match(spark, folder):
