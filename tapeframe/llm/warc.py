@@ -97,14 +97,15 @@ def planned(pages: DataFrame, key: str, url: str, payload: str, least_bytes: int
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     shared, short = rows.where(F.col("payload_bytes") >= least_bytes), rows.where(F.col("payload_bytes") < least_bytes)
-    order = F.struct(F.col("key").isNull().alias("no_key"), "key", F.col("url").isNull().alias("no_url"), "url", "payload")
-    first = shared.groupBy("digest").agg(F.min(order).alias("first"), F.min("payload_bytes").alias("payload_bytes"))
+    order = [F.col("key").isNull().alias("no_key"), F.col("key"), F.col("url").isNull().alias("no_url"), F.col("url")]
+    whole = shared.groupBy("digest").agg(F.min(F.struct(*order, "payload")).alias("first"), F.min("payload_bytes").alias("payload_bytes"))
     none, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
     columns = ["key", "url", "payload", "digest", "payload_bytes", "record_type", "refers_to", "refers_url", "copy"]
     response = lambda frame: frame.select(text("key").alias("key"), "url", "payload", "digest", "payload_bytes", F.lit("response").alias("record_type"),
                                           none.alias("refers_to"), none.alias("refers_url"), F.lit(0).alias("copy")).select(columns)
-    responses = response(first.select("first.key", "first.url", "first.payload", "digest", "payload_bytes"))
+    responses = response(whole.select("first.key", "first.url", "first.payload", "digest", "payload_bytes"))
     counted = shared.groupBy("digest", "payload_bytes", "key", "url").count()
+    first = counted.groupBy("digest").agg(F.min(F.struct(*order)).alias("first"))  # narrow: payloads are shuffled once
     named = counted.join(first.select("digest", F.col("first.key").alias("first_key"), F.col("first.url").alias("first_url")), "digest")
     own = F.col("key").eqNullSafe(F.col("first_key")) & F.col("url").eqNullSafe(F.col("first_url"))
     copies = F.col("count") - F.when(own, 1).otherwise(0)
@@ -190,7 +191,10 @@ def read(selected: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, gap_b
             source.close()
 
     spans = selected.select("archive", "offset", "length", F.floor(F.col("offset") / block_bytes).alias("block"))
-    ordered = spans.repartition("archive", "block").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    # Index rows are small and what they point at is not, so the number of tasks follows the bytes to read.
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * block_bytes)))
+    ordered = spans.repartition(tasks, "archive", "block").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return ordered.mapInArrow(run, RECORD)
 
 
