@@ -41,6 +41,7 @@ QUEUE_BYTES = 64 << 20
 PACKED = 7  # symbols in one 63-bit word
 SYMBOL_BITS = 9
 NO_VALUE = 255
+BATCH_ENTRIES = 1 << 20
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,16 +172,35 @@ class DiskQueues:
         self.file.seek(first)
         return np.frombuffer(self.file.read(4 * second), np.int32), np.frombuffer(self.file.read(second), np.uint8)
 
+    def joined(self, symbol: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.get(symbol, i) for i in range(start, stop)]
+        return (np.concatenate([p for p, _ in parts]), np.concatenate([v for _, v in parts])) if len(parts) > 1 else parts[0]
+
+    def size(self, symbol: int, i: int) -> int:
+        first, second = self.queues[symbol][i]
+        return len(first) if isinstance(first, np.ndarray) else second
+
     def batches(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Also what is put into the queue while it is read."""
-        i = 0
-        while i < len(self.queues[symbol]):
-            yield self.get(symbol, i)
-            i += 1
+        """Entries in order, in batches of bounded size; also what is put into the queue while it is read."""
+        start = 0
+        while start < len(self.queues[symbol]):
+            stop, count = start, 0
+            while stop < len(self.queues[symbol]) and (stop == start or count + self.size(symbol, stop) <= BATCH_ENTRIES):
+                count += self.size(symbol, stop)
+                stop += 1
+            yield self.joined(symbol, start, stop)
+            start = stop
 
     def backwards(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(self.queues[symbol]) - 1, -1, -1):
-            yield self.get(symbol, i)
+        """Batches from the last to the first, each in order."""
+        stop = len(self.queues[symbol])
+        while stop:
+            start, count = stop, 0
+            while start and (start == stop or count + self.size(symbol, start - 1) <= BATCH_ENTRIES):
+                count += self.size(symbol, start - 1)
+                start -= 1
+            yield self.joined(symbol, start, stop)
+            stop = start
 
     def close(self) -> None:
         if self.file is not None:
@@ -277,12 +297,16 @@ class InducedSorter:
             # Where one piece ends and another goes on with the same symbols, the shorter is followed by the larger suffix.
             free = ((PACKED - np.clip(width - step, 0, PACKED)) * SYMBOL_BITS).astype(np.uint64)
             part = part | ((np.uint64(1) << free) - np.uint64(1))
-            rank = self.ranked(rank, part)
+            going = np.flatnonzero(width > step)
+            values, number = np.unique(part[going], return_inverse=True)
+            second = np.full(len(seeds), len(values), dtype=np.int64)  # pieces that have ended come last
+            second[going] = number
+            rank = self.ranked(rank, second)
             step += PACKED
         hop = 1
         while hop * 2 <= 2 * self.depth:
             next_ = np.concatenate([rank[hop:] + 1, np.zeros(min(hop, len(rank)), dtype=np.int64)])[:len(rank)]
-            new = self.ranked(rank, next_.astype(np.uint64))
+            new = self.ranked(rank, next_)
             if new.max() == rank.max():
                 break
             rank, hop = new, hop * 2
@@ -290,11 +314,12 @@ class InducedSorter:
 
     @staticmethod
     def ranked(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Dense ranks of pairs."""
-        order = np.lexsort((second, first)) if first.any() else np.argsort(second, kind="stable")
-        a, b = first[order], second[order]
+        """Dense ranks of pairs of numbers below 2 ** 32."""
+        pairs = (first << 32) | second
+        order = np.argsort(pairs)
+        pairs = pairs[order]
         rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        rank[order] = np.cumsum(np.concatenate(([False], pairs[1:] != pairs[:-1])))
         return rank
 
     def induce(self, queues: DiskQueues, passed: Passed, positions: np.ndarray, prefixes: np.ndarray, s_type: bool) -> None:
