@@ -54,6 +54,10 @@ TEMPLATES = {
 }
 
 
+# Words that say little about a text; they become anchors only where nothing else is left.
+COMMON = set("the of and to in that is was for on with as by at be this are from or an it a not any all no".split())
+
+
 def words_of(text: str) -> list[str]:
     return re.sub(r"[^\w]+|_", " ", text.lower()).split()
 
@@ -74,7 +78,7 @@ def anchor_words(templates: dict[str, str], threshold: float) -> list[str]:
             for word in set(pair.split()):
                 counts[word] = counts.get(word, 0) + 1
         covered = {p for p in pairs if chosen & set(p.split())}
-        for word in sorted(counts, key=lambda w: (-len(w), w)):
+        for word in sorted(counts, key=lambda w: (w in COMMON, -len(w), w)):
             if len(covered) > must_miss:
                 break
             if word not in chosen:
@@ -100,11 +104,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     """key, license, score, segments."""
     templates = TEMPLATES if templates is None else templates
     body = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    lowered = F.lower(F.col("text"))
-    anchors = [lowered.contains(word) for word in anchor_words(templates, threshold)]
-    hopeful = F.lit(False)
-    for test in anchors:
-        hopeful = hopeful | test
+    anchors = "|".join(map(re.escape, anchor_words(templates, threshold)))
+    hopeful = F.col("text").rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{anchors})(?![\p{{L}}\p{{N}}])") if anchors else F.lit(False)
     known = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, bigrams_of(t))).alias("pairs"), F.lit(len(bigrams_of(t))).alias("n"))
                       for name, t in templates.items()))
     cut = body.where(hopeful).select("key", F.explode(F.transform(segments(F.col("text")), bigrams)).alias("pairs"))
