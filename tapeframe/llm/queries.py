@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import ann, bpe, decontamination, licenses, secrets, sharding, simhash, suffixes, toxicity, warc
+from tapeframe.llm import ann, bpe, decontamination, licenses, secrets, sharding, simhash, suffixes, toxicity, warc, whitening
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -81,3 +81,9 @@ def op10_bpe(spark, sf_dir):
     decoded = bpe.decode(encoded, default_vocabulary())
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
