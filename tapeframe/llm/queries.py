@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import ann, bpe, decontamination, licenses, secrets, sharding, simhash, suffixes, toxicity, warc, whitening
+from tapeframe.llm import ann, bpe, centroids, decontamination, licenses, secrets, sharding, simhash, suffixes, toxicity, warc, whitening
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -87,3 +87,8 @@ def op10_bpe(spark, sf_dir):
 def op11_whitening(spark, sf_dir):
     white = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@query("op12_centroids")
+def op12_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
