@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tapeframe.llm import ann, bpe, centroids, decontamination, licenses, secrets, sharding, simhash, suffixes, toxicity, warc, whitening
+from tapeframe.llm import ann, bpe, centroids, decontamination, licenses, mixing, secrets, sharding, simhash, suffixes, toxicity, warc, whitening
 from tapeframe.llm.registry import query, table
 
 SHARDS = 24
@@ -92,3 +92,10 @@ def op11_whitening(spark, sf_dir):
 @query("op12_centroids")
 def op12_centroids(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query("op13_mixing")
+def op13_mixing(spark, sf_dir):
+    mixed, sources = mixing.mix(table(spark, sf_dir, "documents"))
+    known = sources.select(mixing.token(F.col("source")).alias("token"), F.col("size").alias("source_size"), "target")
+    return mixed.withColumn("token", mixing.token(F.element_at("sources", 1))).join(known, "token").select("doc_id", "size", "source_size", "target", "taken")
