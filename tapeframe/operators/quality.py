@@ -59,6 +59,19 @@ def dataset_status(present: Column, missing: Column, threshold: int = 0) -> Colu
     return F.when(~present, "MISSING").when(missing <= threshold, "OK").otherwise("PARTIAL")
 
 
-def assertion(name: str, value: Column, limit: int = 0) -> Column:
-    """A named count with whether it stays within its limit."""
-    return F.struct(F.lit(name).alias("check"), value.cast("long").alias("value"), is_true(value <= limit).alias("passed"))
+def assertion(name: str, value: Column, low: int = 0, high: int = 0) -> Column:
+    """A named count with whether it stays within its bounds."""
+    return F.struct(F.lit(name).alias("check"), value.cast("long").alias("value"), is_true(value.between(low, high)).alias("passed"))
+
+
+def refetch_reasons(universe: DataFrame, changed: DataFrame, audit: DataFrame, restated: DataFrame, unconfirmed: DataFrame) -> DataFrame:
+    """First reason of each ticker for fetching its history again; the inputs hold a ticker and a true flag of their name.
+
+    A restatement counts only if nothing of it is unconfirmed; otherwise the ticker is held back until it is.
+    """
+    out = universe
+    for part in (changed, audit, restated, unconfirmed):
+        out = out.join(part, "ticker", "left")
+    reason = (F.when(F.col("changed"), "corporate_action_changed").when(F.col("audit"), "scheduled_history_audit")
+              .when(F.col("restated") & F.col("open").isNull(), "confirmed_source_restatement"))
+    return out.select("ticker", reason.alias("reason"), is_true(reason.isNull() & F.col("restated")).alias("held_back"))

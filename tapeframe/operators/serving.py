@@ -62,8 +62,10 @@ def breakdown(rows: DataFrame, status: str, reason: str) -> DataFrame:
     return rows.groupBy(F.col(status).alias("status"), named.alias("reason")).agg(F.count("*").alias("rows"))
 
 
-def ticker_context(signals: DataFrame, prices: DataFrame, annual: DataFrame, actions: DataFrame, peers: DataFrame) -> DataFrame:
-    """One nested row per ticker: signal, last two bars, newest report items, last actions, peer valuation.
+def ticker_context(signals: DataFrame, prices: DataFrame, annual: DataFrame, quarterly: DataFrame, actions: DataFrame, peers: DataFrame,
+                   companies: DataFrame, snapshots: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One nested row per ticker: signal, company, last two bars, newest annual and quarterly items, last actions, peer
+    valuation, newest snapshot and the index row (``benchmark`` has one row).
 
     Every list is cut to its newest few rows before it is gathered.
     """
@@ -71,9 +73,13 @@ def ticker_context(signals: DataFrame, prices: DataFrame, annual: DataFrame, act
         F.sort_array(F.collect_list(F.struct("date", "close", "volume")), asc=False).alias("prices"))
     last = per_ticker_newest(actions, "ex_date", 5).groupBy("ticker").agg(
         F.sort_array(F.collect_list(F.struct("ex_date", "action_type")), asc=False).alias("actions"))
-    items = latest_period_items(annual)
-    return (signals.join(bars, "ticker", "left").join(items, "ticker", "left").join(last, "ticker", "left")
-            .join(peers, "ticker", "left"))
+    items = latest_period_items(annual).select("ticker", "period_end", "items")
+    quarter = latest_period_items(quarterly).select("ticker", F.col("items").alias("quarter_items"))
+    nested = lambda rows, name: rows.select("ticker", F.struct(*[c for c in rows.columns if c != "ticker"]).alias(name))
+    out = signals
+    for part in (bars, items, quarter, last, nested(peers, "peers"), nested(companies, "company"), nested(per_ticker_newest(snapshots, "as_of_utc", 1), "snapshot")):
+        out = out.join(part, "ticker", "left")
+    return out.withColumn("benchmark", benchmark.select(F.struct(*benchmark.columns)).scalar())
 
 
 def latest_period_items(rows: DataFrame) -> DataFrame:

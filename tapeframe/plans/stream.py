@@ -10,13 +10,21 @@ from tapeframe.streaming import jobs
 LIMIT, WINDOW = 5, 86400
 
 
-@query("stream_session_candle", """
+LATENESS = 1  # days
+
+
+@query("stream_session_candle", f"""
 SELECT ticker, CAST(ts AS DATE) AS date, arg_min(price, (ts, tick_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, tick_id)) AS close,
-       CAST(sum(size) AS BIGINT) AS volume FROM fx_ticks GROUP BY ALL
+       CAST(sum(size) AS BIGINT) AS volume, CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= (SELECT max(ts) FROM fx_ticks) - INTERVAL {LATENESS} DAY AS closed
+FROM fx_ticks GROUP BY ticker, CAST(ts AS DATE)
 """)
 def stream_session_candle(spark, folder):
-    feed = jobs.replay(Market(spark, folder).ticks, "ticks", "ts")
-    return jobs.run_updates(feed, jobs.session_candles(feed.stream), ["ticker", "date"], "candles")
+    """Candles with a mark on those that can't change any more.  A tick of each ticker's first day comes again, at
+    another price, with the last slice: it is late and changes nothing."""
+    ticks = Market(spark, folder).ticks
+    late = ticks.groupBy("ticker").agg(F.min("ts").alias("ts"), F.lit(1e9).alias("price"), F.min("size").alias("size"), F.lit(-1).cast("long").alias("tick_id"))
+    first = late.where(F.col("ts") < ticks.agg(F.min("ts") + F.expr("interval 5 days")).scalar())
+    return jobs.closed_and_open_candles(jobs.replay(ticks, "ticks", "ts", then=first.select(ticks.columns)), f"{LATENESS} day")
 
 
 @query("stream_fresh_filter", """
@@ -48,7 +56,23 @@ def stream_upsert_lineage(spark, folder):
     _, old, new = generations(spark, folder)
     facts = ["ticker", "date", "open", "high", "low", "close", "volume", "source", "row_checksum", "source_checksum"]
     feed = jobs.feed_of([old.select(*facts), new.select(*facts)], "bar_feed")
-    return jobs.upsert_lineage(feed, NEW_FETCH, "bars").select("ticker", "date", "close", "data_version")
+    return jobs.upsert_lineage(feed, NEW_FETCH, "bars").rows().select("ticker", "date", "close", "data_version")
+
+
+@query("stream_upsert_removals", """
+SELECT 'table' AS part, ticker, date, close FROM gen_old WHERE day(date) % 5 <> 0
+UNION ALL SELECT 'log', ticker, date, close FROM gen_old WHERE day(date) % 5 = 0
+""")
+def stream_upsert_removals(spark, folder):
+    """The stored generation arrives, then marks that every bar of some days was withdrawn; the log keeps what they held."""
+    _, old, _ = generations(spark, folder)
+    facts = ["ticker", "date", "open", "high", "low", "close", "volume", "source", "row_checksum", "source_checksum"]
+    bars = old.select(*facts, F.lit(False).alias("removed"))
+    gone = old.filter(F.dayofmonth("date") % 5 == 0).select("ticker", "date", *[F.lit(None).cast(old.schema[n].dataType).alias(n) for n in facts[2:]], F.lit(True).alias("removed"))
+    table = jobs.upsert_lineage(jobs.feed_of([bars, gone], "bar_feed"), NEW_FETCH, "bars")
+    held = table.rows().select(F.lit("table").alias("part"), "ticker", "date", "close")
+    log = table.revisions().filter("change_type = 'deleted'").select(F.lit("log").alias("part"), "ticker", "date", F.col("old_close").alias("close"))
+    return held.unionByName(log)
 
 
 view("quota_walk", f"""
@@ -71,8 +95,7 @@ walk AS (
 def stream_quota(spark, folder):
     rows = Market(spark, folder).table("events").select(
         "event_id", F.col("user_id").alias("subject"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at_s"))
-    feed = jobs.replay(rows, "events", "at_s")
-    return jobs.run_append(feed, jobs.quota_stream(feed.stream, LIMIT, WINDOW), "quota")
+    return jobs.run_quota(jobs.replay(rows, "events", "at_s"), LIMIT, WINDOW)
 
 
 @query("stream_live_marks", """

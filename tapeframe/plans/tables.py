@@ -14,6 +14,7 @@ from tapeframe.plans.quality import annual, cleaned
 from tapeframe.plans.registry import query, view
 from tapeframe.runtime import new_path, stage
 from tapeframe.sources import landed as L
+from tapeframe.sources import loads as ld
 from tapeframe.sources import tables as tb
 from tapeframe.sources.driver import Market
 
@@ -363,29 +364,68 @@ def dataset_manifest(spark, folder):
         F.lit(name).alias("tbl"), F.lit(1).alias("schema_version"), "rows", "first_ticker", "last_ticker") for name, rows in tables.items()])
 
 
-@query("dataset_digest", """
+_SIZED = "CASE WHEN {0} IS NULL THEN 'n;' ELSE concat(length(CAST({0} AS VARCHAR)), ':', CAST({0} AS VARCHAR), ';') END"
+
+
+@query("dataset_digest", f"""
 SELECT rows, sha256(concat_ws(':', CAST(rows AS VARCHAR), CAST(a AS VARCHAR), CAST(b AS VARCHAR))) AS digest FROM (
   SELECT count(*) AS rows, sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)) AS a, sum(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT)) AS b
-  FROM (SELECT sha256(concat_ws('|', ticker, CAST(date AS VARCHAR), row_checksum)) AS h FROM cl_prices))
+  FROM (SELECT sha256(concat({', '.join(_SIZED.format(n) for n in ("date", "row_checksum", "source_checksum", "ticker"))})) AS h FROM cl_prices))
 """)
 def dataset_digest(spark, folder):
-    return tb.digest(cleaned(Market(spark, folder)).select("ticker", "date", "row_checksum"))
+    return tb.digest(cleaned(Market(spark, folder)).select("ticker", "date", "row_checksum", "source_checksum"))
+
 
+# Yearly bundles of prices and actions: every third year is loaded already, every third one lost rows on its way.
+_STATE = "CASE {0} % 3 WHEN 0 THEN 'loaded' WHEN 1 THEN 'ready' ELSE 'partial' END"
 
-@query("load_once_guard", "SELECT year(ex_date) AS bundle, count(*) AS rows FROM fx_actions WHERE year(ex_date) % 3 <> 0 GROUP BY 1")
+
+@query("load_once_guard", f"""
+SELECT bundle, tbl, n AS manifest_rows, CASE WHEN bundle % 3 = 2 AND tbl = 'corporate_actions' THEN n - lost ELSE n END AS rows,
+       NOT (bundle % 3 = 2 AND tbl = 'corporate_actions' AND lost > 0) AS matches, CASE WHEN bundle % 3 = 2 AND all_lost = 0 THEN 'ready' ELSE {_STATE.format('bundle')} END AS state,
+       CASE WHEN bundle % 3 = 2 AND all_lost > 0 THEN 0 ELSE n END AS readable_rows
+FROM (SELECT *, sum(CASE WHEN tbl = 'corporate_actions' THEN lost ELSE 0 END) OVER (PARTITION BY bundle) AS all_lost FROM (
+  SELECT year(date) AS bundle, 'price_daily' AS tbl, count(*) AS n, CAST(0 AS BIGINT) AS lost FROM fx_bars GROUP BY 1
+  UNION ALL SELECT year(ex_date), 'corporate_actions', count(*), count(*) FILTER ({NUM} % 4 = 0) FROM fx_actions GROUP BY 1))
+""")
 def load_once_guard(spark, folder):
-    """Yearly bundles of actions, of which every third is already marked as loaded."""
-    rows = Market(spark, folder).actions.withColumn("bundle", F.year("ex_date").cast("long"))
-    loaded = rows.filter("bundle % 3 = 0").select("bundle")
-    return tb.load_once(rows, loaded, "bundle").groupBy("bundle").agg(F.count("*").alias("rows"))
+    """Bundles that are loaded are left alone, intact ones become readable at once, partial ones stay unreadable as a whole."""
+    market = Market(spark, folder)
+    year = lambda column: F.year(column).cast("long").alias("bundle")
+    whole = {"price_daily": market.staged_bars.select(year("date"), "ticker", "date", "close", "volume"),
+             "corporate_actions": stage(market.actions, "actions").select(year("ex_date"), "ticker", "ex_date", "action_type", "cash_dividend", "stock_ratio")}
+    wanted = stage(ld.manifest(whole), "manifest")
+    target = ld.Target(spark, new_path(spark, "target"))
+    target.load({name: rows.where("bundle % 3 = 0") for name, rows in whole.items()}, wanted.where("bundle % 3 = 0"))
+    arrived = whole | {"corporate_actions": whole["corporate_actions"].where(~((F.col("bundle") % 3 == 2) & (F.expr(L.NUMBER) % 4 == 0)))}
+    found = target.load(arrived, wanted)
+    readable = union_all([target.read(name, rows.schema).groupBy("bundle").agg(F.count("*").alias("readable_rows")).withColumn("tbl", F.lit(name))
+                          for name, rows in whole.items()])
+    return found.join(readable, ["bundle", "tbl"], "left").select("bundle", "tbl", "manifest_rows", "rows", "matches", "state",
+                                                                  F.coalesce("readable_rows", F.lit(0)).alias("readable_rows"))
 
 
 @query("restore_missing_only", f"SELECT ticker, date, CASE WHEN {NUM} % 2 = 0 THEN close ELSE -close END AS close FROM fx_bars")
 def restore_missing_only(spark, folder):
-    """Odd tickers exist with their own (negated) values and are left alone; even ones are restored."""
+    """Odd tickers exist with their own (negated) values and are left alone; even ones are restored, a third of them by a run that ended early."""
     rows = Market(spark, folder).staged_bars.select("ticker", "date", "close")
-    path = new_path(spark, "restored")
-    rows.filter(F.expr(L.NUMBER) % 2 == 1).withColumn("close", -F.col("close")).write.parquet(path)
-    existing = spark.read.parquet(path)
-    tb.restore_missing(rows, existing, ["ticker"]).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    path, number = new_path(spark, "restored"), F.expr(L.NUMBER)
+    ld.replace_partitions(rows.filter(number % 2 == 1).withColumn("close", -F.col("close")), path, ["ticker"])
+    ld.restore_partitions(rows.filter(number % 6 == 0), path, "ticker")
+    ld.restore_partitions(rows, path, "ticker")
+    return spark.read.schema(rows.schema).parquet(path).select("ticker", "date", "close")
+
+
+@query("sink_replace_dates", """
+SELECT id, account, CASE WHEN last THEN quantity + 1 ELSE quantity END AS quantity, market_date
+FROM (SELECT *, market_date > (SELECT max(market_date) FROM fx_trades) - 3 AS last FROM fx_trades) WHERE NOT last OR id % 2 = 0
+""")
+def sink_replace_dates(spark, folder):
+    """A history by date; a second run of the last three days replaces those days as a whole and touches no other."""
+    trades = stage(Market(spark, folder).trades.select("id", "account", "quantity", "market_date"), "trades")
+    path = new_path(spark, "history")
+    ld.replace_partitions(trades, path, ["market_date"])
+    last = F.col("market_date") > F.date_sub(trades.agg(F.max("market_date")).scalar(), 3)
+    again = trades.filter(last & (F.col("id") % 2 == 0)).withColumn("quantity", F.col("quantity") + 1)
+    ld.replace_partitions(again, path, ["market_date"])
+    return spark.read.schema(trades.schema).parquet(path).select("id", "account", "quantity", "market_date")

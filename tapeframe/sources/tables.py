@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from tapeframe.operators.ranking import first_per_key
 from tapeframe.runtime import new_path
+from tapeframe.sources.files import read_pointer, replace_pointer
+from tapeframe.sources.loads import content
 
 
 def write_ticker_files(rows: DataFrame, name: str, fmt: str = "csv") -> str:
@@ -52,17 +54,16 @@ def align_columns(rows: DataFrame, schema: StructType) -> DataFrame:
 
 
 def publish(rows: DataFrame, root: str, name: str, version: str) -> None:
-    """Write a version beside the old ones and name it as current only when it is complete."""
+    """Write a version beside the old ones; the pointer is replaced only when it is complete."""
     rows.write.parquet(f"{root}/{name}/version={version}", compression="zstd")
-    pointer = rows.sparkSession.createDataFrame([(name, version)], "name string, version string")
-    pointer.coalesce(1).write.mode("append").json(f"{root}/_current/{name}")
+    replace_pointer(rows.sparkSession, f"{root}/_current/{name}", version)
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    pointers = spark.read.schema("name string, version string").json(f"{root}/_current/{name}")
-    # Versions are numbers written as text; others follow them in text order.
-    newest = pointers.agg(F.max(F.struct(F.expr("try_cast(version AS decimal(38,0))").alias("number"), "version")).alias("v")).first()[0]["version"]
-    return spark.read.parquet(f"{root}/{name}/version={newest}")
+    version = read_pointer(spark, f"{root}/_current/{name}")
+    if version is None:
+        raise FileNotFoundError(f"{name} was never published under {root}")
+    return spark.read.parquet(f"{root}/{name}/version={version}")
 
 
 def typed_export(rows: DataFrame) -> DataFrame:
@@ -110,21 +111,8 @@ def part_manifest(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table: row count and two sums of row hashes."""
-    content = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in rows.columns])
-    part = lambda start: F.sum(F.conv(F.substring(F.sha2(content, 256), start, 15), 16, 10).cast("decimal(38,0)"))
-    return rows.agg(F.count("*").alias("rows"), part(1).cast("string").alias("h1"), part(16).cast("string").alias("h2")).select(
-        "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "h1", "h2"), 256).alias("digest"))
-
-
-def load_once(rows: DataFrame, loaded: DataFrame, marker: str) -> DataFrame:
-    """Rows of bundles that are not marked as loaded yet."""
-    return rows.join(loaded.select(marker).distinct(), marker, "left_anti")
-
-
-def restore_missing(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Only what is not there yet; nothing present is overwritten."""
-    return rows.join(existing.select(*keys).distinct(), keys, "left_anti")
+    """Order-free fingerprint of a table: row count and a digest of two sums of row hashes."""
+    return content(rows, [])
 
 
 def surrogate_ids(names: DataFrame, column: str) -> DataFrame:

@@ -6,38 +6,44 @@ own folder in overwrite mode, so a repeated micro-batch replaces itself.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tapeframe.operators import prices as px
 from tapeframe.operators.ranking import first_per_key
-from tapeframe.runtime import new_path
+from tapeframe.runtime import new_path, stage
+from tapeframe.sources.files import exists, read_pointer, remove, replace_pointer
 
 
 @dataclass
 class Feed:
     """A folder that grows slice by slice, and the stream over it.
 
-    A job runs once per slice from the same checkpoint, as a scheduled job would,
-    so state and offsets carry over and every slice is read by all tasks.
+    One query stays up while the slices arrive; each is taken in whole before the next one comes.
     """
 
     stream: DataFrame
     path: str
     slices: list[DataFrame]
 
-    def run(self, writer: DataStreamWriter) -> None:
-        for part in self.slices:
-            part.write.mode("append").parquet(self.path)
-            writer.trigger(availableNow=True).start().awaitTermination()
+    def run(self, *writers: DataStreamWriter) -> None:
+        running = [writer.start() for writer in writers]
+        try:
+            for part in self.slices:
+                part.write.mode("append").parquet(self.path)
+                for query in running:
+                    query.processAllAvailable()
+        finally:
+            for query in running:
+                query.stop()
 
 
 def feed_of(slices: list[DataFrame], name: str) -> Feed:
@@ -51,36 +57,64 @@ def feed_of(slices: list[DataFrame], name: str) -> Feed:
 SLICE_ROWS = 5_000_000
 
 
-def replay(rows: DataFrame, name: str, order: str, parts: int = 3) -> Feed:
-    """A table cut into equal spans of time, oldest first; their number grows with the table, so that a trigger stays bounded."""
+def replay(rows: DataFrame, name: str, order: str, parts: int = 3, then: DataFrame | None = None) -> Feed:
+    """A table cut into equal spans of time, oldest first; their number grows with the table, so that a trigger stays bounded.
+
+    The source is read once and written by slice.  ``then`` arrives together with the last slice.
+    """
     at = F.col(order).cast("double")
     low, high, count = rows.agg(F.min(at), F.max(at), F.count("*")).first()
     parts = max(parts, -(-count // SLICE_ROWS))
-    span = F.floor((at - low) / max(high - low, 1.0) * (parts - 1e-6))
-    return feed_of([rows.filter(span == i) for i in range(parts)], name)
+    span = F.floor((at - low) / max((high or 0.0) - (low or 0.0), 1.0) * (parts - 1e-6)) if count else F.lit(0)
+    path = new_path(rows.sparkSession, f"{name}-slices")
+    rows.withColumn("_slice", span.cast("long")).write.partitionBy("_slice").parquet(path)
+    sliced = rows.sparkSession.read.schema(with_long(rows.schema, "_slice")).parquet(path)
+    slices = [sliced.filter(F.col("_slice") == i).drop("_slice") for i in range(parts)]
+    if then is not None:
+        slices[-1] = slices[-1].unionByName(then)
+    return feed_of(slices, name)
 
 
-def run_updates(feed: Feed, stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Run in update mode and return the last value each key had."""
+def with_long(schema: StructType, name: str) -> StructType:
+    return StructType([*schema.fields, StructField(name, LongType())])
+
+
+def updates(stream: DataFrame, keys: list[str], name: str) -> tuple[DataStreamWriter, Callable[[], DataFrame]]:
+    """A writer in update mode, and a reader of the last value each key had."""
     spark = stream.sparkSession
-    out, schema = new_path(spark, name), stream.schema
+    out, schema = new_path(spark, name), with_long(stream.schema, "epoch")
+    spark.createDataFrame([], schema).write.partitionBy("epoch").parquet(out)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    feed.run(stream.writeStream.outputMode("update").foreachBatch(write).option(
-        "checkpointLocation", new_path(spark, name + "-checkpoint")))
-    rows = spark.read.schema(schema.add("epoch", "long")).parquet(out)
-    values = [c for c in rows.columns if c not in (*keys, "epoch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v")).select(*keys, "_v.*")
+    def read() -> DataFrame:
+        rows = spark.read.schema(schema).parquet(out)
+        values = [c for c in rows.columns if c not in (*keys, "epoch")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v")).select(*keys, "_v.*")
 
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", new_path(spark, name + "-checkpoint")), read
 
-def run_append(feed: Feed, stream: DataFrame, name: str) -> DataFrame:
+
+def appends(stream: DataFrame, name: str) -> tuple[DataStreamWriter, Callable[[], DataFrame]]:
+    """A writer in append mode, and a reader of what is final."""
     spark = stream.sparkSession
     out, schema = new_path(spark, name), stream.schema
-    feed.run(stream.writeStream.outputMode("append").format("parquet").option("path", out).option(
-        "checkpointLocation", new_path(spark, name + "-checkpoint")))
-    return spark.read.schema(schema).parquet(out)
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", new_path(spark, name + "-checkpoint"))
+    return writer, lambda: spark.read.schema(schema).parquet(out)
+
+
+def run_updates(feed: Feed, stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run in update mode and return the last value each key had."""
+    writer, read = updates(stream, keys, name)
+    feed.run(writer)
+    return read()
+
+
+def run_append(feed: Feed, stream: DataFrame, name: str) -> DataFrame:
+    writer, read = appends(stream, name)
+    feed.run(writer)
+    return read()
 
 
 def session_candles(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -92,6 +126,20 @@ def session_candles(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
         "ticker", F.col("window.start").cast("date").alias("date"), "open", "high", "low", "close", "volume")
 
 
+def closed_and_open_candles(feed: Feed, lateness: str = "1 day") -> DataFrame:
+    """Every candle with ``closed``: final ones from a query in append mode, which gives a window out when the watermark
+    has passed it, and the last state of the open ones from a query in update mode.
+
+    Both drop a tick whose day the watermark had passed when it came.
+    """
+    final, read_final = appends(session_candles(feed.stream, lateness), "final-candles")
+    latest, read_latest = updates(session_candles(feed.stream, lateness), ["ticker", "date"], "latest-candles")
+    feed.run(final, latest)
+    done = read_final().withColumn("closed", F.lit(True))
+    open_ = read_latest().join(done.select("ticker", "date"), ["ticker", "date"], "left_anti").withColumn("closed", F.lit(False))
+    return done.unionByName(open_)
+
+
 def fresh_only(ticks: DataFrame, seen: str = "seen_at") -> DataFrame:
     """Ticks at most 900 s old and at most 120 s ahead when they arrive."""
     age = F.col(seen).cast("double") - F.col("ts").cast("double")
@@ -108,80 +156,207 @@ def live_marks(ticks: DataFrame, positions: DataFrame) -> DataFrame:
     return ticks.join(positions, "ticker").select("tick_id", "ticker", "account", (F.col("price") * F.col("quantity")).alias("marked_value"))
 
 
-def quota_walk(limit: int, window: int) -> Callable:
-    """Allow or deny against a window that starts at a subject's first event."""
+QUOTA_SCHEMA = "event_id long, subject long, at_s long, allowed boolean, remaining long, retry_after long"
 
-    def decide(rows: pd.DataFrame, started: int, used: int) -> tuple[pd.DataFrame, int, int]:
-        out = []
-        for at in rows["at_s"]:
-            if used == 0 or at - started >= window:
-                started, used = at, 0
-            if used >= limit:
-                out.append((False, 0, max(1, window - (at - started))))
-            else:
-                used += 1
-                out.append((True, limit - used, 0))
-        decided = pd.DataFrame(out, columns=["allowed", "remaining", "retry_after"])
-        return pd.concat([rows.reset_index(drop=True), decided], axis=1), int(started), used
 
-    return decide
+class Quota(StatefulProcessor):
+    """Allow or deny against a window that starts at a subject's first event.
 
+    Events wait in state, in the chunks they came in, under the span of time they fall into; spans are as long as the
+    window.  A timer for the end of a span fires when the watermark has passed it, in order of time, and only then are
+    its events decided.  A span meets at most two windows, one that is running and one that starts in it, and only the
+    first ``limit`` events of a window are allowed; so the span is read chunk by chunk for the earliest events of both,
+    and once more to give the decisions out.  Memory is one chunk, whatever a subject sends.
 
-CHUNK_ROWS = 50_000
-QUOTA_SCHEMA = "event_id long, subject long, at_s long, allowed boolean, remaining long, retry_after long"
+    A second timer ends a window, so a subject that falls silent leaves no state.  Events behind the watermark are
+    dropped before they come here.
+    """
+
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.running = handle.getValueState("running", "started long, used long")
+        self.sizes = handle.getMapState("sizes", "span long", "chunks long")
+        self.chunks = handle.getMapState("chunks", "span long, number long", "times array<long>, ids array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            times, ids = batch["at_s"].to_numpy(np.int64), batch["event_id"].to_numpy(np.int64)
+            spans = times // self.window
+            for span in np.unique(spans).tolist():
+                own = spans == span
+                known = self.sizes.getValue((span,)) if self.sizes.containsKey((span,)) else None
+                number = known[0] if known else 0
+                if not number:
+                    self.handle.registerTimer((span + 1) * self.window * 1000)
+                self.chunks.updateValue((span, number), (times[own].tolist(), ids[own].tolist()))
+                self.sizes.updateValue((span,), (number + 1,))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        if end % self.window == 0 and self.sizes.containsKey((end // self.window - 1,)):
+            yield from self.decided(key, end // self.window - 1, timerValues.getCurrentWatermarkInMs() // 1000)
+        elif self.running.exists() and self.over(self.running.get()[0] + self.window, end):
+            self.running.clear()
+
+    def over(self, end: int, now: int) -> bool:
+        """Whether no event of a window that ends then can still come or waits."""
+        return end <= now and not self.sizes.containsKey(((end - 1) // self.window,))
+
+    def read(self, span: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+        times, ids = self.chunks.getValue((span, number))
+        return np.array(times, dtype=np.int64), np.array(ids, dtype=np.int64)
+
+    def decided(self, key, span: int, now: int) -> Iterator[pd.DataFrame]:
+        count = self.sizes.getValue((span,))[0]
+        started, used = self.running.get() if self.running.exists() else (None, 0)
+        border = -(1 << 62) if started is None else started + self.window
+        old: list[tuple[int, int]] = []
+        new: list[tuple[int, int]] = []
+        for number in range(count):
+            times, ids = self.read(span, number)
+            old = earliest(old, times, ids, times < border, self.limit - used)
+            new = earliest(new, times, ids, times >= border, self.limit)
+        rank = {event: used + i for i, event in enumerate(old)} | {event: i for i, event in enumerate(new)}
+        begin = new[0][0] if new else None
+        for number in range(count):
+            times, ids = self.read(span, number)
+            self.chunks.removeKey((span, number))
+            ranks = np.array([rank.get(event, -1) for event in zip(times.tolist(), ids.tolist())], dtype=np.int64)
+            starts = np.where(times >= border, 0 if begin is None else begin, 0 if started is None else started)
+            allowed = ranks >= 0
+            yield pd.DataFrame({"event_id": ids, "subject": key[0], "at_s": times, "allowed": allowed, "remaining": np.where(allowed, self.limit - 1 - ranks, 0),
+                                "retry_after": np.where(allowed, 0, np.maximum(1, self.window - (times - starts)))})
+        self.sizes.removeKey((span,))
+        end = None if begin is None else begin + self.window  # the window before ended in this span
+        if end is None or self.over(end, now):
+            self.running.clear()
+        else:
+            self.running.update((begin, len(new)))
+            if end > now:
+                self.handle.registerTimer(end * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def earliest(kept: list[tuple[int, int]], times: np.ndarray, ids: np.ndarray, own: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The n smallest (time, id) of those kept and a chunk's own ones."""
+    if n <= 0 or not own.any():
+        return kept[:max(n, 0)]
+    times, ids = times[own], ids[own]
+    first = np.lexsort((ids, times))[:n]
+    return sorted(kept + list(zip(times[first].tolist(), ids[first].tolist())))[:n]
+
+
+def quota_stream(events: DataFrame, limit: int, window: int, lateness: str = "1 second") -> DataFrame:
+    """events (event_id, subject, at_s) -> plus allowed, remaining, retry_after, once the watermark has passed their span.
+
+    Rows without a subject or a time are no events; they only move the watermark.
+    """
+    timed = events.withColumn("at", F.timestamp_seconds("at_s")).withWatermark("at", lateness)
+    timed = timed.where(F.when(F.col("at").isNotNull(), F.col("subject")).isNotNull())  # after the watermark has seen the row
+    return timed.groupBy("subject").transformWithStateInPandas(Quota(limit, window), QUOTA_SCHEMA, "Append", "EventTime")
 
 
-def quota_stream(events: DataFrame, limit: int, window: int) -> DataFrame:
-    """Stateful twin: the state is the window start and the count used, nothing else."""
-    decide = quota_walk(limit, window)
+def run_quota(feed: Feed, limit: int, window: int) -> DataFrame:
+    """All decisions of a feed.  A clock row of no subject follows the last slice and moves the watermark past every span."""
+    clock = feed.slices[0].agg(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("subject"), F.lit(END_OF_TIME).alias("at_s"))
+    timed = Feed(feed.stream, feed.path, [*feed.slices, clock])
+    return run_append(timed, quota_stream(feed.stream, limit, window), "quota")
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, used = state.get if state.exists else (0, 0)
-        # Sorting needs a trigger's times and ids of one subject, 16 bytes an event; a slice bounds a trigger.
-        times, ids = zip(*((b["at_s"].to_numpy(np.int64), b["event_id"].to_numpy(np.int64)) for b in batches))
-        times, ids = np.concatenate(times), np.concatenate(ids)
-        order = np.lexsort((ids, times))
-        for at in range(0, len(order), CHUNK_ROWS):
-            some = order[at:at + CHUNK_ROWS]
-            rows = pd.DataFrame({"event_id": ids[some], "subject": key[0], "at_s": times[some]})
-            result, started, used = decide(rows, started, used)
-            yield result[["event_id", "subject", "at_s", "allowed", "remaining", "retry_after"]]
-        state.update((started, used))
 
-    return events.groupBy("subject").applyInPandasWithState(
-        step, QUOTA_SCHEMA, "started long, used long", "append", GroupStateTimeout.NoTimeout)
+END_OF_TIME = 32_503_680_000  # the year 3000
 
 
 class LineageTable:
-    """Bars by month; an epoch writes only the months it touches, and readers take the newest epoch of each month.
+    """Bars by month.  An epoch writes the months it touches in full and then replaces one pointer file, which names the
+    epoch that holds each month; readers open exactly these folders, all of one version.
 
-    A repeated epoch replaces what it wrote and reads only earlier ones, so restarts are safe.
+    The version before stays readable until the next switch, for readers that have started and for an epoch that is
+    repeated after a failure: it starts from the version before it and replaces what it wrote.  Folders that neither
+    version names are removed, so the number of files is bounded by the number of months.  A batch may have a column
+    ``removed``: such bars leave the table, and the log says so.  The log's parts are folded into one from time to time.
     """
 
+    LOG_PARTS = 8
+
     def __init__(self, spark: SparkSession, root: str, columns: StructType):
-        self.spark, self.path, self.log = spark, f"{root}/table", f"{root}/revisions"
-        self.schema = StructType([*columns.fields, StructField("epoch", LongType()), StructField("month", LongType())])
-        empty = spark.createDataFrame([], columns).withColumns({"epoch": F.lit(-1).cast("long"), "month": F.lit(0).cast("long")})
-        empty.write.mode("ignore").partitionBy("epoch", "month").parquet(self.path)
+        self.spark, self.root = spark, root
+        self.schema = StructType([f for f in columns.fields if f.name != "removed"])
+        self.log_schema = px.revisions(self.empty(), self.empty(), "", "", include_removed=True).schema
 
-    def rows(self, before: int | None = None) -> DataFrame:
-        found = self.spark.read.schema(self.schema).parquet(self.path)
-        found = found if before is None else found.filter(F.col("epoch") < before)
-        newest = found.groupBy("month").agg(F.max("epoch").alias("epoch"))
-        return found.join(newest, ["month", "epoch"], "left_semi").drop("epoch")
+    def empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
 
-    def merge(self, batch: DataFrame, epoch: int, fetched_at: str) -> None:
-        month = (F.year("date") * 12 + F.month("date")).cast("long")
-        order = [F.col(c).desc_nulls_last() for c in batch.columns if c not in px.KEY]
-        fresh = first_per_key(batch, px.KEY, order)
-        touched = fresh.select(month.alias("month")).distinct()
-        known = self.rows(before=epoch).join(touched, "month", "left_semi").drop("month")
-        merged = px.upsert(known, px.apply_lineage(fresh, known, fetched_at)).select(*[f.name for f in self.schema.fields[:-2]])
-        merged.withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/epoch={epoch}")
-        px.revisions(known, fresh, f"epoch-{epoch}", "stream").write.mode("overwrite").parquet(f"{self.log}/{epoch}")
+    def state(self) -> dict:
+        found = read_pointer(self.spark, f"{self.root}/current")
+        return json.loads(found) if found else {"epoch": -1, "months": {}, "log": [], "before": None}
 
+    def opened(self, version: dict, months: list[str] | None = None) -> DataFrame:
+        paths = [f"{self.root}/table/epoch={e}/month={m}" for m, e in version["months"].items() if months is None or m in months]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.empty()
 
-def upsert_lineage(feed: Feed, fetched_at: str, name: str, root: str | None = None) -> DataFrame:
+    def rows(self) -> DataFrame:
+        return self.opened(self.state())
+
+    def revisions(self) -> DataFrame:
+        parts = [f"{self.root}/revisions/{part}" for part in self.state()["log"]]
+        return self.spark.read.schema(self.log_schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.log_schema)
+
+    def merge(self, batch: DataFrame, epoch: int, fetched_at: str) -> None:
+        now = self.state()
+        base = now if now["epoch"] < epoch else now["before"]
+        marked = batch if "removed" in batch.columns else batch.withColumn("removed", F.lit(False))
+        order = [F.col("removed").asc(), *[F.col(c).desc_nulls_last() for c in marked.columns if c not in (*px.KEY, "removed")]]
+        fresh = first_per_key(marked.withColumn("removed", F.coalesce("removed", F.lit(False))), px.KEY, order)
+        fresh = stage(fresh.withColumn("month", month_of("date")), "batch")
+        touched = [str(r.month) for r in fresh.select("month").distinct().collect()]  # at most the months of the calendar
+        known = self.opened(base, touched)
+        gone, given = fresh.where("removed").select(*px.KEY), fresh.where("not removed").drop("removed", "month")
+        kept = known.join(gone, px.KEY, "left_anti")
+        merged = px.upsert(kept, px.apply_lineage(given, known, fetched_at)).select(*self.schema.fieldNames())
+        path = f"{self.root}/table/epoch={epoch}"
+        merged.withColumn("month", month_of("date")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(path, compression="zstd")
+        changes = px.revisions(known, given, f"epoch-{epoch}", "stream").unionByName(
+            px.revisions(known.join(gone, px.KEY, "left_semi"), self.empty(), f"epoch-{epoch}", "stream", include_removed=True))
+        changes.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/revisions/{epoch}")
+        months = {m: e for m, e in base["months"].items() if m not in touched} | {m: epoch for m in touched if exists(self.spark, f"{path}/month={m}")}
+        log = self.folded([*base["log"], str(epoch)], epoch)
+        before = {"epoch": base["epoch"], "months": base["months"], "log": base["log"]}
+        replace_pointer(self.spark, f"{self.root}/current", json.dumps({"epoch": epoch, "months": months, "log": log, "before": before}))
+        self.vacuum(base.get("before"), months, log, before)
+        if str(epoch) not in log:  # it is in the folded part
+            remove(self.spark, f"{self.root}/revisions/{epoch}")
+
+    def folded(self, parts: list[str], epoch: int) -> list[str]:
+        if len(parts) < self.LOG_PARTS:
+            return parts
+        whole = self.spark.read.schema(self.log_schema).parquet(*[f"{self.root}/revisions/{p}" for p in parts])
+        whole.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/revisions/upto-{epoch}")
+        return [f"upto-{epoch}"]
+
+    def vacuum(self, oldest: dict | None, months: dict, log: list[str], before: dict) -> None:
+        """Remove what only the version before the last one named."""
+        if not oldest:
+            return
+        held = set(months.items()) | set(before["months"].items())
+        for month, epoch in set(oldest["months"].items()) - held:
+            remove(self.spark, f"{self.root}/table/epoch={epoch}/month={month}")
+        for epoch in set(oldest["months"].values()) - {e for _, e in held}:
+            remove(self.spark, f"{self.root}/table/epoch={epoch}")
+        for part in set(oldest["log"]) - set(log) - set(before["log"]):
+            remove(self.spark, f"{self.root}/revisions/{part}")
+
+
+def month_of(date: str) -> Column:
+    return (F.year(date) * 12 + F.month(date)).cast("long")
+
+
+def upsert_lineage(feed: Feed, fetched_at: str, name: str, root: str | None = None) -> LineageTable:
     """Merge micro-batches of bars into a table by month and log what they revised; the same root goes on where it was."""
     spark = feed.stream.sparkSession
     root = root or new_path(spark, name)
@@ -189,4 +364,4 @@ def upsert_lineage(feed: Feed, fetched_at: str, name: str, root: str | None = No
     table = LineageTable(spark, root, none.schema)
     feed.run(feed.stream.writeStream.foreachBatch(lambda batch, epoch: table.merge(batch, epoch, fetched_at)).option(
         "checkpointLocation", f"{root}/checkpoint"))
-    return table.rows().drop("month")
+    return table

@@ -1,7 +1,11 @@
-"""Restart of the upsert stream, and a quota subject that has most events."""
+"""Upserts over many epochs and restarts, quotas with timers, and candles that are closed or open."""
 
 import datetime as dt
+import os
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeframe.runtime import new_path
@@ -14,33 +18,153 @@ def bar(ticker, day, close, source="DNSE"):
     return ticker, day, close, close, close, close, 1.0, source, f"{ticker}{day}{close}", None
 
 
+def feed_into(spark, folder, *slices):
+    return jobs.Feed(spark.readStream.schema(BAR).parquet(folder), folder, list(slices))
+
+
+def held(table):
+    return {(r.ticker, r.close) for r in table.rows().collect()}
+
+
 def test_upsert_goes_on_after_a_restart(spark):
     root, folder = new_path(spark, "lineage"), new_path(spark, "bars")
     first, second = dt.date(2024, 1, 5), dt.date(2024, 3, 5)
     frame = lambda rows: spark.createDataFrame(rows, BAR)
     frame([]).write.parquet(folder)
-    feed = lambda *slices: jobs.Feed(spark.readStream.schema(BAR).parquet(folder), folder, list(slices))
-    jobs.upsert_lineage(feed(frame([bar("A", first, 10.0), bar("A", first, 11.0), bar("B", second, 5.0)])), "t1", "x", root)
-    again = jobs.upsert_lineage(feed(frame([bar("B", second, 6.0)])), "t2", "x", root)
+    jobs.upsert_lineage(feed_into(spark, folder, frame([bar("A", first, 10.0), bar("A", first, 11.0), bar("B", second, 5.0)])), "t1", "x", root)
+    again = jobs.upsert_lineage(feed_into(spark, folder, frame([bar("B", second, 6.0)])), "t2", "x", root)
     want = {("A", 11.0), ("B", 6.0)}
-    assert {(r.ticker, r.close) for r in again.collect()} == want
-    nothing = jobs.upsert_lineage(feed(), "t3", "x", root)
-    assert {(r.ticker, r.close) for r in nothing.collect()} == want
-    epochs = spark.read.parquet(f"{root}/table").where("epoch = 1").select("month").distinct().collect()
-    assert [r.month for r in epochs] == [2024 * 12 + 3]
+    assert held(again) == want
+    assert held(jobs.upsert_lineage(feed_into(spark, folder), "t3", "x", root)) == want
+    months = again.state()["months"]
+    assert set(months) == {str(2024 * 12 + 1), str(2024 * 12 + 3)} and months[str(2024 * 12 + 1)] < months[str(2024 * 12 + 3)]
+
+
+def test_many_epochs_leave_a_bounded_number_of_files(spark):
+    root = new_path(spark, "lineage")
+    schema = spark.createDataFrame([], BAR).withColumns({"fetched_at": F.lit(""), "data_version": F.lit(1).cast("long"), "removed": F.lit(True)}).schema
+    table = jobs.LineageTable(spark, root, schema)
+    days = [dt.date(2024, 1 + i % 3, 1 + i % 5) for i in range(50)]
+    want = {}
+    sizes = []
+    for epoch, day in enumerate(days):
+        rows = [(*bar("A", day, float(epoch)), False), (*bar("B", day, 1.0), epoch % 2 == 1)]
+        table.merge(spark.createDataFrame(rows, BAR + ", removed boolean"), epoch, f"t{epoch}")
+        want[("A", day)] = float(epoch)
+        want[("B", day)] = 1.0
+        if epoch % 2 == 1:
+            del want[("B", day)]
+        if epoch == 20:
+            reader = table.rows()  # opened before the next switch, read after it
+            then = dict(want)
+        if epoch == 21:
+            assert {(r.ticker, r.date): r.close for r in reader.collect()} == then
+        if epoch % 10 == 9:
+            assert {(r.ticker, r.date): r.close for r in table.rows().collect()} == want
+            sizes.append(sum(len(files) for _, _, files in os.walk(root.removeprefix("file:"))))
+    assert max(sizes) <= 60, sizes
+    table.merge(spark.createDataFrame([(*bar("A", days[-1], -1.0), False)], BAR + ", removed boolean"), 49, "again")  # the last epoch is repeated
+    want[("A", days[-1])] = -1.0
+    got = {(r.ticker, r.date): r.close for r in table.rows().collect()}
+    assert got[("A", days[-1])] == -1.0
+    log = table.revisions()
+    assert log.where("change_type = 'deleted'").count() > 0 and log.select("sync_run_id").distinct().count() > 10
 
 
-def test_quota_of_a_subject_with_most_events(spark):
+def decisions(events, limit, window):
+    state, out = {}, {}
+    for subject, at, event in sorted(events):
+        started, used = state.get(subject, (0, 0))
+        if used == 0 or at - started >= window:
+            started, used = at, 0
+        allowed = used < limit
+        state[subject] = (started, used + allowed)
+        out[event] = (allowed, limit - used - 1 if allowed else 0, 0 if allowed else max(1, window - (at - started)))
+    return out
+
+
+def test_quota_equals_the_walk(spark):
     rows = spark.range(6000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id") % 7 + 2).alias("subject"),
-                                    F.pmod(F.col("id") * 7919, F.lit(5000)).alias("at_s"))
-    feed = jobs.replay(rows, "hot", "at_s")
-    got = {r.event_id: r for r in jobs.run_append(feed, jobs.quota_stream(feed.stream, 5, 60), "hot-quota").collect()}
-    state = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.at_s, r.event_id)):
-        started, used = state.get(r.subject, (0, 0))
-        if used == 0 or r.at_s - started >= 60:
-            started, used = r.at_s, 0
-        allowed = used < 5
-        state[r.subject] = (started, used + allowed)
-        assert got[r.event_id].allowed == allowed
-    assert len(got) == 6000
+                                    (1_000_000 + F.pmod(F.col("id") * 7919, F.lit(5000))).alias("at_s"))
+    got = {r.event_id: (r.allowed, r.remaining, r.retry_after) for r in jobs.run_quota(jobs.replay(rows, "hot", "at_s"), 5, 60).collect()}
+    assert got == decisions([(r.subject, r.at_s, r.event_id) for r in rows.collect()], 5, 60)
+
+
+def test_quota_decides_in_time_order_across_triggers_and_forgets(spark):
+    schema = "event_id long, subject long, at_s long"
+    slices = [spark.createDataFrame(rows, schema) for rows in (
+        [(1, 7, 130), (2, 7, 100), (3, 8, 100)], [(4, 7, 105), (5, 7, 110), (6, 8, 170)], [(7, 9, 1000)], [(8, 9, 5000)], [(9, None, 90_000)])]
+    folder = new_path(spark, "quota-in")
+    slices[0].limit(0).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    writer, read = jobs.appends(jobs.quota_stream(stream, 2, 60, "60 seconds"), "quota")
+    query = writer.start()
+    try:
+        for part in slices:
+            part.write.mode("append").parquet(folder)
+            query.processAllAvailable()
+        left = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        query.stop()
+    got = {r.event_id: (r.allowed, r.remaining, r.retry_after) for r in read().collect()}
+    assert got == decisions([(r.subject, r.at_s, r.event_id) for part in slices for r in part.collect() if r.subject is not None], 2, 60)
+    assert left == 0
+
+
+def test_a_million_events_of_a_subject_stay_in_chunks():
+    """Memory of the processor is a chunk: its state is outside, here a dictionary."""
+    class State(dict):
+        getValue, containsKey, removeKey = dict.get, dict.__contains__, dict.pop
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        timers = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Timer:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    quota = jobs.Quota(5, 86_400)
+    quota.handle, quota.running, quota.sizes, quota.chunks = Handle(), Value(), State(), State()
+    rng = np.random.default_rng(1)
+    batches = (pd.DataFrame({"event_id": np.arange(i, i + 10_000), "at_s": rng.integers(0, 80_000, 10_000)}) for i in range(0, 1_000_000, 10_000))
+    list(quota.handleInputRows((1,), batches, None))
+    tracemalloc.start()
+    rows = allowed = 0
+    for at in sorted(set(Handle.timers)):
+        for out in quota.handleExpiredTimer((1,), Timer(at), Timer(at)):
+            rows, allowed = rows + len(out), allowed + int(out["allowed"].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for at in Handle.timers:
+        list(quota.handleExpiredTimer((1,), Timer(at), Timer(at)))
+    assert (rows, allowed) == (1_000_000, 5) and peak < 8_000_000
+    assert not quota.sizes and not quota.chunks and not quota.running.exists()
+
+
+def test_late_tick_leaves_closed_candles_alone(spark):
+    schema = "ticker string, ts timestamp, price double, size long, tick_id long"
+    tick = lambda day, price, n: ("A", dt.datetime(2024, 1, day, 12), price, 1, n)
+    slices = [spark.createDataFrame(rows, schema) for rows in ([tick(1, 10.0, 1), tick(1, 12.0, 2)], [tick(4, 20.0, 3)], [tick(1, 99.0, 4), tick(5, 30.0, 5), tick(4, 21.0, 6)])]
+    got = {r.date.day: (r.high, r.close, r.volume, r.closed) for r in jobs.closed_and_open_candles(jobs.feed_of(slices, "ticks")).collect()}
+    assert got == {1: (12.0, 12.0, 2, True), 4: (21.0, 21.0, 2, False), 5: (30.0, 30.0, 1, False)}
