@@ -298,10 +298,9 @@ def cross_source_mismatch(spark, folder):
 
 
 @query("anti_fallback_gaps", f"""
-WITH all_fin AS MATERIALIZED (SELECT ticker, statement, report_period, period_type, item_code, value, source FROM ld_fin
-  WHERE item_code IN ({', '.join(repr(n) for n in CRITICAL_ITEMS)}))
-SELECT f.ticker, f.report_period, f.item_code, f.value FROM all_fin f ANTI JOIN (SELECT * FROM all_fin WHERE source = 'DNSE') p
-  USING (ticker, statement, report_period, period_type, item_code) WHERE f.source <> 'DNSE'
+SELECT ticker, report_period, item_code, value FROM (
+  SELECT *, bool_or(source = 'DNSE') OVER (PARTITION BY ticker, statement, report_period, period_type, item_code) AS covered
+  FROM ld_fin WHERE item_code IN ({', '.join(repr(n) for n in CRITICAL_ITEMS)})) WHERE NOT covered
 """)
 def anti_fallback_gaps(spark, folder):
     """Fallback cells of required items that the primary source lacks; the statements are planned once."""

@@ -1,17 +1,22 @@
 """Sources, sinks and the star-schema export."""
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
-from tapeframe.operators import prices as px
+from tapeframe.functions.numeric import is_true
+from tapeframe.operators import clean, prices as px
 from tapeframe.operators.quality import count_if, union_all
-from tapeframe.operators.ranking import global_row_number
+from tapeframe.operators.ranking import first_per_key, global_row_number
+from tapeframe.plans.cleaning import sql_checksum
+from tapeframe.plans.fundamentals import snapshot
 from tapeframe.plans.prices import all_periods, generations, RUN_ID
 from tapeframe.plans.quality import annual, cleaned
-from tapeframe.plans.registry import query, view
+from tapeframe.plans.registry import query, rounded, view
 from tapeframe.runtime import new_path, stage
 from tapeframe.sources import landed as L
 from tapeframe.sources import loads as ld
@@ -121,7 +126,11 @@ class Star:
     """Dimensions and facts of one market folder."""
 
     def __init__(self, market: Market):
-        self.market = market
+        self.market = market.over_staged_bars()
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return stage(self.market.actions, "actions")
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -148,7 +157,7 @@ class Star:
 
     @cached_property
     def kind(self) -> DataFrame:
-        return stage(tb.surrogate_ids(self.market.actions, "action_type"), "dim_type")
+        return stage(tb.surrogate_ids(self.actions, "action_type"), "dim_type")
 
     def ids(self, dim: DataFrame, column: str, name: str) -> DataFrame:
         return dim.select(column, F.col("id").alias(name))
@@ -169,10 +178,25 @@ class Star:
             statements[F.col("statement")].alias("statement_id"), "item_id", "value", "source_id")
 
     def action_fact(self) -> DataFrame:
-        rows = global_row_number(self.market.actions, [F.col("ticker").asc(), F.col("ex_date").asc(), F.col("action_type").asc()], "id")
+        rows = global_row_number(self.actions, [F.col("ticker").asc(), F.col("ex_date").asc(), F.col("action_type").asc()], "id")
         return rows.join(self.ids(self.company, "ticker", "company_id"), "ticker").join(
-            self.ids(self.kind, "action_type", "action_type_id"), "action_type").select(
-            "id", "company_id", "ex_date", "action_type_id", "cash_dividend", "stock_ratio", "split_ratio", "rights_ratio", "rights_price")
+            self.ids(self.kind, "action_type", "action_type_id"), "action_type").withColumn("source", F.lit("vnstock KBS")).join(
+            self.ids(self.source, "source", "source_id"), "source", "left").select(
+            "id", "company_id", "ex_date", "action_type_id", "cash_dividend", "stock_ratio", "split_ratio", "rights_ratio", "rights_price", "source_id")
+
+    def benchmark_fact(self) -> DataFrame:
+        """The index by session, under its own source."""
+        rows = self.market.staged_benchmark.withColumns({
+            "ticker": F.lit("INDEX"), "source": F.lit("INDEX"), "close": F.round(F.col("close") + 1e-9, 6), **{n: F.lit(None).cast("double") for n in ("open", "high", "low")}})
+        return clean.with_checksums(rows).join(self.ids(self.source, "source", "source_id"), "source", "left").select(
+            "date", "close", F.bround("volume", 0).cast("long").alias("volume"), "source_id",
+            is_true((F.col("close") >= 0) & (F.col("volume") >= 0)).alias("is_valid"), F.concat(F.lit("\\x"), "row_checksum").alias("row_checksum"))
+
+    def snapshot_fact(self) -> DataFrame:
+        """The newest ratios of each company that is in the dimension."""
+        newest = first_per_key(snapshot(self.market), ["ticker"], [F.col("as_of_utc").desc()])
+        return newest.join(self.ids(self.company, "ticker", "company_id"), "ticker").select(
+            "company_id", "as_of_utc", *rounded(["pe", "pb"], 6), "eps_ttm", "net_income_ttm", "market_cap")
 
 
 @query("star_dimensions", """
@@ -213,13 +237,31 @@ def star_facts_financial(spark, folder):
 
 
 @query("star_facts_actions", """
-SELECT a.id, c.id AS company_id, a.ex_date, t.id AS action_type_id, a.cash_dividend, a.stock_ratio, a.split_ratio, a.rights_ratio, a.rights_price
+SELECT a.id, c.id AS company_id, a.ex_date, t.id AS action_type_id, a.cash_dividend, a.stock_ratio, a.split_ratio, a.rights_ratio, a.rights_price,
+       (SELECT id FROM dim_source WHERE source = 'vnstock KBS') AS source_id
 FROM (SELECT *, row_number() OVER (ORDER BY ticker, ex_date, action_type) AS id FROM fx_actions) a JOIN dim_company c ON c.ticker = a.ticker JOIN dim_type t ON t.action_type = a.action_type
 """)
 def star_facts_actions(spark, folder):
     return Star(Market(spark, folder)).action_fact()
 
 
+@query("star_facts_benchmark", f"""
+SELECT date, close, CAST(round_even(volume, 0) AS BIGINT) AS volume, (SELECT id FROM dim_source WHERE source = 'INDEX') AS source_id, close >= 0 AND volume >= 0 AS is_valid,
+       concat('\\x', {sql_checksum()}) AS row_checksum
+FROM (SELECT 'INDEX' AS ticker, date, CAST(NULL AS DOUBLE) AS open, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS DOUBLE) AS low, round(close + 1e-9, 6) AS close, volume FROM fx_benchmark)
+""")
+def star_facts_benchmark(spark, folder):
+    return Star(Market(spark, folder)).benchmark_fact()
+
+
+@query("star_facts_snapshot", """
+SELECT c.id AS company_id, s.as_of_utc, round(s.pe + 1e-9, 6) AS pe, round(s.pb + 1e-9, 6) AS pb, s.eps_ttm, s.net_income_ttm, s.market_cap
+FROM fx_snapshot s JOIN dim_company c ON c.ticker = s.ticker
+""")
+def star_facts_snapshot(spark, folder):
+    return Star(Market(spark, folder)).snapshot_fact()
+
+
 @query("star_facts_revisions", """
 SELECT r.sync_run_id, c.id AS company_id, r.date, r.change_type, r.old_close, r.new_close, s.id AS old_source_id, n.id AS new_source_id
 FROM revs r JOIN dim_company c ON c.ticker = r.ticker LEFT JOIN dim_source s ON s.source = r.old_source LEFT JOIN dim_source n ON n.source = r.new_source
@@ -305,51 +347,67 @@ SELECT c.id AS company_id, a.ex_date, t.id AS action_type_id FROM fx_actions a J
 FAULTS = ["duplicate_keys", "null_values", "company_orphans", "source_orphans", "item_orphans", "bad_checksums"]
 
 
-def bundle_checks(rows: DataFrame, manifest_rows: Column, keys: list[str], nulls: Column, bad: Column, dims: list[tuple[DataFrame, str, str]]) -> DataFrame:
-    """Row, key, null, orphan and checksum counts of one fact, from a single aggregation per key and one over the keys."""
+@dataclass
+class Version:
+    """A state of a bundle as columns over the intact fact: how often a row is in it, and what is wrong with it there."""
+
+    name: str
+    times: Column
+    nulls: Column
+    bad: Column
+    lost: Callable[[str], Column]  # dimension column -> whether the dimension no longer has the id
+
+
+def bundle_checks(rows: DataFrame, table: str, keys: list[str], dims: list[tuple[DataFrame, str, str]], versions: list[Version]) -> DataFrame:
+    """Row, key, null, orphan and checksum counts of one fact in every version, from one pass over it.
+
+    Ids are looked up once; the fact is grouped by key once, and the keys are added up.
+    """
+    whole = rows.agg(F.count("*")).scalar()
+    unknown = {}
     for dim, column, name in dims:
-        known = dim.select(F.col("id").alias(column), F.lit(True).alias(f"_{name}"))
-        rows = rows.join(known, column, "left").withColumn(name, F.col(column).isNotNull() & F.col(f"_{name}").isNull())
-    for name in ("company_orphans", "source_orphans", "item_orphans"):
-        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(False))
-    per_key = rows.groupBy(*keys).agg(F.count("*").alias("n"), count_if(nulls).alias("null_values"), count_if(bad).alias("bad_checksums"),
-                                      *[count_if(F.col(n)).alias(n) for n in ("company_orphans", "source_orphans", "item_orphans")])
-    total = [F.sum(n).alias(n) for n in FAULTS if n != "duplicate_keys"]
-    return per_key.agg(F.sum("n").alias("rows"), count_if(F.col("n") > 1).alias("duplicate_keys"), *total).withColumn("manifest_rows", manifest_rows)
+        rows = rows.join(dim.select(F.col("id").alias(column), F.lit(True).alias(f"_{column}")), column, "left")
+        unknown[name] = (column, F.col(f"_{column}").isNull())
+    counts = []
+    for v in versions:
+        flags = {"rows": F.lit(True), "null_values": v.nulls, "bad_checksums": v.bad}
+        for name in ("company_orphans", "source_orphans", "item_orphans"):
+            column, absent = unknown.get(name, (None, None))
+            flags[name] = F.lit(False) if column is None else F.col(column).isNotNull() & (absent | v.lost(column))
+        counts += [F.sum(F.when(flag, v.times).otherwise(0)).alias(f"{v.name}_{name}") for name, flag in flags.items()]
+    per_key = rows.groupBy(*keys).agg(*counts)
+    names = [n for n in ("rows", *FAULTS) if n != "duplicate_keys"]
+    totals = per_key.agg(*[F.coalesce(F.sum(f"{v.name}_{n}"), F.lit(0)).alias(f"{v.name}_{n}") for v in versions for n in names],
+                         *[count_if(F.col(f"{v.name}_rows") > 1).alias(f"{v.name}_duplicate_keys") for v in versions]).withColumn("manifest_rows", whole)
+    out = F.explode(F.array(*[F.struct(F.lit(v.name).alias("bundle"), *[F.col(f"{v.name}_{n}").alias(n) for n in ("rows", *FAULTS)]) for v in versions])).alias("x")
+    return totals.select(out, "manifest_rows").select("x.bundle", F.lit(table).alias("tbl"), "x.rows", "manifest_rows", *[f"x.{n}" for n in FAULTS])
 
 
 @query("validate_bundle", "SELECT *, rows = manifest_rows AND " + " + ".join(FAULTS) + " = 0 AS valid FROM ("
        + _bundle_sql("intact", False) + " UNION ALL " + _bundle_sql("damaged", True) + ")")
 def validate_bundle(spark, folder):
-    """The checks of an export over the bundle as it is and over a damaged one."""
+    """The checks of an export over the bundle as it is and over a damaged one, which has lost ids, repeats rows and lost values."""
     star = Star(Market(spark, folder))
-    price, fin, acts = stage(star.price_fact(), "price_fact"), stage(star.financial_fact(), "fin_fact"), stage(star.action_fact(), "action_fact")
-    out = []
-    for bundle in ("intact", "damaged"):
-        damaged = bundle == "damaged"
-        broken = lambda rows: rows.union(rows.filter("company_id % 7 = 1")) if damaged else rows
-        keep = lambda dim, lost: dim.filter(~lost) if damaged else dim
-        company, source = keep(star.company, F.col("id") % 10 == 0), keep(star.source, F.col("id") == 1)
-        item, kind = keep(star.item, F.col("id") == 1), keep(star.kind, F.col("id") == 1)
-        p = price
-        if damaged:
-            p = p.withColumns({"close": F.when(F.col("company_id") % 5 == 2, None).otherwise(F.col("close")),
-                               "row_checksum": F.when(F.col("company_id") % 4 == 3, F.substring("row_checksum", 3, 64)).otherwise(F.col("row_checksum"))})
-        no_price = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
-        bad = (F.coalesce((F.length("row_checksum") != 66) | ~F.col("row_checksum").startswith("\\x"), F.lit(True))
-               | F.coalesce(F.length("source_checksum") != 66, F.lit(False)))
-        never = F.lit(False)
-        for name, rows, whole, keys, nulls, wrong, dims in (
-                ("price_daily", p, price, ["company_id", "date"], no_price, bad, [(company, "company_id", "company_orphans"), (source, "source_id", "source_orphans")]),
-                ("financial_values", fin, fin, ["company_id", "period_kind", "period_end", "statement_id", "item_id"], F.col("value").isNull(), never,
-                 [(company, "company_id", "company_orphans"), (source, "source_id", "source_orphans"), (item, "item_id", "item_orphans")]),
-                ("corporate_actions", acts, acts, ["company_id", "ex_date", "action_type_id"], F.col("ex_date").isNull(), never,
-                 [(company, "company_id", "company_orphans"), (kind, "action_type_id", "item_orphans")])):
-            checks = bundle_checks(broken(rows), whole.agg(F.count("*")).scalar(), keys, nulls, wrong, dims)
-            faults = sum((F.col(n) for n in FAULTS), F.lit(0))
-            out.append(checks.select(F.lit(bundle).alias("bundle"), F.lit(name).alias("tbl"), "rows", "manifest_rows", *FAULTS,
-                                     ((F.col("rows") == F.col("manifest_rows")) & (faults == 0)).alias("valid")))
-    return union_all(out)
+    never, once = F.lit(False), F.lit(1)
+    twice = F.when(F.col("company_id") % 7 == 1, 2).otherwise(1)
+    gone = lambda column: F.col(column) % 10 == 0 if column == "company_id" else F.col(column) == 1
+    no_price = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
+    no_prefix = F.coalesce((F.length("row_checksum") != 66) | ~F.col("row_checksum").startswith("\\x"), F.lit(True))
+    bad = no_prefix | F.coalesce(F.length("source_checksum") != 66, never)
+
+    def versions(nulls, wrong, more_nulls=never, more_wrong=never):
+        return [Version("intact", once, nulls, wrong, lambda column: never), Version("damaged", twice, nulls | more_nulls, wrong | more_wrong, gone)]
+
+    company, source = (star.company, "company_id", "company_orphans"), (star.source, "source_id", "source_orphans")
+    out = union_all([
+        bundle_checks(stage(star.price_fact(), "price_fact"), "price_daily", ["company_id", "date"], [company, source],
+                      versions(no_price, bad, F.col("company_id") % 5 == 2, F.col("company_id") % 4 == 3)),
+        bundle_checks(stage(star.financial_fact(), "fin_fact"), "financial_values", ["company_id", "period_kind", "period_end", "statement_id", "item_id"],
+                      [company, source, (star.item, "item_id", "item_orphans")], versions(F.col("value").isNull(), never)),
+        bundle_checks(stage(star.action_fact().drop("source_id"), "action_fact"), "corporate_actions", ["company_id", "ex_date", "action_type_id"],
+                      [company, (star.kind, "action_type_id", "item_orphans")], versions(F.col("ex_date").isNull(), never))])
+    faults = sum((F.col(n) for n in FAULTS), F.lit(0))
+    return out.withColumn("valid", (F.col("rows") == F.col("manifest_rows")) & (faults == 0))
 
 
 @query("dataset_manifest", """

@@ -62,6 +62,12 @@ class Market:
     def staged_bars(self) -> DataFrame:
         return stage(self.bars, "bars")
 
+    def over_staged_bars(self) -> Market:
+        """The same market with everything that comes from bars read from one staged copy of them."""
+        out = Market(self.spark, self.folder)
+        out.bars = out.staged_bars = self.staged_bars
+        return out
+
     def benchmark_of(self, bars: DataFrame) -> DataFrame:
         """Market index and trading calendar; one row per session."""
         return bars.groupBy("date").agg(
