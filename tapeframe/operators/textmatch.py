@@ -84,30 +84,38 @@ def code_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+def known_tokens(names: DataFrame, texts: DataFrame, tokens: Column, word: str) -> DataFrame:
+    """(doc_id, bag): the distinct tokens of each text that occur in names.
+
+    Tokens are looked up in the task that cuts the text, and only those that names use leave it: the vocabulary is a
+    staged table of names, whose size Spark knows and broadcasts up to its limit; a larger one is joined by word.
+    """
+    vocabulary = stage(names.select(F.col(word).alias("token")).distinct(), "vocabulary")
+    met = texts.select("doc_id", F.explode(tokens).alias("token")).join(vocabulary, "token", "left_semi")
+    return met.groupBy("doc_id").agg(F.collect_set("token").alias("bag"))
+
+
 def company_match(docs: DataFrame, companies: DataFrame) -> DataFrame:
     """(document, company) pairs: the ticker as a whole token, or enough distinctive name words.
 
-    Texts are cut into words once, and only words of names and tickers are kept.  A name that needs h of its n words
-    is looked for by its n - h + 1 rarest ones, of which every match has at least one; candidates are then tested on
-    all words.  A word that most names share is thus never joined on unless a name has nothing rarer.
+    A name that needs h of its n words is looked for by its n - h + 1 rarest ones, of which every match has at least
+    one; candidates are then tested on all words.  A word that most names share is thus never joined on unless a name
+    has nothing rarer.
     """
     fit = docs.filter(article_like(F.col("title")) & ~contains_any(F.lower("title"), DERIVATIVE_TERMS))
-    body = F.concat_ws(" ", "title", "content")
+    texts = fit.select("doc_id", F.concat_ws(" ", "title", "content").alias("body"))
     own = F.filter(F.array_distinct(words(F.col("company_name"))),
                    lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS))
-    bags = stage(fit.select("doc_id", F.array_distinct(words(body)).alias("bag"), F.array_distinct(code_tokens(body)).alias("codes")), "bags")
-    names = companies.select("ticker", "company_name", own.alias("own"), F.when(F.size(own) == 1, 1).otherwise(2).alias("needed")).distinct()
+    names = stage(companies.select("ticker", "company_name", own.alias("own"), F.when(F.size(own) == 1, 1).otherwise(2).alias("needed")).distinct(), "names")
     words_of = names.select("*", F.explode("own").alias("word"))
-    seen = bags.select("doc_id", F.explode("bag").alias("word")).join(words_of.select("word").distinct(), "word", "left_semi")
-    seen = stage(seen, "seen")
-    common = words_of.join(seen.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    bags = stage(known_tokens(words_of, texts, words(F.col("body")), "word"), "bags")
+    common = words_of.join(bags.select(F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word", "left")
     rarity = Window.partitionBy("ticker", "company_name").orderBy(F.coalesce("n", F.lit(0)), "word")
     keyed = common.withColumn("rn", F.row_number().over(rarity)).filter(F.col("rn") <= F.size("own") - F.col("needed") + 1)
-    tried = seen.join(keyed.select("word", "ticker", "company_name"), "word").select("doc_id", "ticker", "company_name").distinct()
-    tested = tried.join(names, ["ticker", "company_name"]).join(bags.select("doc_id", "bag"), "doc_id")
-    by_word = tested.filter(F.size(F.array_intersect("bag", "own")) >= F.col("needed")).select("doc_id", "ticker")
-    codes = companies.select("ticker", F.lower("ticker").alias("code"))
-    by_code = bags.select("doc_id", F.explode("codes").alias("code")).join(codes, "code").select("doc_id", "ticker")
+    tried = bags.select("doc_id", "bag", F.explode("bag").alias("word")).join(keyed.select("word", "ticker", "own", "needed"), "word")
+    by_word = tried.filter(F.size(F.array_intersect("bag", "own")) >= F.col("needed")).select("doc_id", "ticker")
+    codes = names.filter("ticker <> ''").select("ticker", F.lower("ticker").alias("code")).distinct()
+    by_code = known_tokens(codes, texts, code_tokens(F.col("body")), "code").select("doc_id", F.explode("bag").alias("code")).join(codes, "code").select("doc_id", "ticker")
     return by_word.union(by_code).distinct()
 
 
