@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeframe.operators.windows import session_number_asof
+from tapeframe.runtime import stage
 
 CHUNK = 250_000
 FEE_RATE = 0.0015
@@ -100,45 +101,159 @@ def entry_dates(trades: DataFrame, chunk: int = CHUNK) -> DataFrame:
         *keys, "quantity", F.when(F.col("quantity") > 0, F.col("_entry")).alias("entry_date"))
 
 
-def replay(orders: DataFrame, initial_cash: float, fee_rate: float = FEE_RATE, tolerance: float = 0.01) -> DataFrame:
-    """Accept or reject each order of an account in order: no overspending, no overselling.
+ORDER = ["id", "account", "side", "ticker", "quantity", "price", "market_date"]
+REPLAYED = ", gross double, fee double, cash_after double, status string"
+STATE = "account {0}, slice long, cash double, held map<string,bigint>"
+NEAR = 1e-6  # a cash bound nearer than this, relative, is not trusted to rounding
+
 
-    Whether an order is accepted depends on every earlier one of the account, so an
-    account is walked in order.  The walk streams over Arrow batches of sorted
-    partitions and keeps one account's cash and holdings, never its history.
+class Walk:
+    """The state of one account while its orders pass, and for which other starts the same orders pass the same way.
+
+    As long as the same orders are accepted, cash and holdings differ from another start by a constant.  Every decision
+    bounds that constant: an accepted order from below, a rejected one from above.
     """
-    schema = orders.select("id", "account", "side", "ticker", "quantity", "price", "market_date").schema
-    out = schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ") + \
-        ", gross double, fee double, cash_after double, status string"
 
+    def __init__(self, cash: float, held: dict[str, int], fee_rate: float, tolerance: float):
+        self.cash, self.held, self.fee_rate, self.tolerance = cash, dict(held), fee_rate, tolerance
+        self.cash_low, self.cash_high = -float("inf"), float("inf")
+        self.held_low: dict[str, int] = {}
+        self.held_high: dict[str, int] = {}
+
+    def pass_order(self, side: str, ticker: str, quantity: int, price: float) -> tuple[float, float, float, str]:
+        gross = price * quantity
+        fee = round(gross * self.fee_rate + 1e-9, 2)
+        if not (isinstance(ticker, str) and ticker.isalnum() and len(ticker) <= 12):
+            return gross, fee, self.cash, "BAD_TICKER"
+        if not 0 < quantity <= 10_000_000:
+            return gross, fee, self.cash, "BAD_QUANTITY"
+        if side == "BUY":
+            room = self.cash - gross - fee + self.tolerance
+            if room < 0:
+                self.cash_high = min(self.cash_high, -room)
+                return gross, fee, self.cash, "OVERSPEND"
+            self.cash_low = max(self.cash_low, -room)
+            self.cash -= gross + fee
+            self.held[ticker] = self.held.get(ticker, 0) + quantity
+        else:
+            spare = self.held.get(ticker, 0) - quantity
+            if spare < 0:
+                self.held_high[ticker] = min(self.held_high.get(ticker, 1 << 62), -spare)
+                return gross, fee, self.cash, "OVERSELL"
+            self.held_low[ticker] = max(self.held_low.get(ticker, -(1 << 62)), -spare)
+            self.cash += gross - fee
+            self.held[ticker] = spare
+        return gross, fee, self.cash, "ACCEPTED"
+
+
+def _passed(orders: pd.DataFrame, walk: Walk) -> pd.DataFrame:
+    ordered = orders.sort_values("id", kind="stable")
+    out = [walk.pass_order(*row) for row in ordered[["side", "ticker", "quantity", "price"]].itertuples(index=False, name=None)]
+    return pd.concat([ordered.reset_index(drop=True), pd.DataFrame(out, columns=["gross", "fee", "cash_after", "status"])], axis=1)
+
+
+def _walk_in_order(orders: DataFrame, initial_cash: float, fee_rate: float, tolerance: float, out: str) -> DataFrame:
+    """Accounts one after the other along sorted batches; a task keeps one account's cash and holdings."""
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        account, money, held = None, 0.0, {}
+        account, state = None, None
         for batch in batches:
             result = []
             for row in batch.itertuples(index=False):
-                if row.account != account:
-                    account, money, held = row.account, initial_cash, {}
-                gross = row.price * row.quantity
-                fee = round(gross * fee_rate + 1e-9, 2)
-                owned = held.get(row.ticker, 0)
-                if not (isinstance(row.ticker, str) and row.ticker.isalnum() and len(row.ticker) <= 12):
-                    status = "BAD_TICKER"
-                elif not 0 < row.quantity <= 10_000_000:
-                    status = "BAD_QUANTITY"
-                elif row.side == "BUY":
-                    status = "ACCEPTED" if money - gross - fee >= -tolerance else "OVERSPEND"
-                else:
-                    status = "ACCEPTED" if owned >= row.quantity else "OVERSELL"
-                if status == "ACCEPTED":
-                    buy = row.side == "BUY"
-                    money += -(gross + fee) if buy else gross - fee
-                    held[row.ticker] = owned + (row.quantity if buy else -row.quantity)
-                result.append((gross, fee, money, status))
+                if state is None or row.account != account:
+                    account, state = row.account, Walk(initial_cash, {}, fee_rate, tolerance)
+                result.append(state.pass_order(row.side, row.ticker, row.quantity, row.price))
             yield pd.concat([batch.reset_index(drop=True),
                              pd.DataFrame(result, columns=["gross", "fee", "cash_after", "status"])], axis=1)
 
-    ordered = orders.select(*schema.names).repartition("account").sortWithinPartitions("account", "id")
-    return ordered.mapInPandas(walk, out)
+    return orders.repartition("account").sortWithinPartitions("account", "id").mapInPandas(walk, out)
+
+
+def sliced(orders: DataFrame, chunk: int) -> DataFrame:
+    """Adds ``slice``: consecutive stretches of an account's orders of about ``chunk``, at most 1.25 of it.
+
+    Orders are counted in narrow ranges of ids, and the counts are added up along an account, so no account is sorted.
+    """
+    narrow = F.floor(F.col("id") / max(1, chunk // 4))
+    counts = orders.groupBy("account", narrow.alias("_range")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("account").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.select("account", "_range", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / chunk).alias("slice"))
+    return orders.withColumn("_range", narrow).join(slices, ["account", "_range"]).drop("_range")
+
+
+def _replay_slices(orders: DataFrame, initial_cash: float, fee_rate: float, tolerance: float, out: str) -> DataFrame:
+    """Orders with ``slice``: all slices of an account at once, each from a guess of what it starts with.
+
+    A round walks the slices whose guess was off.  Then an account's slices, few, are gone through in order: what a
+    slice does is known for every start within its bounds, so starts are exact up to the first slice whose bounds do
+    not hold, and predicted after it.  That slice has its exact start in the next round, so rounds end; where
+    decisions do not hang on a narrow margin they are few.  At last every slice is walked from its exact start.
+    """
+    kind = orders.schema["account"].dataType.simpleString()
+    state = STATE.format(kind)
+    result = state + ", cash_by double, cash_low double, cash_high double, held_by map<string,bigint>, held_low map<string,bigint>, held_high map<string,bigint>"
+
+    def summary(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(start):
+            return pd.DataFrame(columns=["account", "slice", "cash", "held", "cash_by", "cash_low", "cash_high", "held_by", "held_low", "held_high"])
+        cash, held = float(start["cash"].iloc[0]), dict(start["held"].iloc[0])
+        walk = Walk(cash, held, fee_rate, tolerance)
+        _passed(rows, walk)
+        by = {t: q - held.get(t, 0) for t, q in walk.held.items() if q != held.get(t, 0)}
+        return pd.DataFrame([{"account": rows["account"].iloc[0], "slice": int(rows["slice"].iloc[0]), "cash": cash, "held": held, "cash_by": walk.cash - cash,
+                              "cash_low": walk.cash_low, "cash_high": walk.cash_high, "held_by": by, "held_low": walk.held_low, "held_high": walk.held_high}])
+
+    def holds(row, cash: float, held: dict[str, int]) -> bool:
+        own = dict(row.held)
+        if cash == row.cash and {t: q for t, q in held.items() if q} == {t: q for t, q in own.items() if q}:
+            return True
+        off, margin = cash - row.cash, NEAR * max(1.0, abs(cash))
+        moved = lambda t: held.get(t, 0) - own.get(t, 0)
+        return (row.cash_low + margin <= off <= row.cash_high - margin and all(moved(t) >= low for t, low in dict(row.held_low).items())
+                and all(moved(t) < high for t, high in dict(row.held_high).items()))
+
+    def chained(summaries: pd.DataFrame) -> pd.DataFrame:
+        cash, held, rows = initial_cash, {}, []
+        for row in summaries.sort_values("slice").itertuples(index=False):
+            rows.append((row.account, row.slice, cash, dict(held), not holds(row, cash, held)))
+            cash += row.cash_by
+            for ticker, by in dict(row.held_by).items():
+                held[ticker] = max(0, held.get(ticker, 0) + by)
+        return pd.DataFrame(rows, columns=["account", "slice", "cash", "held", "off"])
+
+    keys = ["account", "slice"]
+    walked = lambda starts, step, schema: orders.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(step, schema)
+    guess = stage(orders.select(*keys).distinct().select(*keys, F.lit(float(initial_cash)).alias("cash"), F.expr("cast(map() as map<string,bigint>)").alias("held")), "guesses")
+    known = stage(walked(guess, summary, result), "slices")
+    while True:
+        starts = stage(known.groupBy("account").applyInPandas(chained, state + ", off boolean"), "starts")
+        wrong = starts.filter("off").drop("off")
+        if wrong.isEmpty():
+            break
+        needed = orders.join(wrong.select(*keys), keys, "left_semi")
+        again = needed.groupBy(*keys).cogroup(wrong.groupBy(*keys)).applyInPandas(summary, result)
+        known = stage(known.join(wrong.select(*keys), keys, "left_anti").unionByName(again), "slices")
+
+    def final(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        walk = Walk(float(start["cash"].iloc[0]), dict(start["held"].iloc[0]), fee_rate, tolerance)
+        return _passed(rows, walk).drop(columns="slice")
+
+    return walked(starts.drop("off"), final, out)
+
+
+def replay(orders: DataFrame, initial_cash: float, fee_rate: float = FEE_RATE, tolerance: float = 0.01, chunk: int = CHUNK) -> DataFrame:
+    """Accept or reject each order of an account in order: no overspending, no overselling.
+
+    Whether an order is accepted depends on every earlier one of the account.  Accounts of up to ``chunk`` orders are
+    walked in order, many to a task.  Larger ones are cut into slices that are walked side by side and made consistent.
+    """
+    rows = orders.select(*ORDER)
+    out = rows.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ") + REPLAYED
+    hot = stage(rows.groupBy("account").count().filter(F.col("count") > chunk).select("account"), "hot")
+    if hot.isEmpty():
+        return _walk_in_order(rows, initial_cash, fee_rate, tolerance, out)
+    large = stage(sliced(rows.join(hot, "account", "left_semi"), chunk), "large")
+    small = _walk_in_order(rows.join(hot, "account", "left_anti"), initial_cash, fee_rate, tolerance, out)
+    return small.unionByName(_replay_slices(large, initial_cash, fee_rate, tolerance, out))
 
 
 def valuation(holdings: DataFrame, latest: DataFrame) -> DataFrame:

@@ -10,12 +10,11 @@ read from a running count and its lag, which costs O(1) per row.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeframe.functions.numeric import is_true, safe_divide
+from tapeframe.runtime import stage
 
 def by_date():
     return Window.partitionBy("ticker").orderBy("date")
@@ -81,30 +80,39 @@ def bollinger(bars: DataFrame, column: str, n: int = 20, width: float = 2.0) ->
                                          "lower": F.col("middle") - F.col("_n_dev")}))
 
 
-def rsi_wilder(bars: DataFrame, column: str, n: int = 14) -> DataFrame:
+def rsi_wilder(bars: DataFrame, column: str, n: int = 14, block: int = 512) -> DataFrame:
     """Wilder's smoothed strength index; 50 on a flat series, 100 without a loss.
 
-    The smoothing is a recurrence along one ticker's sessions, so it runs per
-    ticker on Arrow batches; a group is bounded by the length of the calendar.
+    Smoothing maps the sum before to ``a * sum + move``.  In a block of sessions these maps are composed as a prefix
+    sum of moves over falling powers of ``a``, which stay well within a double; the maps of whole blocks, few per
+    ticker, are composed in order and carried to the rows of the next block.  Sessions without a move count as flat.
     """
-
-    def smooth(moves: pd.Series) -> pd.Series:
-        seed = moves.iloc[1:n + 1].mean()
-        tail = pd.concat([pd.Series([seed]), moves.iloc[n + 1:]])
-        return tail.ewm(alpha=1.0 / n, adjust=False).mean()
-
-    def per_ticker(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        if len(group) <= n:
-            return group.iloc[:0].assign(rsi=pd.Series(dtype="float64"))[["ticker", "date", "rsi"]]
-        move = group[column].diff()
-        gain, loss = smooth(move.clip(lower=0)).to_numpy(), smooth((-move).clip(lower=0)).to_numpy()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            level = np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), 100.0 - 100.0 / (1.0 + gain / loss))
-        return group.iloc[n:][["ticker", "date"]].assign(rsi=level)
-
-    return bars.select("ticker", "date", column).groupBy("ticker").applyInPandas(
-        per_ticker, "ticker string, date date, rsi double")
+    a = (n - 1) / n
+    by = Window.partitionBy("ticker").orderBy("date")
+    move = F.coalesce(F.col(column) - F.lag(column).over(by), F.lit(0.0))
+    rows = bars.select("ticker", "date", column).withColumns({"_i": F.row_number().over(by) - 1, "_d": move})
+    after = F.col("_i") > n
+    rows = rows.withColumns({"_block": F.when(after, F.floor((F.col("_i") - n - 1) / block)).otherwise(-1).cast("long"),
+                             "_r": F.when(after, F.pmod(F.col("_i") - n - 1, F.lit(block)) + 1).otherwise(0)})
+    inside = Window.partitionBy("ticker", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda e: F.pow(F.lit(a), e)
+    part = lambda x: F.sum(F.greatest(x, F.lit(0.0)) * power(-F.col("_r"))).over(inside) * power(F.col("_r"))
+    rows = stage(rows.select("ticker", "date", "_i", "_block", "_r", part(F.col("_d")).alias("_g"), part(-F.col("_d")).alias("_l")), "smoothed")
+    ends = rows.filter((F.col("_r") == block) | (F.col("_i") == n)).groupBy("ticker").agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_g", "_l"))).alias("ends"))
+    none = F.array().cast("array<struct<block:bigint,g:double,l:double>>")
+
+    def carried(acc, end):
+        before = F.get(acc, F.size(acc) - 1)
+        on = lambda old, new: F.coalesce(old * a ** block, F.lit(0.0)) + new
+        return F.concat(acc, F.array(F.struct((end["_block"] + 1).alias("block"), on(before["g"], end["_g"]).alias("g"), on(before["l"], end["_l"]).alias("l"))))
+
+    carry = ends.select("ticker", F.explode(F.aggregate("ends", none, carried)).alias("c")).select("ticker", F.col("c.block").alias("_block"), "c.g", "c.l")
+    out = rows.filter(F.col("_i") >= n).join(carry, ["ticker", "_block"], "left")
+    total = lambda own, before: F.col(own) + F.coalesce(F.col(before), F.lit(0.0)) * power(F.col("_r"))
+    gain, loss = total("_g", "g"), total("_l", "l")
+    level = F.when(loss == 0, F.when(gain == 0, 50.0).otherwise(100.0)).otherwise(100.0 - 100.0 / (1.0 + F.try_divide(gain, loss)))
+    return out.select("ticker", "date", level.alias("rsi"))
 
 
 def prev_valid_returns(bars: DataFrame) -> DataFrame:

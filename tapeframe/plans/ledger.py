@@ -69,6 +69,29 @@ def ledger_replay(spark, folder):
         F.round("fee", 2).alias("fee"))
 
 
+_HELD = "[0, 0, 0, 0, 0]::BIGINT[]"
+
+
+@query("ledger_replay_hot", f"""
+SELECT * FROM (WITH RECURSIVE o AS MATERIALIZED (SELECT *, account % 3 AS acc, row_number() OVER (PARTITION BY account % 3 ORDER BY id) AS k FROM led_orders),
+walk AS (
+  SELECT acc, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST({CASH * 20} AS DOUBLE) AS money, {_HELD} AS held, CAST(NULL AS VARCHAR) AS status FROM (SELECT DISTINCT acc FROM o)
+  UNION ALL
+  SELECT acc, k, id, CASE WHEN status <> 'ACCEPTED' THEN money WHEN side = 'BUY' THEN money - (gross + fee) ELSE money + (gross - fee) END,
+         CASE WHEN status <> 'ACCEPTED' THEN held ELSE list_transform(held, lambda h, i: CASE WHEN i = slot THEN h + CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END ELSE h END) END, status
+  FROM (SELECT w.acc, o.k, o.id, o.side, o.gross, o.fee, o.slot, o.quantity, w.money, w.held,
+               CASE WHEN o.side = 'BUY' THEN CASE WHEN w.money - o.gross - o.fee >= -0.01 THEN 'ACCEPTED' ELSE 'OVERSPEND' END
+                    ELSE CASE WHEN w.held[o.slot] >= o.quantity THEN 'ACCEPTED' ELSE 'OVERSELL' END END AS status
+        FROM walk w JOIN o ON o.acc = w.acc AND o.k = w.k + 1))
+SELECT acc AS account, id, status, round(money, 2) AS cash_after FROM walk WHERE k > 0)
+""")
+def ledger_replay_hot(spark, folder):
+    """All orders on three accounts, each cut into slices that are walked side by side."""
+    trades = Market(spark, folder).trades
+    few = trades.withColumn("account", F.col("account") % 3)
+    return lg.replay(few, CASH * 20, chunk=SLICE // 4).select("account", "id", "status", F.round("cash_after", 2).alias("cash_after"))
+
+
 @query("ledger_positions", f"SELECT account, ticker, quantity, {sql_round(['cost_basis', 'realized_pnl'], 6)} FROM led_positions")
 def ledger_positions(spark, folder):
     return lg.positions(accepted(Market(spark, folder)), SLICE).select(

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tapeframe.plans.prices import NEW_FETCH, generations
 from tapeframe.plans.registry import query, view
+from tapeframe.runtime import new_path, stage
+from tapeframe.sources import tables as tb
 from tapeframe.sources.driver import Market
 from tapeframe.streaming import jobs
 
@@ -98,13 +100,21 @@ def stream_quota(spark, folder):
     return jobs.run_quota(jobs.replay(rows, "events", "at_s"), LIMIT, WINDOW)
 
 
-@query("stream_live_marks", """
-SELECT t.tick_id, t.ticker, c.num AS account, t.price * (c.num % 10 + 1) AS marked_value
-FROM fx_ticks t JOIN (SELECT ticker, CAST(substr(ticker, 2) AS BIGINT) AS num FROM fx_companies) c ON c.ticker = t.ticker
+SLICES = 3
+
+
+@query("stream_live_marks", f"""
+SELECT t.tick_id, t.ticker, c.num AS account, t.price * (c.num % 10 + 1 + t.slice) AS marked_value
+FROM (SELECT *, CAST(floor((epoch(ts) - low) / greatest(high - low, 1.0) * ({SLICES} - 1e-6)) AS BIGINT) AS slice
+      FROM fx_ticks, (SELECT epoch(min(ts)) AS low, epoch(max(ts)) AS high FROM fx_ticks)) t
+JOIN (SELECT ticker, CAST(substr(ticker, 2) AS BIGINT) AS num FROM fx_companies) c ON c.ticker = t.ticker
 """)
 def stream_live_marks(spark, folder):
-    market = Market(spark, folder)
+    """Positions are published anew ahead of each slice of quotes, one share larger; quotes are marked with what they find."""
+    market, root = Market(spark, folder), new_path(spark, "positions")
     num = F.substring("ticker", 2, 20).cast("long")
-    held = market.companies.select("ticker", num.alias("account"), (num % 10 + 1).alias("quantity"))
-    feed = jobs.replay(market.ticks, "ticks", "ts")
-    return jobs.run_append(feed, jobs.live_marks(feed.stream, held), "marks")
+    held = stage(market.companies.select("ticker", num.alias("account"), (num % 10 + 1).alias("quantity")), "held")
+    publish = lambda number: tb.publish(held.withColumn("quantity", F.col("quantity") + number), root, "positions", str(number))
+    feed = jobs.replay(market.ticks, "ticks", "ts", SLICES)
+    publish(0)
+    return jobs.run_live_marks(feed, root, "positions", "marks", before=lambda number: publish(number) if number else None)

@@ -63,6 +63,10 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     version = read_pointer(spark, f"{root}/_current/{name}")
     if version is None:
         raise FileNotFoundError(f"{name} was never published under {root}")
+    return read_version(spark, root, name, version)
+
+
+def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}/version={version}")
 
 

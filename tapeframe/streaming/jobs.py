@@ -21,6 +21,7 @@ from tapeframe.operators import prices as px
 from tapeframe.operators.ranking import first_per_key
 from tapeframe.runtime import new_path, stage
 from tapeframe.sources.files import exists, read_pointer, remove, replace_pointer
+from tapeframe.sources.tables import read_version
 
 
 @dataclass
@@ -34,10 +35,13 @@ class Feed:
     path: str
     slices: list[DataFrame]
 
-    def run(self, *writers: DataStreamWriter) -> None:
+    def run(self, *writers: DataStreamWriter, before: Callable[[int], None] | None = None) -> None:
+        """``before`` is called with a slice's number ahead of its arrival."""
         running = [writer.start() for writer in writers]
         try:
-            for part in self.slices:
+            for number, part in enumerate(self.slices):
+                if before is not None:
+                    before(number)
                 part.write.mode("append").parquet(self.path)
                 for query in running:
                     query.processAllAvailable()
@@ -152,10 +156,29 @@ def latest_trades(ticks: DataFrame) -> DataFrame:
 
 
 def live_marks(ticks: DataFrame, positions: DataFrame) -> DataFrame:
-    """Every quote of a held ticker with the value it gives the static position."""
+    """Every quote of a held ticker with the value it gives the position."""
     return ticks.join(positions, "ticker").select("tick_id", "ticker", "account", (F.col("price") * F.col("quantity")).alias("marked_value"))
 
 
+def run_live_marks(feed: Feed, root: str, table: str, name: str, before: Callable[[int], None] | None = None) -> DataFrame:
+    """Quotes marked with the positions that are published when their micro-batch starts.
+
+    An epoch notes the version it reads before it writes, and keeps to it if it is repeated.
+    """
+    spark, out = feed.stream.sparkSession, new_path(feed.stream.sparkSession, name)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        noted = f"{out}/_versions/{epoch}"
+        version = read_pointer(spark, noted)
+        if version is None:
+            version = read_pointer(spark, f"{root}/_current/{table}")
+            replace_pointer(spark, noted, version)
+        live_marks(batch, read_version(spark, root, table, version)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    feed.run(feed.stream.writeStream.foreachBatch(write).option("checkpointLocation", new_path(spark, name + "-checkpoint")), before=before)
+    return spark.read.parquet(out).drop("epoch")
+
+
 QUOTA_SCHEMA = "event_id long, subject long, at_s long, allowed boolean, remaining long, retry_after long"
 
 

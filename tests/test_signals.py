@@ -1,6 +1,7 @@
 """Price/volume features, fundamentals and the decision rules on hand-made frames."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,32 @@ def test_indicators(spark):
     assert w.rsi_wilder(line.withColumn("close", F.lit(5.0)), "close").first()["rsi"] == 50
     short = line.filter("close BETWEEN 1 AND 4")
     assert w.moving_averages(short, "close", (2,)).orderBy(F.desc("date")).first()["ma2"] == 3.5
+
+
+def test_strength_index_in_blocks_equals_the_recurrence(spark):
+    from tapeframe.operators.windows import rsi_wilder
+    rng = random.Random(5)
+    closes, px = {}, 50.0
+    for ticker, n in (("A", 300), ("B", 15), ("C", 14), ("FLAT", 60), ("UP", 60), ("QUIET", 300)):
+        px, row = 50.0, []
+        for i in range(n):
+            px += 0 if ticker == "FLAT" or (ticker == "QUIET" and i > 40) else abs(rng.gauss(0, 1)) if ticker == "UP" else rng.gauss(0, 1)
+            row.append(px)
+        closes[ticker] = row
+    rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(days=i), c) for t, row in closes.items() for i, c in enumerate(row)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double").repartition(5)
+    want = {}
+    for t, row in closes.items():
+        moves = [b - a for a, b in zip(row, row[1:])]
+        if len(moves) < 14:
+            continue
+        gain, loss = sum(max(m, 0) for m in moves[:14]) / 14, sum(max(-m, 0) for m in moves[:14]) / 14
+        for i in range(14, len(row)):
+            if i > 14:
+                gain, loss = (gain * 13 + max(moves[i - 1], 0)) / 14, (loss * 13 + max(-moves[i - 1], 0)) / 14
+            want[(t, i)] = (50.0 if gain == 0 else 100.0) if loss == 0 else 100 - 100 / (1 + gain / loss)
+    for block in (8, 512):
+        frame = rsi_wilder(bars, "close", block=block)
+        assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+        got = {(r.ticker, (r.date - dt.date(2020, 1, 1)).days): r.rsi for r in frame.collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-7

@@ -11,7 +11,7 @@ from tapeframe.functions import cleaning as c
 from tapeframe.operators import clean, ledger as lg, portfolio as pf, prices as px, research as rs, textmatch as tm
 from tapeframe.operators.ranking import first_per_key, global_row_number, grouped_median
 from tapeframe.params import ACTIVE
-from tapeframe.streaming.jobs import quota_walk
+from tapeframe.streaming import jobs
 
 DAY = dt.date
 STRATEGY = ACTIVE.with_(max_positions=1)
@@ -110,11 +110,11 @@ def test_positions_do_not_depend_on_the_slicing(spark):
         assert (got["quantity"], got["cost_basis"], got["realized_pnl"]) == (quantity, pytest.approx(basis, abs=1e-6), pytest.approx(profit, abs=1e-6))
 
 
-def test_quota_window_starts_at_the_first_event():
-    decide = quota_walk(2, 60)
-    rows, _, _ = decide(pd.DataFrame({"at_s": [100, 110, 120, 159, 160]}), 0, 0)
-    assert rows["allowed"].tolist() == [True, True, False, False, True]
-    assert rows["retry_after"].tolist() == [0, 0, 40, 1, 0]
+def test_quota_window_starts_at_the_first_event(spark):
+    events = spark.createDataFrame([(i, 1, at) for i, at in enumerate([100, 110, 120, 159, 160])], "event_id long, subject long, at_s long")
+    rows = jobs.run_quota(jobs.feed_of([events], "quota"), 2, 60).orderBy("event_id").collect()
+    assert [r.allowed for r in rows] == [True, True, False, False, True]
+    assert [r.retry_after for r in rows] == [0, 0, 40, 1, 0]
 
 
 def test_drawdown_starts_from_the_capital_and_statistics_keep_open_trades_apart(spark):
@@ -235,3 +235,31 @@ def test_scan_reads_only_what_is_used(spark):
     from tests.conftest import FOLDER
     plan = Market(spark, FOLDER).bars.select("ticker", "date", "close")._jdf.queryExecution().executedPlan().toString()
     assert "l_discount" not in plan and "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,0.0)]" in plan
+
+
+def test_slices_of_a_hot_account_equal_the_walk(spark):
+    rng = random.Random(3)
+    rows = [(i * 3 + rng.randint(0, 2), 1 if i % 20 else i % 7 + 2, rng.choice(["BUY", "SELL"]), rng.choice(["AA", "BB", "C-C", "DD"]), rng.choice([0, 1, 5, 40]),
+             round(rng.uniform(1, 90), 2), None) for i in range(6000)]
+    orders = spark.createDataFrame(rows, "id long, account long, side string, ticker string, quantity long, price double, market_date date").repartition(6)
+    for cash in (3_000.0, 1e9):
+        want = {r.id: r for r in lg.replay(orders, cash).collect()}
+        got = lg.replay(orders, cash, chunk=1000).collect()
+        assert len(got) == len(rows) and len({r.status for r in got}) >= 4 + (cash < 1e6) - (cash > 1e6)
+        assert all(r.status == want[r.id].status and abs(r.cash_after - want[r.id].cash_after) < 1e-6 * max(1, cash) for r in got)
+
+
+def test_a_million_orders_of_an_account_use_several_tasks(spark):
+    orders = spark.range(1_000_000).select("id", F.lit(1).cast("long").alias("account"), F.when(F.col("id") % 3 < 2, "BUY").otherwise("SELL").alias("side"),
+                                           F.concat(F.lit("T"), F.col("id") % 5).alias("ticker"), (1 + F.col("id") % 9).alias("quantity"),
+                                           (10 + F.col("id") % 17).cast("double").alias("price"), F.lit(None).cast("date").alias("market_date"))
+    cut = lg.sliced(orders, 125_000)
+    sizes = [r["count"] for r in cut.groupBy("slice").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 125_000 * 1.25
+    done = lg.replay(orders, 1e12, chunk=125_000).groupBy("status").count().collect()
+    assert sum(r["count"] for r in done) == 1_000_000
+
+
+def test_replay_of_no_orders(spark):
+    none = spark.createDataFrame([], "id long, account long, side string, ticker string, quantity long, price double, market_date date")
+    assert lg.replay(none, 1.0).collect() == [] and lg.replay(none, 1.0, chunk=1).collect() == []

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeframe.runtime import new_path
+from tapeframe.sources import tables as tb
 from tapeframe.streaming import jobs
 
 BAR = "ticker string, date date, open double, high double, low double, close double, volume double, source string, row_checksum string, source_checksum string"
@@ -168,3 +169,13 @@ def test_late_tick_leaves_closed_candles_alone(spark):
     slices = [spark.createDataFrame(rows, schema) for rows in ([tick(1, 10.0, 1), tick(1, 12.0, 2)], [tick(4, 20.0, 3)], [tick(1, 99.0, 4), tick(5, 30.0, 5), tick(4, 21.0, 6)])]
     got = {r.date.day: (r.high, r.close, r.volume, r.closed) for r in jobs.closed_and_open_candles(jobs.feed_of(slices, "ticks")).collect()}
     assert got == {1: (12.0, 12.0, 2, True), 4: (21.0, 21.0, 2, False), 5: (30.0, 30.0, 1, False)}
+
+
+def test_changed_positions_mark_later_quotes(spark):
+    root = new_path(spark, "positions")
+    held = lambda n: tb.publish(spark.createDataFrame([("A", 1, n)], "ticker string, account long, quantity long"), root, "positions", str(n))
+    quote = lambda n: spark.createDataFrame([(n, "A", 10.0), (n + 100, "Z", 1.0)], "tick_id long, ticker string, price double")
+    held(1)
+    feed = jobs.feed_of([quote(1), quote(2), quote(3)], "quotes")
+    got = jobs.run_live_marks(feed, root, "positions", "marks", before=lambda number: held(7) if number == 1 else None)
+    assert {(r.tick_id, r.marked_value) for r in got.collect()} == {(1, 10.0), (2, 70.0), (3, 70.0)}
