@@ -33,7 +33,6 @@ from tapeframe.runtime import stage
 WEIGHTS, SHARE, LIMIT, SEED = (5.0, 2.0, 1.0), 1.5, 2, 13
 SLICES = 8  # steps of the convex cost in one copy
 RESERVE = 16  # mean documents at the end of a pattern's line that are chosen by size, to meet its flow
-STRETCH = 100_000  # documents that are sorted together around a cut, about
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -254,7 +253,7 @@ def filled(rows: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, sources: Column | None = None, key: str = "doc_id", text: str = "text", weights: tuple[float, ...] = WEIGHTS,
-        share: float = SHARE, limit: int = LIMIT, seed: int = SEED, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
+        share: float = SHARE, limit: int = LIMIT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents, sources).
 
     documents: key, size, sources (array of names), copies, taken (size * copies), used_for (the source of each copy).
@@ -267,7 +266,7 @@ def mix(docs: DataFrame, sources: Column | None = None, key: str = "doc_id", tex
     rows = stage(read.withColumns({"draw": F.xxhash64("key", F.lit(seed)), "row": F.monotonically_increasing_id()}), "rows")
     patterns = stage(rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "patterns")
     everything = patterns.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.max("n").alias("n")).first()
-    buckets = max(0, (-(-(everything.n or 0) // stretch) - 1).bit_length())
+    buckets = (everything.n or 0).bit_length() // 2  # a pattern's stretches and the documents in one grow alike
     name = F.when(F.col("token") != "null", F.expr("substr(token, 2)"))
     sizes = patterns.select(F.explode("pattern").alias("token"), "size").groupBy("token").agg(F.sum("size").alias("size"))
     known = stage(targets(sizes.select("token", name.alias("source"), "size"), everything.size, weights, share, limit), "targets")
