@@ -23,6 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeframe.llm.exact import first_rows
 from tapeframe.runtime import stage
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9_+/\-])|(?=[A-Za-z_+/\-]{0,63}[0-9])[A-Za-z0-9_+/\-]{12,})"
@@ -57,7 +58,8 @@ def found_in(text: Column) -> Column:
 def frequent_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
     """The most frequent words of 4 to 12 letters over all texts, ties by the word."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(4, 12))
-    return [r.word for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).collect()]
+    order = [F.desc("count"), F.col("word")]
+    return [r.word for r in first_rows(words.groupBy("word").count(), order, size, "words")]
 
 
 def features(value: Column, before: Column, after: Column, path: Column, dictionary: list[str]) -> list[Column]:
