@@ -125,14 +125,14 @@ FROM (SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY {by} ORDER
       FROM (SELECT *, product(1 + ret) OVER (PARTITION BY {by} ORDER BY date) AS equity FROM ({source}))) GROUP BY {by}"""
 
 
-def research_history(market: Market, lag_days: int | None = None) -> DataFrame:
-    """Features with point-in-time scores, and the price that fills orders.
+def research_history(market: Market, lag_days: int | None = None, features: DataFrame | None = None) -> DataFrame:
+    """Features with point-in-time scores, and the price that fills orders; ``features`` are the market's own, if made already.
 
     The driver's prices are noise without a level; the fill price damps them so that
     compounded results stay in a readable range.
     """
     panel = fa_ops.fa_panel(market.companies, market.fin_wide, ON_FIXTURES, lag_days)
-    return fa_ops.asof_fa(panel, history(market)).withColumn("fill", damped(F.col("px")))
+    return fa_ops.asof_fa(panel, history(market) if features is None else features).withColumn("fill", damped(F.col("px")))
 
 
 def damped(price):
@@ -526,14 +526,15 @@ UNION ALL SELECT 'all_passed', bool_and(passed) FROM gate_row, LATERAL (SELECT *
 def promotion_gates(spark, folder):
     """The thirteen checks a training winner must pass against the baseline."""
     market = Market(spark, folder)
-    hist = stage(research_history(market), "history")
+    features = stage(history(market), "features")
+    hist = stage(research_history(market, features=features), "history")
     calendar = calendar_of(market)
     normal = stage(rs.sweep(hist, calendar, GRID, fill="fill"), "daily")
     winner = stage(rs.ranked(objective_of(market, normal)).filter("cutoff = 2001 AND rank = 1").select("config"), "winner")
     chosen = winner.first()  # one configuration, whose neighbours are swept next
     chosen = GRID[chosen["config"]] if chosen else GRID[0]
     sel = F.lit(chosen["config"])
-    late = stage(rs.sweep(research_history(market, ON_FIXTURES.reporting_lag_days + 90), calendar, GRID, fill="fill"), "late")
+    late = stage(rs.sweep(research_history(market, ON_FIXTURES.reporting_lag_days + 90, features), calendar, GRID, fill="fill"), "late")
     twice = rs.at_cost(normal, EXTRA_COST)
     rows = normal.withColumn("scenario", F.lit("normal")).unionByName(twice.withColumn("scenario", F.lit("double_cost"))).unionByName(
         late.withColumn("scenario", F.lit("fa_lag_plus90")))

@@ -16,7 +16,8 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 CORE = ["sma_20_50_100_200", "asof_calendar_return", "strict_session_return", "fa_score", "asof_fa", "ta_snapshot", "final_action",
         "job_prices", "job_financials", "full_outer_reconcile", "adjust_prices", "merge_financial_sources", "ledger_positions",
         "topn_returns", "advance_state", "assign_actions", "validate_layer", "star_facts", "company_match", "stream_session_candle",
-        "stream_quota", "stream_upsert_lineage"]
+        "stream_quota", "stream_upsert_lineage", "stream_upsert_removals", "stream_live_marks", "load_once_guard", "restore_missing_only",
+        "sink_replace_dates", "ledger_replay_hot", "rsi_wilder", "q_prices", "q_diagnostics", "refetch_reasons", "validate_bundle"]
 NAMES = list(LIBRARY) if os.environ.get("TAPEFRAME_ALL") else CORE
 
 
