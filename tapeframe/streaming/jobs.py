@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -289,7 +290,20 @@ def run_quota(feed: Feed, limit: int, window: int) -> DataFrame:
     """All decisions of a feed.  A clock row of no subject follows the last slice and moves the watermark past every span."""
     clock = feed.slices[0].agg(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("subject"), F.lit(END_OF_TIME).alias("at_s"))
     timed = Feed(feed.stream, feed.path, [*feed.slices, clock])
-    return run_append(timed, quota_stream(feed.stream, limit, window), "quota")
+    with keyed_state(feed.stream.sparkSession):
+        return run_append(timed, quota_stream(feed.stream, limit, window), "quota")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Several named states per key need a state store that knows column families; a query takes the setting when it starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 END_OF_TIME = 32_503_680_000  # the year 3000
