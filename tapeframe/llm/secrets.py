@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeframe.llm.exact import first_rows
@@ -58,8 +58,13 @@ def found_in(text: Column) -> Column:
 def frequent_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
     """The most frequent words of 4 to 12 letters over all texts, ties by the word."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(4, 12))
+    counts = stage(words.groupBy("word").count(), "words")
+    # How often each count occurs says from which count on there are enough words; only those are put in order.
+    falling = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = counts.groupBy("count").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(falling), F.lit(0)))
+    least = levels.where(F.col("above") < size).agg(F.min("count")).first()[0]
     order = [F.desc("count"), F.col("word")]
-    return [r.word for r in first_rows(words.groupBy("word").count(), order, size, "words")]
+    return [r.word for r in first_rows(counts.where(F.col("count") >= F.lit(least)), order, size, "frequent_words")]
 
 
 def features(value: Column, before: Column, after: Column, path: Column, dictionary: list[str]) -> list[Column]:
