@@ -38,6 +38,7 @@ CACHED_TOKENS = 300_000
 CACHED_LENGTH = 40
 TOKEN = re.compile(r"\w+")
 SPAN = max(map(len, MASKS))
+NO_WINDOW = np.uint64(0)
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -74,6 +75,11 @@ def window_hashes(tokens: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
     return total
 
 
+def before(made: np.ndarray) -> np.ndarray:
+    """The hash of the window one place earlier."""
+    return np.concatenate(([NO_WINDOW], made[:-1])) if len(made) else made
+
+
 def longest_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int]:
     """Bounds of the longest stretch in which at least this share of positions is equal."""
     limit = np.float64(similarity)
@@ -98,22 +104,34 @@ class Block:
             for s, seed in enumerate(self.seeds):
                 if s < len(MASKS) or len(seed) == len(tokens):
                     made = window_hashes(tokens, seed)
-                    rows.append((made, np.full(len(made), number), np.arange(len(made))))
-        keys, owner, at = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.at = keys[order], owner[order], at[order]
+                    rows.append((made, before(made), np.full(len(made), number), np.arange(len(made))))
+        none = np.zeros(0, np.uint64)
+        keys, prior, owner, at = (np.concatenate(c) for c in zip(*rows)) if rows else (none, none, np.zeros(0, int), np.zeros(0, int))
+        order = np.lexsort((prior, keys))
+        self.keys, self.prior, self.owner, self.at = keys[order], prior[order], owner[order], at[order]
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self.keys >> np.uint64(64 - FILTER_BITS)] = True
 
-    def hits(self, tokens: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, text position of the item's first token, hit position) from all seeds."""
+    def hits(self, tokens: np.ndarray, starts: np.ndarray | None = None) -> set[tuple[int, int, int]]:
+        """(item, text position of the item's first token, hit position) from all seeds.
+
+        A hit whose windows follow those of another hit of the same seed says nothing new about how text and item are
+        aligned, so of each such run only the first hit is made: repeated tokens give a hit for each alignment and not
+        for each pair of windows.  ``starts`` are positions at which a text begins and a run can't go on.
+        """
         found = set()
         for seed in self.seeds:
             made = window_hashes(tokens, seed)
+            prior = before(made)
+            if starts is not None:
+                prior[starts[starts < len(prior)]] = NO_WINDOW
             maybe = np.flatnonzero(self.filter[made >> np.uint64(64 - FILTER_BITS)])
             low, high = np.searchsorted(self.keys, made[maybe], "left"), np.searchsorted(self.keys, made[maybe], "right")
-            for place, a, b in zip(maybe[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
-                found.update((o, place - at, place) for o, at in zip(self.owner[a:b].tolist(), self.at[a:b].tolist()))
+            hit = low < high
+            for place, a, b, p in zip(maybe[hit].tolist(), low[hit].tolist(), high[hit].tolist(), prior[maybe[hit]]):
+                i, j = (np.searchsorted(self.prior[a:b], p, side) for side in ("left", "right")) if p != NO_WINDOW else (0, 0)
+                for first, last in ((a, a + i), (a + j, b)):
+                    found.update((o, place - at, place) for o, at in zip(self.owner[first:last].tolist(), self.at[first:last].tolist()))
         return found
 
     def matches(self, tokens: np.ndarray, hits: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
@@ -121,6 +139,8 @@ class Block:
         best: dict[int, tuple[int, int, int, int]] = {}
         for owner, offset in sorted(hits):
             item, want = self.items[owner]
+            if owner in best and best[owner][1] == len(want):
+                continue  # a later alignment can't have more
             a, z = max(0, -offset), min(len(want), len(tokens) - offset)
             equal = tokens[offset + a:offset + z] == want[a:z]
             i, j = longest_stretch(equal, self.similarity)
@@ -147,7 +167,8 @@ class Block:
             return
         ends = np.cumsum([len(h) for h in held])
         found: dict[int, set[tuple[int, int]]] = {}
-        for owner, offset, place in self.hits(np.concatenate(held)):
+        starts = ends - [len(h) for h in held]
+        for owner, offset, place in self.hits(np.concatenate(held), starts):
             n = int(np.searchsorted(ends, place, side="right"))
             found.setdefault(n, set()).add((owner, offset - int(ends[n] - len(held[n]))))
         for n, tokens in enumerate(held):

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -115,3 +117,39 @@ def test_longest_stretch():
         i, j = dc.longest_stretch(equal, 0.8)
         want = max([0] + [b - a for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if equal[a:b].mean() >= 0.8 - 1e-9])
         assert j - i == want and (j == i or equal[i:j].mean() >= 0.8 - 1e-9)
+
+
+def all_hits(block, tokens):
+    """Every pair of equal windows, as the definition has it."""
+    out = set()
+    for seed in block.seeds:
+        for place, key in enumerate(dc.window_hashes(tokens, seed).tolist()):
+            for i in np.flatnonzero(block.keys == np.uint64(key)).tolist():
+                out.add((int(block.owner[i]), place - int(block.at[i])))
+    return out
+
+
+def test_hits_give_every_alignment_of_periodic_texts():
+    rng = random.Random(8)
+    hashes = dc.TokenHashes()
+    for _ in range(60):
+        word = lambda: rng.choice(["a", "b", "c", "d"])
+        period = [word() for _ in range(rng.randint(1, 5))]
+        some = lambda n: " ".join((period * n)[:n]) if rng.random() < 0.7 else " ".join(word() for _ in range(n))
+        block = dc.Block([(i, some(rng.randint(5, 40))) for i in range(3)], 0.8, 0.5)
+        tokens = hashes.of(dc.tokens_of(some(rng.randint(0, 60))))
+        assert {(o, at) for o, at, _ in block.hits(tokens)} == all_hits(block, tokens)
+        texts = [some(rng.randint(0, 40)) for _ in range(4)]
+        together = list(block.scan(texts, hashes))
+        assert together == [next(block.scan([t], hashes)) for t in texts]
+
+
+def test_repeated_tokens_stay_linear():
+    block = dc.Block([(1, "x " * 1000), (2, "x y z " * 300)], 0.8, 0.5)
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = list(block.scan(["x " * 20_000, "x y z " * 7_000, "q " * 20_000], dc.TokenHashes()))
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [{m[0]: m[1] for m in ms} for ms in found] == [{1: 1000}, {2: 900}, {}]
+    assert took < 20 and peak < 200_000_000
