@@ -516,7 +516,7 @@ UNION ALL SELECT 'total', count(*) FROM fx_signals UNION ALL SELECT 'fa_ready',
 UNION ALL SELECT 'fa_pass', count(*) FILTER (fa_pass) FROM fx_signals UNION ALL SELECT 'ta_ready', count(*) FILTER (ta_status = 'READY') FROM fx_signals
 """)
 def q_summary(spark, folder):
-    rows = stage(signals(Market(spark, folder)), "signals")
+    rows = Serving(spark, folder).signals().rows
     actions = rows.groupBy(F.col("final_action").alias("name")).agg(F.count("*").alias("value"))
     counts = coverage_counts(rows).unpivot([], ["total", "fa_ready", "fa_pass", "ta_ready"], "name", "value")
     return actions.unionByName(counts)
@@ -540,8 +540,8 @@ UNION ALL SELECT 'quality', k, CAST(v AS VARCHAR), NULL FROM (UNPIVOT (SELECT fi
 """)
 def q_diagnostics(spark, folder):
     """Breakdowns of the signals, price rows per source and adjustment status, thin histories, and the quality values."""
-    market = Market(spark, folder)
-    rows = stage(signals(market), "signals")
+    serving = Serving(spark, folder)
+    market, rows = serving.market, serving.signals().rows
     prices = cleaned(market)
     adjusted = stage(px.adjust_prices(market.staged_bars.select("ticker", "date", "close"), market.actions).groupBy("adjustment_status", "ticker").agg(
         F.count("*").alias("rows"), F.count("adjusted_close").alias("adjusted")), "adjusted")
@@ -576,8 +576,8 @@ def q_model_portfolio(spark, folder):
 
 @query("q_backtest_stale", "SELECT ticker, max(date) AS latest_date, max(date) > DATE '2001-10-31' AS report_stale FROM cl_prices WHERE analysis_ready GROUP BY ticker")
 def q_backtest_stale(spark, folder):
-    """Whether an evaluation report of a given date is older than each ticker's newest ready bar."""
-    rows = cleaned(Market(spark, folder)).filter("analysis_ready").groupBy("ticker").agg(F.max("date").alias("latest_date"))
+    """Whether an evaluation report of a given date is older than each ticker's newest ready bar, which the index of the published bars knows."""
+    rows = Serving(spark, folder).prices().keys().select("ticker", F.col("last").alias("latest_date"))
     return rows.withColumn("report_stale", F.col("latest_date") > F.lit("2001-10-31").cast("date"))
 
 
