@@ -132,3 +132,25 @@ def cluster(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cen
     return placed.select(F.col("key").alias(key), "cluster", "distance",
                          F.element_at(F.array(*[known(inertia.get(c)) for c in range(len(centres))]), at).alias("cluster_inertia"),
                          known(total).alias("inertia"), F.element_at(lists, at).alias("centroid"), F.element_at(digest, at).alias("centroid_sha256"))
+
+
+def checking_sql(centroids: int = CENTROIDS, rounds: int = ROUNDS, scale: int = SCALE, width: int = WIDTH, seed: int = SEED) -> str:
+    """The same rows from all distances: one pair of CTEs for each round."""
+    square = f"CAST(list_sum(list_transform(range(1, {width + 1}), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS BIGINT)"
+    parts = [f"""
+p AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", f"""
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM p WHERE vec_id IS NOT NULL ORDER BY c LIMIT {centroids})"""]
+    for k in range(rounds + 1):
+        parts.append(f"""
+a{k} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT p.r, p.vec_id, p.v, c.c, {square} AS d FROM p CROSS JOIN c{k} c) GROUP BY r)""")
+        if k < rounds:
+            parts.append(f"""
+c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.v, c.v) AS v FROM c{k} c LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+    SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, {width + 1})) AS i FROM a{k}) GROUP BY c, i) GROUP BY c) n ON n.c = c.c)""")
+    return f"""WITH {','.join(parts)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""

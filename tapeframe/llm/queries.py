@@ -89,7 +89,7 @@ def op11_whitening(spark, sf_dir):
     return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
-@query("op12_centroids")
+@query("op12_centroids", centroids.checking_sql())
 def op12_centroids(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
