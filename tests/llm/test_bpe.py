@@ -68,3 +68,28 @@ def test_query_over_table(spark, library):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id string, text string")
     assert bpe.decode(bpe.encode(docs, PATH), PATH).collect() == []
+
+
+def test_every_code_point_equals_library(library):
+    """Alone, doubled, next to letters and to a number."""
+    vocabulary = bpe.Vocabulary(PATH)
+    cache = bpe.WordCache(vocabulary)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    wrong = []
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)}" for c in points[at:at + 20_000]]
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            if bpe.encode_text(text, vocabulary, cache) != b"".join(i.to_bytes(4, "little") for i in want.ids):
+                wrong.append(text)
+    assert not wrong, [hex(ord(t[1])) for t in wrong[:20]]
+
+
+def test_random_code_points_equal_library(library):
+    vocabulary = bpe.Vocabulary(PATH)
+    cache = bpe.WordCache(vocabulary)
+    rng = random.Random(9)
+    young = [c for a, z in bpe.NOT_YET_WORDS for c in (a, z)] + sorted(bpe.LOWER)
+    points = [*range(0x20, 0x250), *range(0x370, 0x600), *range(0x4E00, 0x4E40), *range(0x1E00, 0x2000)]
+    texts = ["".join(chr(rng.choice(young if rng.random() < 0.2 else points)) if rng.random() < 0.8 else rng.choice(" aB1\n.") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert bpe.encode_text(text, vocabulary, cache) == b"".join(i.to_bytes(4, "little") for i in want.ids), text
