@@ -14,6 +14,7 @@ from tapeframe.functions.numeric import is_true
 from tapeframe.operators.signals import selection_strength
 from tapeframe.operators.windows import by_date
 from tapeframe.params import Strategy
+from tapeframe.runtime import stage
 
 
 def components(volume_ratio) -> dict:
@@ -142,8 +143,41 @@ def scoring_array(configs: list[dict]) -> Column:
     return F.from_json(F.lit(json.dumps(list(groups.values()))), kind)
 
 
-def sweep_panel(history: DataFrame, configs: list[dict], fill: str = "px") -> DataFrame:
-    """Every bar under every configuration that would enter it.
+REGIMES = (50, 100, 200)
+
+
+def regime_holds(ma: int) -> Column:
+    return F.col("bm_px") >= F.col(f"bm_ma{ma}")
+
+
+def contenders(rows: DataFrame, configs: list[dict], most: int) -> DataFrame:
+    """The bars that can be among the ``most`` best of a session under some configuration, and few others.
+
+    Bars of a session that pass the same conditions at every threshold of the sweep pass the same gates and have the
+    same market score, so under each configuration they are ordered by their fundamental score, then by strength and
+    ticker where rounded scores are equal.  A bar goes where ``most`` bars like it are ahead by more than rounding can
+    hide.  Rows move once, by session and before they meet the configurations; what is left of a session does not
+    grow with the number of tickers.
+    """
+    least = min(k["fa_weight"] for k in configs)
+    rows = rows.repartition("date")
+    if least <= 0:
+        return rows
+    flags = [x for ratio in sorted({k["volume_ratio"] for k in configs}) for x in [components(ratio)["volume"]]]
+    flags += [passed for name, passed in components(0.0).items() if name != "volume"]
+    flags += [is_true(F.col("avg_trading_value20") >= x) for x in sorted({k["liquidity"] for k in configs})]
+    flags += [is_true(regime_holds(ma)) for ma in REGIMES]
+    alike = sum((F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(flags)), F.lit(0))
+    step = F.floor(F.col("effective_fa") / (4e-6 / least))  # two steps apart: scores differ by more than 4e-6
+    step = F.when(F.isnan("effective_fa"), F.lit(1 << 62)).otherwise(step)
+    clear = Window.partitionBy("date", "_alike").orderBy(F.col("_step").desc()).rangeBetween(Window.unboundedPreceding, -2)
+    rows = rows.withColumns({"_alike": alike, "_step": step}).withColumn("_ahead", F.count("*").over(clear))
+    return rows.filter(F.col("_ahead") < most).drop("_alike", "_step", "_ahead")
+
+
+def sweep_panel(history: DataFrame, configs: list[dict], fill: str = "px", most: int | None = None) -> DataFrame:
+    """Every bar under every configuration that would enter it; with ``most`` only those among which the ``most`` best
+    of each configuration and session are.
 
     Gates that no configuration can change come first.  A bar is scored once for each way of scoring, and only where
     that reaches the least entry score the configurations of that group are looked at, so only entering pairs go any
@@ -155,7 +189,11 @@ def sweep_panel(history: DataFrame, configs: list[dict], fill: str = "px") -> Da
     own = F.lead(fill, 1).over(by_date()), F.lead(fill, 2).over(by_date())
     rows = history.withColumns({"px1": own[0], "px2": own[1], "prev_vol": F.lag("volatility20").over(by_date()),
                                 "prev_adv": F.lag("avg_trading_value20").over(by_date())}).filter(core)
-    rows = rows.withColumn("strength", selection_strength("r3", "r6", "r12", "rs6"))
+    rows = rows.withColumn("strength", selection_strength("r3", "r6", "r12", "rs6")).select(
+        "ticker", "date", "effective_fa", "strength", "px", "px1", "px2", "prev_vol", "prev_adv", "avg_trading_value20", "volume_ratio", "r3", "r6", "r12",
+        "rs6", "ma50", "ma200", "high_close20", "bm_px", *[f"bm_ma{n}" for n in REGIMES])
+    if most is not None:
+        rows = contenders(rows, configs, most)
     rows = rows.select("*", F.explode(scoring_array(configs)).alias("g"))
     g = lambda n: c(f"g.{n}")
     passed = components(g("volume_ratio"))
@@ -163,8 +201,8 @@ def sweep_panel(history: DataFrame, configs: list[dict], fill: str = "px") -> Da
     rows = rows.withColumn("score", c("effective_fa") * g("fa_weight") + market * (1 - g("fa_weight"))).filter(c("score") >= g("least"))
 
     def enters(m):
-        regime = F.when(m["regime_ma"] == 50, c("bm_ma50")).when(m["regime_ma"] == 100, c("bm_ma100")).otherwise(c("bm_ma200"))
-        return (c("score") >= m["entry_score"]) & (c("avg_trading_value20") >= m["liquidity"]) & (c("bm_px") >= regime)
+        regime = F.when(m["regime_ma"] == 50, regime_holds(50)).when(m["regime_ma"] == 100, regime_holds(100)).otherwise(regime_holds(200))
+        return (c("score") >= m["entry_score"]) & (c("avg_trading_value20") >= m["liquidity"]) & regime
 
     rows = rows.withColumn("m", F.explode(F.filter(g("members"), enters)))
     return rows.select("m.config", "ticker", "date", "score", "strength", "px", "px1", "px2", "prev_vol", "prev_adv",
@@ -213,8 +251,9 @@ def daily_returns(picked: DataFrame, calendar: DataFrame, configs: Column) -> Da
 
 def sweep(history: DataFrame, calendar: DataFrame, configs: list[dict], fill: str = "px") -> DataFrame:
     """Daily results of every configuration."""
-    panel = sweep_panel(history, configs, fill)
-    return daily_returns(members(panel, max(c["max_positions"] for c in configs)), calendar, config_array(configs))
+    most = max(c["max_positions"] for c in configs)
+    picked = stage(members(sweep_panel(history, configs, fill, most), most), "picked")  # read twice
+    return daily_returns(picked, calendar, config_array(configs))
 
 
 def at_cost(daily: DataFrame, more: float) -> DataFrame:

@@ -148,8 +148,8 @@ def daily_of(market: Market, configs: list[dict], lag_days: int | None = None) -
 
 
 def picked_of(market: Market, configs: list[dict]) -> DataFrame:
-    panel = rs.sweep_panel(research_history(market), configs)
-    return rs.members(panel, max(c["max_positions"] for c in configs))
+    most = max(c["max_positions"] for c in configs)
+    return rs.members(rs.sweep_panel(research_history(market), configs, most=most), most)
 
 
 @query("cross_config_panel", "SELECT config, date, count(*) AS entries, round(max(score) + 1e-9, 6) AS best FROM sw_panel GROUP BY config, date")
