@@ -10,6 +10,7 @@ spread over many tasks.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,6 +105,7 @@ def entry_dates(trades: DataFrame, chunk: int = CHUNK) -> DataFrame:
 ORDER = ["id", "account", "side", "ticker", "quantity", "price", "market_date"]
 REPLAYED = ", gross double, fee double, cash_after double, status string"
 STATE = "account {0}, slice long, cash double, held map<string,bigint>"
+ROUNDS = 2  # of guessed starts
 NEAR = 1e-6  # a cash bound nearer than this, relative, is not trusted to rounding
 
 
@@ -153,16 +155,23 @@ def _passed(orders: pd.DataFrame, walk: Walk) -> pd.DataFrame:
 
 
 def _walk_in_order(orders: DataFrame, initial_cash: float, fee_rate: float, tolerance: float, out: str) -> DataFrame:
-    """Accounts one after the other along sorted batches; a task keeps one account's cash and holdings."""
+    """Accounts one after the other along sorted batches; a task keeps one account's cash and holdings.
+
+    Orders may carry what their account starts with, as ``cash`` and ``held``.
+    """
+    placed = "cash" in orders.columns
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         account, state = None, None
         for batch in batches:
             result = []
-            for row in batch.itertuples(index=False):
-                if state is None or row.account != account:
-                    account, state = row.account, Walk(initial_cash, {}, fee_rate, tolerance)
-                result.append(state.pass_order(row.side, row.ticker, row.quantity, row.price))
-            yield pd.concat([batch.reset_index(drop=True),
+            starts = zip(batch["cash"], batch["held"]) if placed else itertools.repeat((initial_cash, {}))
+            orders_of = batch[["account", "side", "ticker", "quantity", "price"]].itertuples(index=False, name=None)
+            for (own, *order), (cash, held) in zip(orders_of, starts):
+                if state is None or own != account:
+                    account, state = own, Walk(cash, dict(held), fee_rate, tolerance)
+                result.append(state.pass_order(*order))
+            yield pd.concat([batch[ORDER].reset_index(drop=True),
                              pd.DataFrame(result, columns=["gross", "fee", "cash_after", "status"])], axis=1)
 
     return orders.repartition("account").sortWithinPartitions("account", "id").mapInPandas(walk, out)
@@ -186,7 +195,9 @@ def _replay_slices(orders: DataFrame, initial_cash: float, fee_rate: float, tole
     A round walks the slices whose guess was off.  Then an account's slices, few, are gone through in order: what a
     slice does is known for every start within its bounds, so starts are exact up to the first slice whose bounds do
     not hold, and predicted after it.  That slice has its exact start in the next round, so rounds end; where
-    decisions do not hang on a narrow margin they are few.  At last every slice is walked from its exact start.
+    decisions do not hang on a narrow margin they are few.  An account at its cash limit would need a round per slice,
+    each over all that is left; so after ``ROUNDS`` of them what is left of an account, from its first slice that is
+    not proven, is walked in order from its exact start.  At last the proven slices are walked from theirs.
     """
     kind = orders.schema["account"].dataType.simpleString()
     state = STATE.format(kind)
@@ -224,10 +235,10 @@ def _replay_slices(orders: DataFrame, initial_cash: float, fee_rate: float, tole
     walked = lambda starts, step, schema: orders.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(step, schema)
     guess = stage(orders.select(*keys).distinct().select(*keys, F.lit(float(initial_cash)).alias("cash"), F.expr("cast(map() as map<string,bigint>)").alias("held")), "guesses")
     known = stage(walked(guess, summary, result), "slices")
-    while True:
+    for walked_again in range(ROUNDS + 1):
         starts = stage(known.groupBy("account").applyInPandas(chained, state + ", off boolean"), "starts")
         wrong = starts.filter("off").drop("off")
-        if wrong.isEmpty():
+        if walked_again == ROUNDS or wrong.isEmpty():
             break
         needed = orders.join(wrong.select(*keys), keys, "left_semi")
         again = needed.groupBy(*keys).cogroup(wrong.groupBy(*keys)).applyInPandas(summary, result)
@@ -237,7 +248,15 @@ def _replay_slices(orders: DataFrame, initial_cash: float, fee_rate: float, tole
         walk = Walk(float(start["cash"].iloc[0]), dict(start["held"].iloc[0]), fee_rate, tolerance)
         return _passed(rows, walk).drop(columns="slice")
 
-    return walked(starts.drop("off"), final, out)
+    first = wrong.groupBy("account").agg(F.min_by(F.struct("slice", "cash", "held"), "slice").alias("_s")).select(
+        "account", F.col("_s.slice").alias("_from"), F.col("_s.cash").alias("cash"), F.col("_s.held").alias("held"))
+    first = stage(first, "first")
+    if first.isEmpty():
+        return walked(starts.drop("off"), final, out)
+    proven = starts.drop("off").join(first.select("account", "_from"), "account", "left").filter("_from IS NULL OR slice < _from").drop("_from")
+    rest = orders.join(first, "account").filter(F.col("slice") >= F.col("_from"))
+    done = orders.join(proven.select(*keys), keys, "left_semi").groupBy(*keys).cogroup(proven.groupBy(*keys)).applyInPandas(final, out)
+    return done.unionByName(_walk_in_order(rest.select(*ORDER, "cash", "held"), initial_cash, fee_rate, tolerance, out))
 
 
 def replay(orders: DataFrame, initial_cash: float, fee_rate: float = FEE_RATE, tolerance: float = 0.01, chunk: int = CHUNK) -> DataFrame:

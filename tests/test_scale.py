@@ -6,8 +6,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from tapeframe.operators import research as rs
+from tapeframe.operators import ledger as lg, research as rs, textmatch as tm, windows as w
 from tapeframe.params import ON_FIXTURES
+from tapeframe.streaming import jobs
 
 
 def _history(spark, tickers):
@@ -33,3 +34,52 @@ def test_contenders_hold_every_member_and_stay_bounded(spark):
     session = F.countDistinct("ticker").alias("n")
     left, whole = (rs.sweep_panel(history, configs, **most).groupBy("date").agg(session).agg(F.max("n")).first()[0] for most in ({"most": 4}, {}))
     assert left < whole / 2
+
+
+def test_longer_frames_are_those_of_a_pass_over_all_their_rows(spark):
+    rng = random.Random(7)
+    rows = [(t, dt.date(2023, 1, 1) + dt.timedelta(days=i), rng.choice([1.0, 2.5, 10.0, rng.uniform(1, 9)]) if t == "A" or rng.random() < 0.99 else None)
+            for t in "AB" for i in range(450)]
+    bars = w.with_running_count(spark.createDataFrame(rows, "ticker string, date date, px double"), "px")
+    out = w.with_blocks(bars, "px").select(
+        *[F.abs(F.when(w.all_present("px", n), F.col(f"_n_sum{n}") / n) - w.rolling(F.avg, "px", n)).alias(f"ma{n}") for n in (20, 50, 100, 200)],
+        *[F.abs(F.when(w.all_present("px", n, 1), F.col(f"_n_max{n}")) - w.rolling(F.max, "px", n, 1)).alias(f"high{n}") for n in (20, 60)],
+        *[w.rolling(F.avg, "px", n).alias(f"whole{n}") for n in (20, 200)]).collect()
+    for name in ("ma20", "ma50", "ma100", "ma200", "high20", "high60"):
+        off = [r[name] for r in out if r[name] is not None]
+        assert off and max(off) < 1e-12
+    assert [r.ma200 is None for r in out] == [r.whole200 is None for r in out]
+
+
+def test_an_account_at_its_cash_limit_needs_few_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, i % 2, rng.choice(["BUY", "BUY", "SELL"]), f"S{rng.randrange(3)}", rng.randrange(1, 9), round(rng.uniform(5, 90), 2), dt.date(2024, 1, 2)) for i in range(3000)]
+    orders = spark.createDataFrame(rows, "id long, account long, side string, ticker string, quantity long, price double, market_date date")
+    rounds, kept = [], lg.stage
+    monkeypatch.setattr(lg, "stage", lambda frame, name: rounds.append(name) or kept(frame, name))
+    decided = lambda chunk: sorted((r.id, r.account, r.status, round(r.cash_after, 4)) for r in lg.replay(orders, 2000.0, chunk=chunk).collect())
+    assert decided(60) == decided(10_000)
+    assert len({r[2] for r in decided(10_000)}) == 3 and rounds.count("slices") <= lg.ROUNDS + 1
+
+
+def test_the_log_of_revisions_is_written_by_many_tasks(spark):
+    schema = "ticker string, date date, open double, high double, low double, close double, volume double, source string, row_checksum string, source_checksum string"
+    bars = lambda mark: spark.createDataFrame(
+        [(f"S{n}", dt.date(2024, 1 + n % 3, 2), 1.0, 1.0, 1.0, 1.0, 1.0, "DNSE", f"{mark}{n}", f"{mark}{n}") for n in range(200)], schema)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = jobs.upsert_lineage(jobs.feed_of([bars("a"), bars("b")], "bar_feed"), "2024-02-01T00:00:00", "bars")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert table.revisions().count() == 200 and len(table.revisions().inputFiles()) > 1
+    assert table.rows().count() == 200 and {r.data_version for r in table.rows().collect()} == {2}
+
+
+def test_documents_are_not_the_side_that_is_broadcast(spark):
+    docs = spark.createDataFrame([(i, "Alpha bravo news", "charlie delta " * 3) for i in range(50)], "doc_id long, title string, content string")
+    names = spark.createDataFrame([("AAA", "alpha bravo"), ("DELTA", "unknown thing")], "ticker string, company_name string")
+    matched = tm.company_match(docs, names)
+    assert {(r.doc_id, r.ticker) for r in matched.collect()} == {(i, t) for i in range(50) for t in ("AAA", "DELTA")}
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
