@@ -27,8 +27,9 @@ def ta_history(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = calendar_returns(out.join(benchmark_panel(benchmark, bars), "date", "left"))
     out = out.withColumn("_n_r", safe_divide(F.col("px"), F.lag("px").over(w.by_date())) - 1)
     out = w.with_running_count(out, "px", "volume", "trading_value", "_n_r")
-    features = {f"ma{n}": w.rolling(F.avg, "px", n) for n in (20, 50, 100, 200)}
-    features |= {f"high_close{n}": w.rolling(F.max, "px", n, 1) for n in (20, 60)}
+    out = w.with_blocks(out, "px")
+    features = {f"ma{n}": F.when(w.all_present("px", n), F.col(f"_n_sum{n}") / n) for n in (20, 50, 100, 200)}
+    features |= {f"high_close{n}": F.when(w.all_present("px", n, 1), F.col(f"_n_max{n}")) for n in (20, 60)}
     features["volatility20"] = w.rolling(F.stddev_pop, "_n_r", 20)
     features["_n_avg_volume"] = w.rolling(F.avg, "volume", 20, 1)
     features["avg_trading_value20"] = w.rolling(F.avg, "trading_value", 20, 1)

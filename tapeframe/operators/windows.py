@@ -10,6 +10,8 @@ read from a running count and its lag, which costs O(1) per row.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,21 @@ def rolling(aggregate, column: str, n: int, upto: int = 0) -> Column:
     return F.when(all_present(column, n, upto), aggregate(column).over(back(n, upto)))
 
 
+def with_blocks(frame: DataFrame, column: str) -> DataFrame:
+    """Sums of the last 20, 50, 100 and 200 values and the highest of the 20 and 60 before the current one.
+
+    Longer frames are put together from shorter ones that ended earlier, so a row costs frames of 10 values and some
+    lags instead of a pass over 200.  Values are added only, never taken off again.
+    """
+    before = lambda name, *steps: [F.col(name), *[F.lag(name, k).over(by_date()) for k in steps]]
+    total = lambda parts: functools.reduce(lambda a, b: a + b, parts)
+    out = frame.withColumns({"_n_sum10": F.sum(column).over(back(10)), "_n_max10": F.max(column).over(back(10, 1))})
+    out = out.withColumns({"_n_sum20": total(before("_n_sum10", 10)), "_n_sum50": total(before("_n_sum10", 10, 20, 30, 40)),
+                           "_n_max20": F.greatest(*before("_n_max10", 10)), "_n_max60": F.greatest(*before("_n_max10", 10, 20, 30, 40, 50))})
+    out = out.withColumn("_n_sum100", total(before("_n_sum50", 50)))
+    return out.withColumn("_n_sum200", total(before("_n_sum100", 100)))
+
+
 def drop_helpers(frame: DataFrame) -> DataFrame:
     return frame.drop(*[c for c in frame.columns if c.startswith("_n_")])
 
