@@ -357,10 +357,10 @@ class LineageTable:
         kept = known.join(gone, px.KEY, "left_anti")
         merged = px.upsert(kept, px.apply_lineage(given, known, fetched_at)).select(*self.schema.fieldNames())
         path = f"{self.root}/table/epoch={epoch}"
-        merged.withColumn("month", month_of("date")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(path, compression="zstd")
+        merged.withColumn("month", month_of("date")).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path, compression="zstd")
         changes = px.revisions(known, given, f"epoch-{epoch}", "stream").unionByName(
             px.revisions(known.join(gone, px.KEY, "left_semi"), self.empty(), f"epoch-{epoch}", "stream", include_removed=True))
-        changes.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/revisions/{epoch}")
+        changes.write.mode("overwrite").parquet(f"{self.root}/revisions/{epoch}", compression="zstd")
         months = {m: e for m, e in base["months"].items() if m not in touched} | {m: epoch for m in touched if exists(self.spark, f"{path}/month={m}")}
         log = self.folded([*base["log"], str(epoch)], epoch)
         before = {"epoch": base["epoch"], "months": base["months"], "log": base["log"]}
@@ -373,7 +373,7 @@ class LineageTable:
         if len(parts) < self.LOG_PARTS:
             return parts
         whole = self.spark.read.schema(self.log_schema).parquet(*[f"{self.root}/revisions/{p}" for p in parts])
-        whole.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/revisions/upto-{epoch}")
+        whole.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/revisions/upto-{epoch}", compression="zstd")
         return [f"upto-{epoch}"]
 
     def vacuum(self, oldest: dict | None, months: dict, log: list[str], before: dict) -> None:
