@@ -112,7 +112,8 @@ def company_match(docs: DataFrame, companies: DataFrame) -> DataFrame:
     common = words_of.join(bags.select(F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word", "left")
     rarity = Window.partitionBy("ticker", "company_name").orderBy(F.coalesce("n", F.lit(0)), "word")
     keyed = common.withColumn("rn", F.row_number().over(rarity)).filter(F.col("rn") <= F.size("own") - F.col("needed") + 1)
-    tried = bags.select("doc_id", "bag", F.explode("bag").alias("word")).join(keyed.select("word", "ticker", "own", "needed"), "word")
+    keyed = stage(keyed.select("word", "ticker", "own", "needed"), "keyed")  # of known size, so the bags of all documents are never the side that is broadcast
+    tried = bags.select("doc_id", "bag", F.explode("bag").alias("word")).hint("shuffle_merge").join(keyed, "word")
     by_word = tried.filter(F.size(F.array_intersect("bag", "own")) >= F.col("needed")).select("doc_id", "ticker")
     codes = names.filter("ticker <> ''").select("ticker", F.lower("ticker").alias("code")).distinct()
     by_code = known_tokens(codes, texts, code_tokens(F.col("body")), "code").select("doc_id", F.explode("bag").alias("code")).join(codes, "code").select("doc_id", "ticker")
