@@ -16,7 +16,8 @@ def write_ticker_files(rows: DataFrame, name: str, fmt: str = "csv") -> str:
     """One folder per ticker, as landing jobs leave them."""
     path = new_path(rows.sparkSession, name)
     out = rows.withColumn("folder", F.col("ticker")).repartition("folder")
-    writer = out.drop("ticker").write.partitionBy("folder")
+    # Tasks move their own files: the folder is new and nobody reads it yet, and the driver would move one folder after the other.
+    writer = out.drop("ticker").write.partitionBy("folder").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     (writer.csv(path, header=True) if fmt == "csv" else writer.json(path))
     return path
 
