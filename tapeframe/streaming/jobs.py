@@ -183,16 +183,24 @@ def run_live_marks(feed: Feed, root: str, table: str, name: str, before: Callabl
 QUOTA_SCHEMA = "event_id long, subject long, at_s long, allowed boolean, remaining long, retry_after long"
 
 
+# Waiting events up to which a subject keeps them in one value.
+FEW_EVENTS = 1_000
+
+
 class Quota(StatefulProcessor):
     """Allow or deny against a window that starts at a subject's first event.
 
-    Events wait in state, in the chunks they came in, under the span of time they fall into; spans are as long as the
-    window.  A timer for the end of a span fires when the watermark has passed it, in order of time, and only then are
-    its events decided.  A span meets at most two windows, one that is running and one that starts in it, and only the
-    first ``limit`` events of a window are allowed; so the span is read chunk by chunk for the earliest events of both,
-    and once more to give the decisions out.  Memory is one chunk, whatever a subject sends.
+    Events wait in state and are decided in spans of time as long as the window, each when the watermark has passed its
+    end.  A subject with few waiting events keeps them in one value beside its running window, with a timer for the
+    first span that waits: when it fires, every span the watermark has passed is decided at once.  So such a subject
+    costs a few state calls a trigger, however many spans its events fall into.
+
+    The events of a subject with more of them wait in the chunks they came in, under their span, each span with a timer
+    of its own.  A span meets at most two windows, one that is running and one that starts in it, and only the first
+    ``limit`` events of a window are allowed; so the span is read chunk by chunk for the earliest events of both, and
+    once more to give the decisions out.  Memory is one chunk, whatever a subject sends.
 
-    A second timer ends a window, so a subject that falls silent leaves no state.  Events behind the watermark are
+    A last timer ends a window, so a subject that falls silent leaves no state.  Events behind the watermark are
     dropped before they come here.
     """
 
@@ -201,34 +209,95 @@ class Quota(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.running = handle.getValueState("running", "started long, used long")
+        self.running = handle.getValueState("running", "started long, used long, spans long, times array<long>, ids array<long>")
         self.sizes = handle.getMapState("sizes", "span long", "chunks long")
         self.chunks = handle.getMapState("chunks", "span long, number long", "times array<long>, ids array<long>")
 
+    def held(self) -> tuple[int | None, int, int, np.ndarray, np.ndarray]:
+        """The running window, the number of spans that wait in chunks, and the few events that wait beside it."""
+        started, used, spans, times, ids = self.running.get() or (None, 0, 0, [], [])
+        return started, used, spans, np.array(times, dtype=np.int64), np.array(ids, dtype=np.int64)
+
+    def hold(self, started: int | None, used: int, spans: int, times: np.ndarray, ids: np.ndarray) -> None:
+        self.running.update((started, used, spans, times.tolist(), ids.tolist()))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        started, used, spans, times, ids = self.held()
         for batch in rows:
-            times, ids = batch["at_s"].to_numpy(np.int64), batch["event_id"].to_numpy(np.int64)
-            spans = times // self.window
-            for span in np.unique(spans).tolist():
-                own = spans == span
-                known = self.sizes.getValue((span,)) if self.sizes.containsKey((span,)) else None
-                number = known[0] if known else 0
-                if not number:
-                    self.handle.registerTimer((span + 1) * self.window * 1000)
-                self.chunks.updateValue((span, number), (times[own].tolist(), ids[own].tolist()))
-                self.sizes.updateValue((span,), (number + 1,))
+            times, ids = np.append(times, batch["at_s"].to_numpy(np.int64)), np.append(ids, batch["event_id"].to_numpy(np.int64))
+            if spans or len(times) > FEW_EVENTS:
+                spans += self.file(times, ids)
+                times, ids = times[:0], ids[:0]
+        if len(times):
+            self.wake(times)
+        self.hold(started, used, spans, times, ids)
         return iter([])
 
+    def wake(self, times: np.ndarray) -> None:
+        self.handle.registerTimer((int(times.min()) // self.window + 1) * self.window * 1000)
+
+    def file(self, times: np.ndarray, ids: np.ndarray) -> int:
+        """Put events into chunks of their spans; returns how many spans had none before."""
+        fresh, spans = 0, times // self.window
+        for span in np.unique(spans).tolist():
+            own = spans == span
+            known = self.sizes.getValue((span,)) if self.sizes.containsKey((span,)) else None
+            number = known[0] if known else 0
+            if not number:
+                self.handle.registerTimer((span + 1) * self.window * 1000)
+                fresh += 1
+            self.chunks.updateValue((span, number), (times[own].tolist(), ids[own].tolist()))
+            self.sizes.updateValue((span,), (number + 1,))
+        return fresh
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        if end % self.window == 0 and self.sizes.containsKey((end // self.window - 1,)):
-            yield from self.decided(key, end // self.window - 1, timerValues.getCurrentWatermarkInMs() // 1000)
-        elif self.running.exists() and self.over(self.running.get()[0] + self.window, end):
+        end, now = expiredTimerInfo.getExpiryTimeInMs() // 1000, timerValues.getCurrentWatermarkInMs() // 1000
+        started, used, spans, times, ids = self.held()
+        if spans:
+            if end % self.window == 0 and self.sizes.containsKey((end // self.window - 1,)):
+                yield from self.decided(key, end // self.window - 1, now)
+        elif len(times):
+            due = times < now // self.window * self.window
+            if due.any():
+                started, used, out = self.walked(key, started, used, times[due], ids[due])
+                self.settle(started, used, times[~due], ids[~due], now)
+                yield out
+        elif started is not None and started + self.window <= end:
             self.running.clear()
 
-    def over(self, end: int, now: int) -> bool:
-        """Whether no event of a window that ends then can still come or waits."""
-        return end <= now and not self.sizes.containsKey(((end - 1) // self.window,))
+    def walked(self, key, started: int | None, used: int, times: np.ndarray, ids: np.ndarray) -> tuple[int, int, pd.DataFrame]:
+        """Decisions of events that wait in one value, window after window; equal events are decided alike."""
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
+        ranks, starts, at = np.full(len(times), -1), np.empty(len(times), dtype=np.int64), 0
+        while at < len(times):
+            if started is None or times[at] >= started + self.window:
+                started, used = int(times[at]), 0
+            end = at + int(np.searchsorted(times[at:], started + self.window))
+            starts[at:end] = started
+            kept = list(zip(times[at:at + self.limit - used].tolist(), ids[at:at + self.limit - used].tolist()))[:end - at]
+            rank = {event: used + i for i, event in enumerate(kept)}
+            for i in range(at, end):
+                ranks[i] = rank.get((times[i], ids[i]), -1)
+                if i - at >= len(kept) and ranks[i] < 0:
+                    break
+            used, at = used + len(kept), end
+        return started, used, self.frame(key, times, ids, ranks, starts)
+
+    def settle(self, started: int, used: int, times: np.ndarray, ids: np.ndarray, now: int) -> None:
+        """Keep the window that runs and the events that still wait, or nothing if neither is there."""
+        if len(times):
+            self.wake(times)
+        elif started + self.window <= now:
+            return self.running.clear()
+        else:
+            self.handle.registerTimer((started + self.window) * 1000)
+        self.hold(started, used, 0, times, ids)
+
+    def frame(self, key, times: np.ndarray, ids: np.ndarray, ranks: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+        allowed = ranks >= 0
+        return pd.DataFrame({"event_id": ids, "subject": key[0], "at_s": times, "allowed": allowed, "remaining": np.where(allowed, self.limit - 1 - ranks, 0),
+                             "retry_after": np.where(allowed, 0, np.maximum(1, self.window - (times - starts)))})
 
     def read(self, span: int, number: int) -> tuple[np.ndarray, np.ndarray]:
         times, ids = self.chunks.getValue((span, number))
@@ -236,7 +305,7 @@ class Quota(StatefulProcessor):
 
     def decided(self, key, span: int, now: int) -> Iterator[pd.DataFrame]:
         count = self.sizes.getValue((span,))[0]
-        started, used = self.running.get() if self.running.exists() else (None, 0)
+        started, used, spans, none, _ = self.held()
         border = -(1 << 62) if started is None else started + self.window
         old: list[tuple[int, int]] = []
         new: list[tuple[int, int]] = []
@@ -250,18 +319,13 @@ class Quota(StatefulProcessor):
             times, ids = self.read(span, number)
             self.chunks.removeKey((span, number))
             ranks = np.array([rank.get(event, -1) for event in zip(times.tolist(), ids.tolist())], dtype=np.int64)
-            starts = np.where(times >= border, 0 if begin is None else begin, 0 if started is None else started)
-            allowed = ranks >= 0
-            yield pd.DataFrame({"event_id": ids, "subject": key[0], "at_s": times, "allowed": allowed, "remaining": np.where(allowed, self.limit - 1 - ranks, 0),
-                                "retry_after": np.where(allowed, 0, np.maximum(1, self.window - (times - starts)))})
+            yield self.frame(key, times, ids, ranks, np.where(times >= border, 0 if begin is None else begin, 0 if started is None else started))
         self.sizes.removeKey((span,))
-        end = None if begin is None else begin + self.window  # the window before ended in this span
-        if end is None or self.over(end, now):
-            self.running.clear()
+        started, used = (started, used + len(old)) if begin is None else (begin, len(new))
+        if spans == 1:
+            self.settle(started, used, none, none, now)
         else:
-            self.running.update((begin, len(new)))
-            if end > now:
-                self.handle.registerTimer(end * 1000)
+            self.hold(started, used, spans - 1, none, none)
 
     def close(self) -> None:
         pass

@@ -179,3 +179,45 @@ def test_changed_positions_mark_later_quotes(spark):
     feed = jobs.feed_of([quote(1), quote(2), quote(3)], "quotes")
     got = jobs.run_live_marks(feed, root, "positions", "marks", before=lambda number: held(7) if number == 1 else None)
     assert {(r.tick_id, r.marked_value) for r in got.collect()} == {(1, 10.0), (2, 70.0), (3, 70.0)}
+
+
+def test_a_subject_with_few_events_costs_few_state_calls():
+    """Spread over a hundred windows, events of a subject wait in one value: a trigger costs a handful of calls, not some per window."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Timer:
+        def __init__(self, at, now):
+            self.getExpiryTimeInMs, self.getCurrentWatermarkInMs = lambda: at * 1000, lambda: now * 1000
+
+    quota = jobs.Quota(2, 60)
+    quota.handle, quota.running, quota.sizes, quota.chunks = Handle(), Value(), None, None
+    rng = np.random.default_rng(1)
+    times, ids = rng.integers(1_000, 7_000, 400), np.arange(400)
+    got = []
+    for part in (times < 4_000, times >= 4_000):
+        list(quota.handleInputRows((7,), iter([pd.DataFrame({"event_id": ids[part], "at_s": times[part]})]), None))
+        now = 3_990 if part[times < 4_000].all() else 10_000
+        first = min(at for at in calls if isinstance(at, int)) // 1000
+        got += [out for out in quota.handleExpiredTimer((7,), Timer(first, now), Timer(first, now))]
+    rows = pd.concat(got)
+    assert {r.event_id: (r.allowed, r.remaining, r.retry_after) for r in rows.itertuples()} == decisions(zip([7] * 400, times.tolist(), ids.tolist()), 2, 60)
+    assert len(got) == 2 and len(calls) < 20 and quota.running.held is None
