@@ -122,7 +122,7 @@ def round_to_int(value: Column) -> Column:
 def date_prefix(text: Column) -> Column:
     """Date from the first ten characters, so dates and timestamps may be mixed."""
     day = F.substring(F.trim(text), 1, 10)
-    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date"))
+    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date"))
 
 
 def parse_percent(text: Column) -> Column:
@@ -192,15 +192,25 @@ def source_priority(source: Column) -> Column:
     return first_match([(low.startswith(prefix.lower()), rank) for prefix, rank in SOURCE_PRIORITY], 99).cast("long")
 
 
-def number_token(value: Column) -> Column:
-    """Eight decimals with trailing zeros removed; missing is empty."""
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", value), "0+$", ""), r"\.$", "")
-    return F.when(finite(value).isNull(), "").otherwise(text)
+def number_token(value: Column, text: Column | None = None) -> Column:
+    """Eight decimals with trailing zeros removed; missing is empty.  ``text`` is the value as Spark writes it.
+
+    A plain number of at most eight decimals stays as it is written, and a large whole one is written as a whole number:
+    that is the same text, and it spares nearly all values the formatter and its patterns.
+    """
+    text = value.cast("string") if text is None else text
+    plain = ~F.contains(text, F.lit("E")) & (F.length(text) - F.instr(text, ".") <= 8)  # no exponent: 0, or 0.001 to below 10 million
+    whole = (F.abs(value) >= 1e7) & (F.abs(value) < 1e15) & (value == F.floor(value))
+    formatted = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", value), "0+$", ""), r"\.$", "")
+    return (F.when(finite(value).isNull(), "").when(plain, F.when(text.endswith(".0"), F.substring_index(text, ".", 1)).otherwise(text))
+            .when(whole, value.cast("long").cast("string")).otherwise(formatted))
 
 
 def row_checksum(ticker: Column, date: Column, numbers: list[Column]) -> Column:
+    """The tokens are one expression over an array: written out for every number they make a method that the JVM does not compile."""
     parts = [F.coalesce(normalize_ticker(ticker), F.lit("")), F.coalesce(date.cast("string"), F.lit(""))]
-    return F.sha2(F.concat_ws("|", *parts, *[number_token(n) for n in numbers]), 256)
+    values = F.array(*[n.cast("double") for n in numbers])
+    return F.sha2(F.concat_ws("|", *parts, F.zip_with(values, values.cast("array<string>"), number_token)), 256)
 
 
 def financial_unit(item_code: Column) -> Column:

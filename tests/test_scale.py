@@ -3,10 +3,12 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from tapeframe.operators import ledger as lg, research as rs, textmatch as tm, windows as w
+from tapeframe.functions.cleaning import number_token
+from tapeframe.operators import clean, ledger as lg, research as rs, textmatch as tm, windows as w
 from tapeframe.params import ON_FIXTURES
 from tapeframe.streaming import jobs
 
@@ -83,3 +85,26 @@ def test_documents_are_not_the_side_that_is_broadcast(spark):
     assert {(r.doc_id, r.ticker) for r in matched.collect()} == {(i, t) for i in range(50) for t in ("AAA", "DELTA")}
     plan = matched._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan
+
+
+def test_cleaning_of_prices_is_code_the_jvm_compiles(spark):
+    """The formatter stands there once, not for every number; methods of more than 8 000 bytes are interpreted for good."""
+    landed = spark.createDataFrame([(" s1 ", "2024-01-05 00:00:00", 1.5, 2.0, 1.0, 1.25, 10.0, "DNSE")],
+                                   "ticker string, date string, open double, high double, low double, close double, volume double, source string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = clean.prices(landed)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) <= 8_000, sizes
+    simple = clean.prices(landed)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert simple.count("format_string") == 1
+
+
+def test_number_tokens_are_the_eight_decimals(spark):
+    values = [0.0, -0.0, 1.5, 100.0, -2.25, 0.001, 0.0005, 1e-9, 5e-9, 1.005, 0.1 + 0.2, 1e7, 1e7 + 0.25, 9999999.99999999, 123456789.0, 1e15, 1e20, float("nan"), float("inf"), None]
+    formatted = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", "x"), "0+$", ""), r"\.$", "")
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", number_token(F.col("x")).alias("token"), formatted.alias("want")).collect()
+    assert [r.token for r in rows] == ["" if r.x is None or r.x != r.x or abs(r.x) == float("inf") else r.want for r in rows]
