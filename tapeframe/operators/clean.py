@@ -73,7 +73,12 @@ def with_checksums(frame: DataFrame) -> DataFrame:
 
 def prices(landed: DataFrame) -> DataFrame:
     """One typed row per ticker and date with validity flags, checksums and units."""
-    out = with_checksums(best_price_rows(typed_prices(landed)))
+    return checked_prices(best_price_rows(typed_prices(landed)))
+
+
+def checked_prices(best: DataFrame) -> DataFrame:
+    """Checksums, flags and units of chosen rows; each row by itself."""
+    out = with_checksums(best)
     out = out.withColumns({"ohlc_valid": c.ohlc_valid(), "volume_valid": c.volume_valid()})
     return out.withColumns({
         "analysis_ready": F.col("ticker").isNotNull() & F.col("date").isNotNull() & F.col("ohlc_valid")

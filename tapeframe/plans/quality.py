@@ -37,7 +37,8 @@ class Serving:
 
     def prices(self):
         """Bars that are ready for analysis."""
-        return self.store.table("prices", lambda: cleaned(self.market).filter("analysis_ready"), "date")
+        return self.store.table("prices", lambda: clean.best_price_rows(clean.typed_prices(L.prices(self.market.bars))), "date",
+                                finish=lambda rows: clean.checked_prices(rows).filter("analysis_ready"))
 
     def financials(self):
         return self.store.table("financials", lambda: annual(self.market).filter("row_valid"), "period_end")
@@ -465,7 +466,8 @@ WHERE p.ticker IN ('S1', 'S2', 'S3', 'S5') AND p.analysis_ready AND p.date = (SE
 def q_quotes(spark, folder):
     serving = Serving(spark, folder)
     asked = [t.strip().upper() for t in _ASKED]
-    return sv.quotes(serving.prices().newest(asked, 1), asked).join(board(serving.market).select("ticker", "price_vnd", "source"), "ticker", "left")
+    live = board(serving.market).filter(F.col("ticker").isin(asked)).select("ticker", "price_vnd", "source")
+    return sv.quotes(serving.prices().newest(asked, 1), asked).join(live, "ticker", "left")
 
 
 @query("q_snapshot", "SELECT ticker, as_of_utc, round(pe + 1e-9, 6) AS pe, market_cap, eps_ttm FROM fx_snapshot WHERE ticker = 'S3'")

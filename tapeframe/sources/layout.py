@@ -9,6 +9,7 @@ replaced pointer; a reader that has started keeps its version.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,14 +21,20 @@ from tapeframe.sources.files import read_pointer, replace_pointer
 FILE_ROWS = 2_000_000
 
 
-def publish_clustered(rows: DataFrame, root: str, time: str, key: str = "ticker", file_rows: int = FILE_ROWS) -> None:
-    """Write a version of the table with its index and make it the current one."""
+def publish_clustered(rows: DataFrame, root: str, time: str, key: str = "ticker", file_rows: int = FILE_ROWS,
+                      finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Write a version of the table with its index and make it the current one.
+
+    ``finish`` adds what follows from a row by itself; it works on rows that are in their place, so only what it starts
+    from is staged and moved.
+    """
     spark, version = rows.sparkSession, f"{root}/{uuid.uuid4().hex}"
     order = [F.col(key), F.col(time)]
     rows = stage(rows, "unsorted")  # the ranges are sampled first, which would run the plan behind rows twice
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = ranged if finish is None else finish(ranged)
     ranged.write.option("maxRecordsPerFile", file_rows).parquet(f"{version}/rows", compression="zstd")
-    written = spark.read.schema(rows.schema).parquet(f"{version}/rows")
+    written = spark.read.schema(ranged.schema).parquet(f"{version}/rows")
     index = written.groupBy(F.col("_metadata.file_path").alias("file"), F.col(key).alias("key")).agg(
         F.count("*").alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"))
     index.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{version}/index", compression="zstd")

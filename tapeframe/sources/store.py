@@ -29,8 +29,8 @@ class Store:
         self.spark = spark
         self.root = f"{root or shared_root(spark) + '/store'}/{source_state(spark, [f'{folder}/{t}.parquet' for t in tables])}"
 
-    def table(self, name: str, build: Callable[[], DataFrame], time: str) -> Clustered:
+    def table(self, name: str, build: Callable[[], DataFrame], time: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> Clustered:
         path = f"{self.root}/{name}"
         if not exists(self.spark, f"{path}/current"):
-            publish_clustered(build(), path, time)
+            publish_clustered(build(), path, time, finish=finish)
         return Clustered(self.spark, path)

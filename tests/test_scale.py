@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeframe.functions.cleaning import number_token
 from tapeframe.operators import clean, ledger as lg, research as rs, textmatch as tm, windows as w
 from tapeframe.params import ON_FIXTURES
+from tapeframe.runtime import new_path, stage
 from tapeframe.streaming import jobs
 
 
@@ -103,6 +104,25 @@ def test_cleaning_of_prices_is_code_the_jvm_compiles(spark):
     assert simple.count("format_string") == 1
 
 
+def test_published_rows_are_finished_in_their_place(spark, monkeypatch):
+    """Checksums are neither staged nor shuffled: only chosen rows are moved, and the published table is the cleaned one."""
+    from tapeframe.plans import quality
+    from tapeframe.sources import layout
+    staged = []
+    monkeypatch.setattr(layout, "stage", lambda rows, name: staged.append(rows.columns) or stage(rows, name))
+    root = new_path(spark, "published")
+    landed = spark.createDataFrame([(f" s{n % 3} ", f"2024-01-{n + 1:02d} 00:00:00", 1.5, 2.0, 1.0 if n % 4 else 3.0, 1.25, 10.0, "DNSE") for n in range(20)],
+                                   "ticker string, date string, open double, high double, low double, close double, volume double, source string")
+    monkeypatch.setattr(quality.Market, "bars", None)
+    monkeypatch.setattr(quality.L, "prices", lambda bars: landed)
+    for name in ("lineitem", "part", "supplier", "nation", "region"):
+        spark.range(1).write.parquet(f"{root}/{name}.parquet")
+    got = quality.Serving(spark, root).prices().rows
+    want = clean.prices(landed).filter("analysis_ready")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert len(staged) == 1 and "row_checksum" not in staged[0]
+
+
 def test_number_tokens_are_the_eight_decimals(spark):
     values = [0.0, -0.0, 1.5, 100.0, -2.25, 0.001, 0.0005, 1e-9, 5e-9, 1.005, 0.1 + 0.2, 1e7, 1e7 + 0.25, 9999999.99999999, 123456789.0, 1e15, 1e20, float("nan"), float("inf"), None]
     formatted = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", "x"), "0+$", ""), r"\.$", "")
