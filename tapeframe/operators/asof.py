@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeframe.functions.numeric import safe_divide
+from tapeframe.runtime import stage
 
 
 def benchmark_panel(benchmark: DataFrame, dates: DataFrame, sizes=(50, 100, 200)) -> DataFrame:
@@ -31,15 +32,24 @@ def benchmark_panel(benchmark: DataFrame, dates: DataFrame, sizes=(50, 100, 200)
     return carried.select("date", F.coalesce("is_session", F.lit(False)).alias("is_session"), "_v.*")
 
 
+def with_index(bars: DataFrame, panel: DataFrame) -> DataFrame:
+    """Bars beside the index columns of their date, partitioned by ticker.
+
+    Bars move once, by ticker and before they get those columns; the panel is staged, so that Spark knows how short it
+    is and sends it to the bars.
+    """
+    return bars.repartition("ticker").join(stage(panel, "index_panel"), "date", "left")
+
+
 def calendar_returns(panel: DataFrame, months=(3, 6, 12)) -> DataFrame:
     """Return of each ticker since the last shared session at least k months back.
 
     ``panel`` has ticker, date, px, bm_px and is_session.  Only dates both series
     have can be a base or an end; other dates take the last shared date's result.
-    A missing or non-positive base gives no return.
+    A missing or non-positive base gives no return.  ``with_index`` leaves rows
+    partitioned by ticker; the windows below, and those of the caller, all fit that.
     """
-    # Partitioned by ticker once; the windows below, and those of the caller, all fit it.
-    out = panel.repartition("ticker").withColumn("_shared", F.coalesce(F.col("is_session"), F.lit(False)))
+    out = panel.withColumn("_shared", F.coalesce(F.col("is_session"), F.lit(False)))
 
     def base(column: str, k: int):
         return F.expr(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.functions.numeric import first_match, is_true, safe_divide
 from tapeframe.operators import windows as w
-from tapeframe.operators.asof import benchmark_panel, calendar_returns
+from tapeframe.operators.asof import benchmark_panel, calendar_returns, with_index
 from tapeframe.operators.fundamentals import effective_fa
 from tapeframe.operators.ranking import global_row_number
 from tapeframe.params import Strategy
@@ -21,10 +21,10 @@ ACTION_ORDER = ("BUY", "HOLD", "WATCH", "DATA_REVIEW", "EXIT")
 def ta_history(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every feature at every bar, from the bar's own past only.
 
-    One shuffle by date for the index columns, one by ticker for all windows.
+    One shuffle, by ticker, for all windows.
     """
     out = bars.select("ticker", "date", F.col("close").alias("px"), "volume", "trading_value")
-    out = calendar_returns(out.join(benchmark_panel(benchmark, bars), "date", "left"))
+    out = calendar_returns(with_index(out, benchmark_panel(benchmark, bars)))
     out = out.withColumn("_n_r", safe_divide(F.col("px"), F.lag("px").over(w.by_date())) - 1)
     out = w.with_running_count(out, "px", "volume", "trading_value", "_n_r")
     out = w.with_blocks(out, "px")
@@ -48,7 +48,7 @@ def ta_latest(bars: DataFrame, benchmark: DataFrame, strategy: Strategy) -> Data
     running = newest_first.rowsBetween(Window.unboundedPreceding, 0)
     panel = benchmark_panel(benchmark, bars, (strategy.regime_ma,)).select(
         "date", F.when(F.col("is_session"), F.col("bm_px")).alias("bm_px"))
-    rows = bars.select("ticker", "date", F.col("close").alias("px"), "volume", "trading_value").join(panel, "date", "left")
+    rows = with_index(bars.select("ticker", "date", F.col("close").alias("px"), "volume", "trading_value"), panel)
     rows = rows.withColumn("_npx", F.count("px").over(running))
     rows = rows.filter("_npx >= 1")
     rows = rows.withColumn("_is_end", (F.col("_npx") == 1) & F.col("px").isNotNull())

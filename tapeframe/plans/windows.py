@@ -195,7 +195,7 @@ FROM (SELECT b.ticker, b.date, b.close, m.bm_px FROM fx_bars b JOIN fx_bm m USIN
 
 def returns_panel(market: Market, bars):
     panel = asof.benchmark_panel(market.staged_benchmark, bars)
-    return asof.calendar_returns(bars.withColumn("px", F.col("close")).join(panel, "date", "left"))
+    return asof.calendar_returns(asof.with_index(bars.withColumn("px", F.col("close")), panel))
 
 
 @query("asof_calendar_return", "SELECT ticker, date, r3, r6, r12, bm_r6, r6 - bm_r6 AS rs6 FROM fx_returns")

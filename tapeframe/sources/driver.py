@@ -34,12 +34,16 @@ class Market:
 
         Open and close are the prices with the smallest and largest trade number.
         The order key is one fixed-width decimal (order, line, then price as tie
-        break), so the aggregation stays hash-based, combines before the shuffle,
-        and a ticker holding a third of the trades costs no more than any other.
+        break), so the aggregation stays hash-based.  Most sessions of a ticker hold
+        a trade or two, so combining before the shuffle would fill the map tasks with
+        groups and move buffers wider than trades: trades move as they are, by ticker
+        and session, and a ticker holding a third of them is spread over its sessions.
         """
-        trades = self.table("lineitem").filter("l_quantity > 0").select(
-            "l_suppkey",
-            F.col("l_shipdate").cast("date").alias("date"),
+        moved = self.table("lineitem").filter("l_quantity > 0").select(
+            "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), "l_orderkey", "l_linenumber",
+            "l_quantity", "l_extendedprice").repartition("l_suppkey", "date")
+        trades = moved.select(
+            "l_suppkey", "date",
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
             "l_quantity", "l_extendedprice",
             ((F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("decimal(38,14)")

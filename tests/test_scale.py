@@ -8,9 +8,10 @@ import re
 from pyspark.sql import functions as F
 
 from tapeframe.functions.cleaning import number_token
-from tapeframe.operators import clean, ledger as lg, research as rs, textmatch as tm, windows as w
+from tapeframe.operators import clean, ledger as lg, research as rs, signals as sg, textmatch as tm, windows as w
 from tapeframe.params import ON_FIXTURES
 from tapeframe.runtime import new_path, stage
+from tapeframe.sources.driver import Market
 from tapeframe.streaming import jobs
 
 
@@ -128,3 +129,45 @@ def test_number_tokens_are_the_eight_decimals(spark):
     formatted = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", "x"), "0+$", ""), r"\.$", "")
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", number_token(F.col("x")).alias("token"), formatted.alias("want")).collect()
     assert [r.token for r in rows] == ["" if r.x is None or r.x != r.x or abs(r.x) == float("inf") else r.want for r in rows]
+
+
+def _formatted(spark, build):
+    """The static plan in detail, one block a node."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return build()._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def _moved(plan, key):
+    """Columns of every shuffle by the key."""
+    return [re.sub(r"#\d+L?", "", columns).split(", ") for columns in re.findall(rf"Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\({key}#", plan)]
+
+
+def test_trades_move_as_they_are(spark):
+    root = new_path(spark, "market")
+    rows = [(o, o % 3, 1 + o % 2, float(o % 4), 10.0 * o + n, dt.datetime(2024, 1, 1 + o % 5)) for o in range(60) for n in (0, 0.5)] + [(99, None, 1, 2.0, 5.0, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp").write.parquet(
+        f"{root}/lineitem.parquet")
+    moved = _moved(_formatted(spark, lambda: Market(spark, root).bars), "l_suppkey")
+    assert [sorted(x) for x in moved] == [["date", "l_extendedprice", "l_linenumber", "l_orderkey", "l_quantity", "l_suppkey"]]
+    want = {}
+    for order, key, line, quantity, price, at in rows:
+        if quantity > 0:
+            want.setdefault((f"S{key}" if key is not None else None, at and at.date()), []).append((order * 100 + line, price / quantity, quantity))
+    got = {(r.ticker, r.date): (r.open, r.high, r.low, r.close, r.volume) for r in Market(spark, root).bars.collect()}
+    assert got == {k: (min(v)[1], max(x[1] for x in v), min(x[1] for x in v), max(v)[1], sum(x[2] for x in v)) for k, v in want.items()}
+
+
+def test_bars_move_once_and_before_they_get_index_columns(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(30)]
+    bars = spark.createDataFrame([(t, d, 5.0 + i, 10.0, 50.0) for t in ("A", "B", None) for i, d in enumerate(days)],
+                                 "ticker string, date date, close double, volume double, trading_value double")
+    index = spark.createDataFrame([(d, 100.0 + i) for i, d in enumerate(days)], "date date, close double")
+    for build in (lambda: sg.ta_history(bars, index), lambda: sg.ta_latest(bars, index, ON_FIXTURES)):
+        plan = _formatted(spark, build)
+        assert not [x for x in _moved(plan, "date") if "px" in x]  # only the calendar itself
+        assert [sorted(x) for x in _moved(plan, "ticker")] == [["date", "px", "ticker", "trading_value", "volume"]]
+        assert build().filter("ticker IS NULL").count() > 0
