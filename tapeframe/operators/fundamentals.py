@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeframe.functions.numeric import cagr, first_match, is_true, safe_divide
 from tapeframe.operators.ranking import first_per_key, grouped_median
 from tapeframe.params import Strategy
+from tapeframe.runtime import stage
 
 # Which factors make up each score group.
 GROUPS = {
@@ -227,6 +228,7 @@ def fa_panel(companies: DataFrame, annual: DataFrame, strategy: Strategy, lag_da
     carried to the later cutoffs; reports and cutoffs are never paired.
     """
     lag_days = strategy.reporting_lag_days if lag_days is None else lag_days
+    annual = stage(annual, "annual")  # read twice
     scored = scored_reports(companies, annual, strategy).select(
         "ticker", F.col("period_end").alias("cutoff"),
         F.struct("fa_score", "fa_coverage", "hard_reject_reason").alias("_s"))

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeframe.functions.numeric import is_true
+from tapeframe.functions.numeric import first_match, is_true
 from tapeframe.operators.signals import selection_strength
 from tapeframe.operators.windows import by_date
 from tapeframe.params import Strategy
@@ -146,8 +146,24 @@ def scoring_array(configs: list[dict]) -> Column:
 REGIMES = (50, 100, 200)
 
 
+FIXED = tuple(n for n in PROFILES["balanced"] if n != "volume")  # conditions without a threshold in the configurations
+
+
 def regime_holds(ma: int) -> Column:
-    return F.col("bm_px") >= F.col(f"bm_ma{ma}")
+    return is_true(F.col("bm_px") >= F.col(f"bm_ma{ma}"))
+
+
+def regime_of(config: dict) -> int:
+    return config["regime_ma"] if config["regime_ma"] in REGIMES else 200
+
+
+def thresholds(configs: list[dict], name: str) -> list[float]:
+    return sorted({k[name] for k in configs})
+
+
+def reached(column: str, steps: list[float]) -> Column:
+    """The highest of the steps that the value reaches, null below the least: compares with each step as the value does."""
+    return first_match([(F.col(column) >= x, F.lit(x)) for x in reversed(steps)])
 
 
 def contenders(rows: DataFrame, configs: list[dict], most: int) -> DataFrame:
@@ -156,17 +172,17 @@ def contenders(rows: DataFrame, configs: list[dict], most: int) -> DataFrame:
     Bars of a session that pass the same conditions at every threshold of the sweep pass the same gates and have the
     same market score, so under each configuration they are ordered by their fundamental score, then by strength and
     ticker where rounded scores are equal.  A bar goes where ``most`` bars like it are ahead by more than rounding can
-    hide.  Rows move once, by session and before they meet the configurations; what is left of a session does not
-    grow with the number of tickers.
+    hide.  Rows move once, by session and before they meet the configurations, as what ``sweep_panel`` made of them;
+    what is left of a session does not grow with the number of tickers.
     """
     least = min(k["fa_weight"] for k in configs)
     rows = rows.repartition("date")
     if least <= 0:
         return rows
-    flags = [x for ratio in sorted({k["volume_ratio"] for k in configs}) for x in [components(ratio)["volume"]]]
-    flags += [passed for name, passed in components(0.0).items() if name != "volume"]
-    flags += [is_true(F.col("avg_trading_value20") >= x) for x in sorted({k["liquidity"] for k in configs})]
-    flags += [is_true(regime_holds(ma)) for ma in REGIMES]
+    flags = [is_true(F.col("volume_ratio") >= x) for x in thresholds(configs, "volume_ratio")]
+    flags += [F.col(name) for name in FIXED]
+    flags += [is_true(F.col("avg_trading_value20") >= x) for x in thresholds(configs, "liquidity")]
+    flags += [F.col(f"regime{ma}") for ma in REGIMES]
     alike = sum((F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(flags)), F.lit(0))
     step = F.floor(F.col("effective_fa") / (4e-6 / least))  # two steps apart: scores differ by more than 4e-6
     step = F.when(F.isnan("effective_fa"), F.lit(1 << 62)).otherwise(step)
@@ -179,29 +195,34 @@ def sweep_panel(history: DataFrame, configs: list[dict], fill: str = "px", most:
     """Every bar under every configuration that would enter it; with ``most`` only those among which the ``most`` best
     of each configuration and session are.
 
-    Gates that no configuration can change come first.  A bar is scored once for each way of scoring, and only where
-    that reaches the least entry score the configurations of that group are looked at, so only entering pairs go any
-    further.  ``fill`` names the price that fills orders.
+    Gates that no configuration can change come first, and what the configurations ask of a bar is kept as conditions
+    and thresholds reached, not as the prices and averages behind them.  A bar is scored once for each way of scoring,
+    and only where that reaches the least entry score the configurations of that group are looked at, so only entering
+    pairs go any further.  ``fill`` names the price that fills orders.
     """
     c = F.col
     core = (c("r12").isNotNull() & c("ma200").isNotNull() & c("effective_fa").isNotNull() & c("fa_eligible")
-            & (c("avg_trading_value20") >= min(k["liquidity"] for k in configs)))
+            & (c("avg_trading_value20") >= min(k["liquidity"] for k in configs))
+            & functools.reduce(lambda a, b: a | b, [regime_holds(ma) for ma in sorted({regime_of(k) for k in configs})]))
     own = F.lead(fill, 1).over(by_date()), F.lead(fill, 2).over(by_date())
     rows = history.withColumns({"px1": own[0], "px2": own[1], "prev_vol": F.lag("volatility20").over(by_date()),
                                 "prev_adv": F.lag("avg_trading_value20").over(by_date())}).filter(core)
+    fixed = components(0.0)
     rows = rows.withColumn("strength", selection_strength("r3", "r6", "r12", "rs6")).select(
-        "ticker", "date", "effective_fa", "strength", "px", "px1", "px2", "prev_vol", "prev_adv", "avg_trading_value20", "volume_ratio", "r3", "r6", "r12",
-        "rs6", "ma50", "ma200", "high_close20", "bm_px", *[f"bm_ma{n}" for n in REGIMES])
+        "ticker", "date", "effective_fa", "strength", "px", "px1", "px2", "prev_vol", "prev_adv",
+        reached("avg_trading_value20", thresholds(configs, "liquidity")).alias("avg_trading_value20"),
+        reached("volume_ratio", thresholds(configs, "volume_ratio")).alias("volume_ratio"),
+        *[fixed[n].alias(n) for n in FIXED], *[regime_holds(ma).alias(f"regime{ma}") for ma in REGIMES])
     if most is not None:
         rows = contenders(rows, configs, most)
     rows = rows.select("*", F.explode(scoring_array(configs)).alias("g"))
     g = lambda n: c(f"g.{n}")
-    passed = components(g("volume_ratio"))
+    passed = {**{n: c(n) for n in FIXED}, "volume": is_true(c("volume_ratio") >= g("volume_ratio"))}
     market = sum((passed[n].cast("double") * g(n) for n in PROFILES["balanced"]), F.lit(0.0))
     rows = rows.withColumn("score", c("effective_fa") * g("fa_weight") + market * (1 - g("fa_weight"))).filter(c("score") >= g("least"))
 
     def enters(m):
-        regime = F.when(m["regime_ma"] == 50, regime_holds(50)).when(m["regime_ma"] == 100, regime_holds(100)).otherwise(regime_holds(200))
+        regime = F.when(m["regime_ma"] == 50, c("regime50")).when(m["regime_ma"] == 100, c("regime100")).otherwise(c("regime200"))
         return (c("score") >= m["entry_score"]) & (c("avg_trading_value20") >= m["liquidity"]) & regime
 
     rows = rows.withColumn("m", F.explode(F.filter(g("members"), enters)))

@@ -171,3 +171,20 @@ def test_bars_move_once_and_before_they_get_index_columns(spark):
         assert not [x for x in _moved(plan, "date") if "px" in x]  # only the calendar itself
         assert [sorted(x) for x in _moved(plan, "ticker")] == [["date", "px", "ticker", "trading_value", "volume"]]
         assert build().filter("ticker IS NULL").count() > 0
+
+
+def test_bars_move_to_their_session_as_conditions(spark):
+    configs = rs.grid(ON_FIXTURES.with_(entry_score=20.0), {"minimum_volume_ratio": (0.8, 1.2), "regime_ma": (50, 100), "minimum_trading_value": (5e4, 1e5)}, 8)
+    plan = _formatted(spark, lambda: rs.sweep_panel(_history(spark, 20), configs, most=4))
+    moved, = _moved(plan, "date")
+    assert not {"r3", "ma50", "ma200", "high_close20", "bm_px", "bm_ma50", "bm_ma200"} & set(moved) and {"momentum", "regime50", "volume_ratio"} <= set(moved)
+    bear = _history(spark, 20).withColumn("bm_px", F.lit(1.0))  # under every average: nothing can enter
+    assert "bm_px" in plan and rs.sweep_panel(bear, configs).count() == 0 < rs.sweep_panel(_history(spark, 20), configs).count()
+
+
+def test_a_reached_step_compares_as_its_value_does(spark):
+    values = [None, 0.5, 0.8, 0.9, 1.2, 7.0, float("nan"), float("inf"), -1.0]
+    steps = [0.8, 1.0, 1.2]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").withColumn("step", rs.reached("x", steps))
+    for step in steps:
+        assert rows.filter(F.coalesce(F.col("x") >= step, F.lit(False)) != F.coalesce(F.col("step") >= step, F.lit(False))).count() == 0
