@@ -49,3 +49,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def exists(spark: SparkSession, path: str) -> bool:
     return _system(spark, path).exists(_path(spark, path))
+
+
+def holds(spark: SparkSession, path: str, start: str) -> bool:
+    """Whether a folder is there and has an entry whose name begins like this; entries are looked at up to the first."""
+    if not exists(spark, path):
+        return False
+    entries = _system(spark, path).listStatusIterator(_path(spark, path))
+    while entries.hasNext():
+        if entries.next().getPath().getName().startswith(start):
+            return True
+    return False

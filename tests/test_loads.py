@@ -5,11 +5,15 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tapeframe.plans import load_all
+from tapeframe.plans.registry import QUERIES
 from tapeframe.runtime import new_path
 from tapeframe.sources import loads as ld
 from tapeframe.sources.files import read_pointer, replace_pointer
 from tapeframe.sources.layout import Clustered, publish_clustered
 
+load_all()
+
 
 def bundles(spark, n=60):
     rows = spark.range(n).select((F.col("id") % 3).alias("bundle"), "id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("v"))
@@ -78,6 +82,81 @@ def test_restore_goes_on_after_an_interruption(spark):
     assert once == again == sorted((-1 if r.ticker == "003" else r.id, r.ticker) for r in rows.collect())
 
 
+def many_keys(spark, n=2000):
+    """Four rows a ticker; the last ticker is null."""
+    return spark.range(4 * n).select(F.when(F.col("id") % n < n - 1, F.format_string("%05d", F.col("id") % n)).alias("ticker"), "id")
+
+
+def held(spark, path, rows):
+    return sorted((tuple(r) for r in ld.read_partitions(spark, path, rows.schema, ["ticker"]).collect()), key=str)
+
+
+def test_shared_partitions_are_restored_in_few_files(spark):
+    path, rows = new_path(spark, "shared"), many_keys(spark)
+    assert held(spark, path, rows) == []
+    ld.replace_partitions(rows.where("ticker % 2 = 0").withColumn("id", -F.col("id")), path, ["ticker"], shared=True)
+    ld.restore_partitions(rows.where("ticker % 6 = 1"), path, "ticker", shared=True)  # the run that was cut short
+    first = set(spark.read.parquet(path).inputFiles())
+    ld.restore_partitions(rows, path, "ticker", shared=True)
+    once, files = held(spark, path, rows), set(spark.read.parquet(path).inputFiles())
+    assert first < files and len(files) < 60
+    assert once == sorted(((r.ticker, -r.id if r.ticker and int(r.ticker) % 2 == 0 else r.id) for r in rows.collect()), key=str)
+    ld.restore_partitions(rows, path, "ticker", shared=True)
+    assert held(spark, path, rows) == once and set(spark.read.parquet(path).inputFiles()) == files
+
+
+def test_shared_partitions_of_an_interrupted_run_do_not_count(spark, monkeypatch):
+    path, rows = new_path(spark, "shared"), many_keys(spark, 50)
+    for before in ([], ["00003"]):
+        with monkeypatch.context() as broken:
+            broken.setattr(ld, "switch_partitions", lambda *_: (_ for _ in ()).throw(RuntimeError("executor lost")))
+            with pytest.raises(RuntimeError):
+                ld.restore_partitions(rows, path, "ticker", shared=True)
+        assert sorted({t for t, _ in held(spark, path, rows)}) == before
+        ld.restore_partitions(rows.where("ticker = '00003'"), path, "ticker", shared=True)
+    ld.restore_partitions(rows, path, "ticker", shared=True)
+    assert held(spark, path, rows) == sorted((tuple(r) for r in rows.collect()), key=str)
+
+
+def test_a_folder_without_partitions_is_restored(spark):
+    rows = many_keys(spark, 50)
+    path = new_path(spark, "empty")
+    ld.replace_partitions(rows.limit(0), path, ["ticker"])  # leaves a folder
+    assert ld.listed_partitions(spark, path, "ticker").count() == 0
+    ld.restore_partitions(rows, path, "ticker")
+    assert spark.read.schema(rows.schema).parquet(path).count() == rows.count()
+    shared = new_path(spark, "empty")
+    ld.replace_partitions(rows.limit(0), shared, ["ticker"], shared=True)
+    assert held(spark, shared, rows) == []
+    ld.restore_partitions(rows, shared, "ticker", shared=True)
+    assert len(held(spark, shared, rows)) == rows.count()
+
+
+def test_a_replaced_shared_partition_is_read_from_its_newest_run(spark):
+    path, rows = new_path(spark, "shared"), many_keys(spark, 50)
+    again = rows.where("(ticker = '00007' or ticker is null) and id < 100").withColumn("id", F.col("id") + 1000)
+    for part in (rows, again):
+        ld.replace_partitions(part, path, ["ticker"], shared=True)
+    ld.restore_partitions(rows, path, "ticker", shared=True)
+    want = [tuple(r) for r in rows.where("ticker <> '00007'").collect()] + [("00007", 1007), ("00007", 1057), (None, 1049), (None, 1099)]
+    assert held(spark, path, rows) == sorted(want, key=str)
+    plan = ld.shared_partitions(spark, path, rows.select("ticker").schema)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan and "ReadSchema: struct<ticker:string>" in plan and "id:bigint" not in plan
+
+
+def test_restored_tickers_share_their_files(spark, tmp_path):
+    """The query over 300 tickers of three sessions: odd ones keep their own values, even ones are restored, null among them."""
+    rows = spark.range(900).select((F.col("id") % 300).alias("k"), "id").select(
+        F.when(F.col("k") > 0, F.col("k")).alias("l_suppkey"), F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") / 300).cast("int")).alias("l_shipdate"),
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(2.0).alias("l_quantity"), (F.col("id") * 2.0).alias("l_extendedprice"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["restore_missing_only"](spark, str(tmp_path))
+    assert len(found.inputFiles()) < 60
+    name = lambda k: f"S{k}" if k else None
+    want = [(name(i % 300), dt.date(2024, 1, 1 + i // 300), float(-i if i % 2 else i)) for i in range(900)]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
 def test_existing_partitions_are_listed_not_read(spark):
     path = new_path(spark, "listed")
     rows = spark.range(100).select((F.col("id") % 4).cast("string").alias("ticker"), "id")
