@@ -128,10 +128,14 @@ class Block:
             maybe = np.flatnonzero(self.filter[made >> np.uint64(64 - FILTER_BITS)])
             low, high = np.searchsorted(self.keys, made[maybe], "left"), np.searchsorted(self.keys, made[maybe], "right")
             hit = low < high
-            for place, a, b, p in zip(maybe[hit].tolist(), low[hit].tolist(), high[hit].tolist(), prior[maybe[hit]]):
-                i, j = (np.searchsorted(self.prior[a:b], p, side) for side in ("left", "right")) if p != NO_WINDOW else (0, 0)
-                for first, last in ((a, a + i), (a + j, b)):
-                    found.update((o, place - at, place) for o, at in zip(self.owner[first:last].tolist(), self.at[first:last].tolist()))
+            starting: dict[tuple[int, int], list[tuple[int, int]]] = {}  # repeated tokens ask for the same window and prior again
+            for place, a, b, p in zip(maybe[hit].tolist(), low[hit].tolist(), high[hit].tolist(), prior[maybe[hit]].tolist()):
+                if (a, p) not in starting:
+                    own = np.uint64(p)
+                    i, j = (np.searchsorted(self.prior[a:b], own, side) for side in ("left", "right")) if own != NO_WINDOW else (0, 0)
+                    starting[a, p] = [pair for first, last in ((a, a + i), (a + j, b)) for pair in zip(self.owner[first:last].tolist(), self.at[first:last].tolist())]
+                for o, at in starting[a, p]:
+                    found.add((o, place - at, place))
         return found
 
     def matches(self, tokens: np.ndarray, hits: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
