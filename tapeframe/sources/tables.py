@@ -13,9 +13,15 @@ from tapeframe.sources.loads import content
 
 
 def write_ticker_files(rows: DataFrame, name: str, fmt: str = "csv") -> str:
-    """One folder per ticker, as landing jobs leave them."""
-    path = new_path(rows.sparkSession, name)
-    out = rows.withColumn("folder", F.col("ticker")).repartition("folder")
+    """One folder per ticker, as landing jobs leave them.
+
+    A folder costs far more than its rows, so the number of tasks is a given one: Spark would choose it by bytes, and one
+    task would write the folders of all tickers.
+    """
+    spark = rows.sparkSession
+    path = new_path(spark, name)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    out = rows.withColumn("folder", F.col("ticker")).repartition(tasks, "folder")
     # Tasks move their own files: the folder is new and nobody reads it yet, and the driver would move one folder after the other.
     writer = out.drop("ticker").write.partitionBy("folder").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     (writer.csv(path, header=True) if fmt == "csv" else writer.json(path))

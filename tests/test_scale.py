@@ -11,6 +11,7 @@ from tapeframe.functions.cleaning import number_token
 from tapeframe.operators import clean, ledger as lg, research as rs, signals as sg, textmatch as tm, windows as w
 from tapeframe.params import ON_FIXTURES
 from tapeframe.runtime import new_path, stage
+from tapeframe.sources import tables as tb
 from tapeframe.sources.driver import Market
 from tapeframe.streaming import jobs
 
@@ -188,3 +189,13 @@ def test_a_reached_step_compares_as_its_value_does(spark):
     rows = spark.createDataFrame([(v,) for v in values], "x double").withColumn("step", rs.reached("x", steps))
     for step in steps:
         assert rows.filter(F.coalesce(F.col("x") >= step, F.lit(False)) != F.coalesce(F.col("step") >= step, F.lit(False))).count() == 0
+
+
+def test_ticker_folders_are_written_by_many_tasks(spark):
+    rows = spark.createDataFrame([(f"s{n}", f"Company {n}") for n in range(40)], "ticker string, company_name string")
+    path = tb.write_ticker_files(rows, "metadata", "json")
+    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path).select("path").collect()]
+    assert len(files) == len({re.search("folder=([^/]+)/", f)[1] for f in files}) == 40
+    assert len({re.search(r"/part-(\d+)-", f)[1] for f in files}) >= 4
+    read = tb.last_per_ticker(tb.read_ticker_files(spark, path, "company_name string", "json", multi_line=True))
+    assert {(r.ticker, r.company_name) for r in read.collect()} == {(f"S{n}", f"Company {n}") for n in range(40)}
