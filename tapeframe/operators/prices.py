@@ -53,10 +53,15 @@ def revisions(existing: DataFrame, incoming: DataFrame, run_id: str, reason: str
     facts = (*OHLC, "volume", "source", "row_checksum", "source_checksum")
     old = existing.select(*KEY, *[F.col(n).alias(f"old_{n}") for n in facts])
     new = incoming.select(*KEY, *[F.col(n).alias(f"new_{n}") for n in facts], F.lit(True).alias("_in"))
-    out = old.join(new, KEY, "left" if include_removed else "inner")
+    return revised(old.join(new, KEY, "left" if include_removed else "inner"), run_id, reason)
+
+
+def revised(both: DataFrame, run_id: str, reason: str) -> DataFrame:
+    """The changed ones of bars with ``old_`` and ``new_`` values; ``_in`` is null where the bar is no longer there."""
+    facts = (*OHLC, "volume", "source", "row_checksum", "source_checksum")
     changed = F.col("_in").isNull() | ~(_same("old_row_checksum", "new_row_checksum")
                                         & _same("old_source_checksum", "new_source_checksum"))
-    return out.filter(changed).select(
+    return both.filter(changed).select(
         F.lit(run_id).alias("sync_run_id"), *KEY, F.lit(reason).alias("reason"),
         F.when(F.col("_in").isNull(), "deleted").otherwise("updated").alias("change_type"),
         *[f"old_{n}" for n in facts], *[f"new_{n}" for n in facts])
@@ -77,12 +82,50 @@ def apply_lineage(incoming: DataFrame, existing: DataFrame, fetched_at: str) ->
     """Unchanged bars keep time and version, changed ones go one version up, new ones start at 1."""
     old = existing.select(*KEY, F.col("row_checksum").alias("_rc"), F.col("source_checksum").alias("_sc"),
                           F.col("fetched_at").alias("_at"), F.col("data_version").alias("_v"))
-    out = incoming.join(old, KEY, "left")
+    return with_lineage(incoming.join(old, KEY, "left"), fetched_at).drop("_rc", "_sc", "_at", "_v")
+
+
+def with_lineage(both: DataFrame, fetched_at: str) -> DataFrame:
+    """Bars beside the checksums ``_rc`` and ``_sc``, time ``_at`` and version ``_v`` they had, null where they are new."""
     same = is_true((F.col("row_checksum") == F.col("_rc")) & _same("source_checksum", "_sc"))
-    return out.withColumns({
+    return both.withColumns({
         "fetched_at": F.when(same, F.col("_at")).otherwise(F.lit(fetched_at)),
         "data_version": F.when(same, F.col("_v")).otherwise(F.coalesce(F.col("_v") + 1, F.lit(1))).cast("long"),
-    }).drop("_rc", "_sc", "_at", "_v")
+    })
+
+
+class Meeting:
+    """A stored generation and a batch of bars, each with every key once, side by side after one move by the columns ``by``.
+
+    Joins for the bars that stay, their lineage and their revisions would move the stored ones once each.  ``by`` must be
+    the same for both bars of a key.  Batch bars with ``removed`` take theirs out of the table.
+    """
+
+    def __init__(self, stored: DataFrame, batch: DataFrame, by: dict[str, Column]):
+        self.columns = stored.columns
+        both = stored.withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+        both = both.withColumns(by).repartition(*by)
+        key = Window.partitionBy(*by, *KEY).orderBy("_new")
+        before = F.when(F.col("_new"), F.lag(F.struct(*self.columns)).over(key)).otherwise(F.struct(*self.columns))
+        self.rows = both.withColumns({"_old": before, "_last": F.lead("_new").over(key).isNull()}).filter("_last").drop("_last")
+
+    def upserted(self, fetched_at: str) -> DataFrame:
+        """What ``upsert`` makes of the bars that stay and of the batch with its lineage."""
+        old = {f"_{n}": F.col(f"_old.{c}") for n, c in (("rc", "row_checksum"), ("sc", "source_checksum"), ("at", "fetched_at"), ("v", "data_version"))}
+        lined = with_lineage(self.rows.withColumns(old), fetched_at)
+        given = F.col("_new") & ~F.col("removed") & F.col("close").isNotNull()
+        stays = F.col("_old").isNotNull() & ~(F.col("_new") & F.col("removed"))
+        out = lined.filter(given | stays).withColumn("_given", F.coalesce(given, F.lit(False)))
+        out = out.withColumns({n: F.when(F.col("_given"), F.col(n)).otherwise(F.col(f"_old.{n}")) for n in self.columns if n not in KEY})
+        return out.filter("ticker IS NOT NULL AND date IS NOT NULL AND close IS NOT NULL")
+
+    def revisions(self, run_id: str, reason: str) -> DataFrame:
+        """Old and new values of the stored bars that the batch changed or removed."""
+        facts = (*OHLC, "volume", "source", "row_checksum", "source_checksum")
+        met = self.rows.filter(F.col("_new") & F.col("_old").isNotNull() & F.col("ticker").isNotNull() & F.col("date").isNotNull())
+        here = F.when(~F.col("removed"), True)
+        return revised(met.select(*KEY, *[F.col(f"_old.{n}").alias(f"old_{n}") for n in facts],
+                                  *[F.when(here, F.col(n)).alias(f"new_{n}") for n in facts], here.alias("_in")), run_id, reason)
 
 
 def backfill_lineage(rows: DataFrame, fetched_at: str) -> DataFrame:

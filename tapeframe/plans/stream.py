@@ -57,7 +57,7 @@ def stream_upsert_lineage(spark, folder):
     """The stored generation and the next fetch arrive as two micro-batches."""
     _, old, new = generations(spark, folder)
     facts = ["ticker", "date", "open", "high", "low", "close", "volume", "source", "row_checksum", "source_checksum"]
-    feed = jobs.feed_of([old.select(*facts), new.select(*facts)], "bar_feed")
+    feed = jobs.feed_of([old.select(*facts), new.select(*facts)], "bar_feed", once=True)
     return jobs.upsert_lineage(feed, NEW_FETCH, "bars").rows().select("ticker", "date", "close", "data_version")
 
 
@@ -71,7 +71,7 @@ def stream_upsert_removals(spark, folder):
     facts = ["ticker", "date", "open", "high", "low", "close", "volume", "source", "row_checksum", "source_checksum"]
     bars = old.select(*facts, F.lit(False).alias("removed"))
     gone = old.filter(F.dayofmonth("date") % 5 == 0).select("ticker", "date", *[F.lit(None).cast(old.schema[n].dataType).alias(n) for n in facts[2:]], F.lit(True).alias("removed"))
-    table = jobs.upsert_lineage(jobs.feed_of([bars, gone], "bar_feed"), NEW_FETCH, "bars")
+    table = jobs.upsert_lineage(jobs.feed_of([bars, gone], "bar_feed", once=True), NEW_FETCH, "bars")
     held = table.rows().select(F.lit("table").alias("part"), "ticker", "date", "close")
     log = table.revisions().filter("change_type = 'deleted'").select(F.lit("log").alias("part"), "ticker", "date", F.col("old_close").alias("close"))
     return held.unionByName(log)

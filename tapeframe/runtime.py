@@ -13,6 +13,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,5 +87,22 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     """Write once, read many times; see the module text."""
     spark = frame.sparkSession
     path = new_path(spark, name)
-    frame.write.parquet(path, compression="zstd")
+    with shuffles_removed(spark):
+        frame.write.parquet(path, compression="zstd")
     return spark.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes in here go when their write ends.
+
+    Else they stay until the driver happens to collect its garbage, and the disk holds those of every step at once.  A
+    frame that is run again is planned again, so nothing needs them.  A write takes the setting when it starts.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)

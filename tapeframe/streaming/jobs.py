@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tapeframe.operators import prices as px
 from tapeframe.operators.ranking import first_per_key
-from tapeframe.runtime import new_path, stage
+from tapeframe.runtime import new_path, shuffles_removed
 from tapeframe.sources.files import exists, read_pointer, remove, replace_pointer
 from tapeframe.sources.tables import read_version
 
@@ -43,7 +43,8 @@ class Feed:
             for number, part in enumerate(self.slices):
                 if before is not None:
                     before(number)
-                part.write.mode("append").parquet(self.path)
+                with shuffles_removed(part.sparkSession):
+                    part.write.mode("append").parquet(self.path, compression="zstd")
                 for query in running:
                     query.processAllAvailable()
         finally:
@@ -51,11 +52,12 @@ class Feed:
                 query.stop()
 
 
-def feed_of(slices: list[DataFrame], name: str) -> Feed:
+def feed_of(slices: list[DataFrame], name: str, once: bool = False) -> Feed:
+    """``once`` is for feeds of a single query: the files of a slice go when the trigger after theirs begins."""
     spark, schema = slices[0].sparkSession, slices[0].schema
     path = new_path(spark, name)
     slices[0].limit(0).write.parquet(path)
-    return Feed(spark.readStream.schema(schema).parquet(path), path, slices)
+    return Feed(spark.readStream.schema(schema).option("cleanSource", "delete" if once else "off").parquet(path), path, slices)
 
 
 # Rows of one slice, and so of one trigger, if they are spread evenly over time.
@@ -384,6 +386,7 @@ class LineageTable:
     """
 
     LOG_PARTS = 8
+    FILE_ROWS = 100_000  # about, of a file of a month
 
     def __init__(self, spark: SparkSession, root: str, columns: StructType):
         self.spark, self.root = spark, root
@@ -412,19 +415,19 @@ class LineageTable:
         now = self.state()
         base = now if now["epoch"] < epoch else now["before"]
         marked = batch if "removed" in batch.columns else batch.withColumn("removed", F.lit(False))
-        order = [F.col("removed").asc(), *[F.col(c).desc_nulls_last() for c in marked.columns if c not in (*px.KEY, "removed")]]
-        fresh = first_per_key(marked.withColumn("removed", F.coalesce("removed", F.lit(False))), px.KEY, order)
-        fresh = stage(fresh.withColumn("month", month_of("date")), "batch")
-        touched = [str(r.month) for r in fresh.select("month").distinct().collect()]  # at most the months of the calendar
-        known = self.opened(base, touched)
-        gone, given = fresh.where("removed").select(*px.KEY), fresh.where("not removed").drop("removed", "month")
-        kept = known.join(gone, px.KEY, "left_anti")
-        merged = px.upsert(kept, px.apply_lineage(given, known, fetched_at)).select(*self.schema.fieldNames())
+        marked = marked.withColumn("removed", F.coalesce("removed", F.lit(False)))
+        keys = marked.groupBy(*px.KEY).agg(F.count("*").alias("n")).groupBy(month_of("date").alias("month")).agg(F.count("*").alias("n"), F.max("n").alias("copies"))
+        with shuffles_removed(keys.sparkSession):
+            touched = {str(r.month): r for r in keys.collect()}  # at most the months of the calendar
+        if any(r.copies > 1 for r in touched.values()):
+            order = [F.col("removed").asc(), *[F.col(c).desc_nulls_last() for c in marked.columns if c not in (*px.KEY, "removed")]]
+            marked = first_per_key(marked, px.KEY, order)
+        known = self.opened(base, list(touched))
+        met = px.Meeting(known, marked, self.placed(known, touched))
         path = f"{self.root}/table/epoch={epoch}"
-        merged.withColumn("month", month_of("date")).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path, compression="zstd")
-        changes = px.revisions(known, given, f"epoch-{epoch}", "stream").unionByName(
-            px.revisions(known.join(gone, px.KEY, "left_semi"), self.empty(), f"epoch-{epoch}", "stream", include_removed=True))
-        changes.write.mode("overwrite").parquet(f"{self.root}/revisions/{epoch}", compression="zstd")
+        self.write(met.upserted(fetched_at).select(*self.schema.fieldNames(), "month"), path, "month")
+        changed = met.revisions(f"epoch-{epoch}", "stream") if set(base["months"]) & set(touched) else self.spark.createDataFrame([], self.log_schema)
+        self.write(changed, f"{self.root}/revisions/{epoch}")
         months = {m: e for m, e in base["months"].items() if m not in touched} | {m: epoch for m in touched if exists(self.spark, f"{path}/month={m}")}
         log = self.folded([*base["log"], str(epoch)], epoch)
         before = {"epoch": base["epoch"], "months": base["months"], "log": base["log"]}
@@ -433,11 +436,21 @@ class LineageTable:
         if str(epoch) not in log:  # it is in the folded part
             remove(self.spark, f"{self.root}/revisions/{epoch}")
 
+    def placed(self, known: DataFrame, touched: dict[str, Row]) -> dict[str, Column]:
+        """Where a bar goes: to its month, and in it to one of as many places as the largest month has files."""
+        held = {str(r.month): r.n for r in known.groupBy(month_of("date").alias("month")).agg(F.count("*").alias("n")).collect()}
+        most = max((held.get(m, 0) + r.n for m, r in touched.items()), default=0)
+        return {"month": month_of("date"), "_place": F.pmod(F.hash("ticker"), F.lit(most // self.FILE_ROWS + 1))}
+
+    def write(self, rows: DataFrame, path: str, *by: str) -> None:
+        with shuffles_removed(rows.sparkSession):
+            rows.write.mode("overwrite").partitionBy(*by).parquet(path, compression="zstd")
+
     def folded(self, parts: list[str], epoch: int) -> list[str]:
         if len(parts) < self.LOG_PARTS:
             return parts
         whole = self.spark.read.schema(self.log_schema).parquet(*[f"{self.root}/revisions/{p}" for p in parts])
-        whole.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/revisions/upto-{epoch}", compression="zstd")
+        self.write(whole.hint("rebalance"), f"{self.root}/revisions/upto-{epoch}")
         return [f"upto-{epoch}"]
 
     def vacuum(self, oldest: dict | None, months: dict, log: list[str], before: dict) -> None:

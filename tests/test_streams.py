@@ -2,12 +2,15 @@
 
 import datetime as dt
 import os
+import random
+import time
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tapeframe.operators import prices as px
 from tapeframe.runtime import new_path
 from tapeframe.sources import tables as tb
 from tapeframe.streaming import jobs
@@ -72,6 +75,46 @@ def test_many_epochs_leave_a_bounded_number_of_files(spark):
     assert log.where("change_type = 'deleted'").count() > 0 and log.select("sync_run_id").distinct().count() > 10
 
 
+def test_bars_that_meet_once_become_what_joins_make_of_them(spark):
+    rng, day = random.Random(3), lambda n: dt.date(2024, 1 + n % 3, 1 + n % 7)
+    sums = lambda: rng.choice([None, "a", "b"])
+    stored = spark.createDataFrame([(f"S{n}", day(n), 1.0, 2.0, 0.5, 1.5, 9.0, rng.choice(["DNSE", "x", None]), sums(), sums(), rng.choice(["t0", None]), rng.choice([1, 4, None]))
+                                    for n in range(300)], BAR + ", fetched_at string, data_version long")
+    batch = spark.createDataFrame([(f"S{n}" if n % 50 else None, day(n) if n % 41 else None, 1.0, 2.0, 0.5, rng.choice([1.5, 7.0, None]), 9.0, "DNSE", sums(), sums(), rng.random() < 0.3)
+                                   for n in range(150, 450)], BAR + ", removed boolean").dropDuplicates(px.KEY)
+    batch = spark.createDataFrame(batch.collect(), batch.schema)
+    met = px.Meeting(stored, batch, {"month": jobs.month_of("date"), "_place": F.pmod(F.hash("ticker"), F.lit(2))})
+    gone, given = batch.filter("removed").select(*px.KEY), batch.filter("NOT removed").drop("removed")
+    table = px.upsert(stored.join(gone, px.KEY, "left_anti"), px.apply_lineage(given, stored, "t1"))
+    log = px.revisions(stored, given, "r", "w").unionByName(px.revisions(stored.join(gone, px.KEY, "left_semi"), stored.limit(0), "r", "w", include_removed=True))
+    plain = lambda frame, columns: sorted((tuple(r) for r in frame.select(*columns).collect()), key=str)
+    assert plain(met.upserted("t1"), stored.columns) == plain(table, stored.columns) != []
+    assert plain(met.revisions("r", "w"), log.columns) == plain(log, log.columns)
+    assert {r.change_type for r in log.collect()} == {"updated", "deleted"}
+    assert met.upserted("t1")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_an_upsert_keeps_neither_shuffles_nor_slices_it_took_in(spark):
+    def shuffled():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    def gone_after(left):
+        until = time.time() + 20
+        while left() and time.time() < until:
+            time.sleep(0.2)
+        return not left()
+
+    frame = lambda n: spark.createDataFrame([bar(f"S{i}", dt.date(2024, 1 + i % 3, 5), float(n)) for i in range(60)], BAR)
+    before = shuffled()
+    feed = jobs.feed_of([frame(1), frame(2)], "bar_feed", once=True)
+    table = jobs.upsert_lineage(feed, "t1", "x")
+    assert gone_after(lambda: shuffled() - before)
+    assert table.rows().filter("close = 2 AND data_version = 2").count() == table.revisions().count() == 60
+    parts = lambda: len({r.close for r in spark.read.schema(BAR).parquet(feed.path).collect()})
+    assert parts() == 1
+
+
 def decisions(events, limit, window):
     state, out = {}, {}
     for subject, at, event in sorted(events):
