@@ -191,6 +191,24 @@ def contenders(rows: DataFrame, configs: list[dict], most: int) -> DataFrame:
     return rows.filter(F.col("_ahead") < most).drop("_alike", "_step", "_ahead")
 
 
+BESIDE = ("px1", "px2", "prev_vol", "prev_adv")  # what a sweep reads of a ticker's other bars
+GATED = ("px", "bm_px", *[f"bm_ma{ma}" for ma in REGIMES], "r3", "r6", "r12", "rs6", "ma50", "ma200", "high_close20", "volume_ratio",
+         "avg_trading_value20", "effective_fa", "fa_eligible", "fill")
+
+
+def with_neighbours(history: DataFrame, fill: str = "px") -> DataFrame:
+    """The bars that have the returns and averages every configuration asks for, each with what a sweep reads of its
+    ticker's other bars; no others and no other columns.
+
+    Sweeps over one history need it once: they don't move bars to their ticker again, and far fewer are kept for them.
+    """
+    own = F.lead(fill, 1).over(by_date()), F.lead(fill, 2).over(by_date())
+    rows = history.withColumns({"px1": own[0], "px2": own[1], "prev_vol": F.lag("volatility20").over(by_date()),
+                                "prev_adv": F.lag("avg_trading_value20").over(by_date())})
+    rows = rows.filter(F.col("r12").isNotNull() & F.col("ma200").isNotNull())
+    return rows.select("ticker", "date", *[n for n in dict.fromkeys([*GATED, fill]) if n in rows.columns], *BESIDE)
+
+
 def sweep_panel(history: DataFrame, configs: list[dict], fill: str = "px", most: int | None = None) -> DataFrame:
     """Every bar under every configuration that would enter it; with ``most`` only those among which the ``most`` best
     of each configuration and session are.
@@ -198,15 +216,13 @@ def sweep_panel(history: DataFrame, configs: list[dict], fill: str = "px", most:
     Gates that no configuration can change come first, and what the configurations ask of a bar is kept as conditions
     and thresholds reached, not as the prices and averages behind them.  A bar is scored once for each way of scoring,
     and only where that reaches the least entry score the configurations of that group are looked at, so only entering
-    pairs go any further.  ``fill`` names the price that fills orders.
+    pairs go any further.  ``fill`` names the price that fills orders; ``history`` may come from ``with_neighbours``.
     """
     c = F.col
     core = (c("r12").isNotNull() & c("ma200").isNotNull() & c("effective_fa").isNotNull() & c("fa_eligible")
             & (c("avg_trading_value20") >= min(k["liquidity"] for k in configs))
             & functools.reduce(lambda a, b: a | b, [regime_holds(ma) for ma in sorted({regime_of(k) for k in configs})]))
-    own = F.lead(fill, 1).over(by_date()), F.lead(fill, 2).over(by_date())
-    rows = history.withColumns({"px1": own[0], "px2": own[1], "prev_vol": F.lag("volatility20").over(by_date()),
-                                "prev_adv": F.lag("avg_trading_value20").over(by_date())}).filter(core)
+    rows = (history if set(BESIDE) <= set(history.columns) else with_neighbours(history, fill)).filter(core)
     fixed = components(0.0)
     rows = rows.withColumn("strength", selection_strength("r3", "r6", "r12", "rs6")).select(
         "ticker", "date", "effective_fa", "strength", "px", "px1", "px2", "prev_vol", "prev_adv",

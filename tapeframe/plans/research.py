@@ -526,15 +526,18 @@ UNION ALL SELECT 'all_passed', bool_and(passed) FROM gate_row, LATERAL (SELECT *
 def promotion_gates(spark, folder):
     """The thirteen checks a training winner must pass against the baseline."""
     market = Market(spark, folder)
-    features = stage(history(market), "features")
-    hist = stage(research_history(market, features=features), "history")
+    features = rs.with_neighbours(history(market).withColumn("fill", damped(F.col("px"))), "fill")
+    known = {"effective_fa": "known_fa", "fa_eligible": "known_eligible"}  # in time; the others are of statements that come later
+    later = research_history(market, ON_FIXTURES.reporting_lag_days + 90, research_history(market, features=features).withColumnsRenamed(known))
+    later = stage(later, "history")
+    hist = later.drop(*known).withColumnsRenamed({new: name for name, new in known.items()})
     calendar = calendar_of(market)
     normal = stage(rs.sweep(hist, calendar, GRID, fill="fill"), "daily")
     winner = stage(rs.ranked(objective_of(market, normal)).filter("cutoff = 2001 AND rank = 1").select("config"), "winner")
     chosen = winner.first()  # one configuration, whose neighbours are swept next
     chosen = GRID[chosen["config"]] if chosen else GRID[0]
     sel = F.lit(chosen["config"])
-    late = stage(rs.sweep(research_history(market, ON_FIXTURES.reporting_lag_days + 90, features), calendar, GRID, fill="fill"), "late")
+    late = stage(rs.sweep(later, calendar, GRID, fill="fill"), "late")
     twice = rs.at_cost(normal, EXTRA_COST)
     rows = normal.withColumn("scenario", F.lit("normal")).unionByName(twice.withColumn("scenario", F.lit("double_cost"))).unionByName(
         late.withColumn("scenario", F.lit("fa_lag_plus90")))

@@ -183,6 +183,18 @@ def test_bars_move_to_their_session_as_conditions(spark):
     assert "bm_px" in plan and rs.sweep_panel(bear, configs).count() == 0 < rs.sweep_panel(_history(spark, 20), configs).count()
 
 
+def test_bars_with_their_neighbours_are_fewer_and_stay_where_they_are(spark):
+    configs = rs.grid(ON_FIXTURES.with_(entry_score=20.0), {"minimum_volume_ratio": (0.8, 1.2), "regime_ma": (50, 100), "minimum_trading_value": (5e4, 1e5)}, 8)
+    history = _history(spark, 300).withColumn("r12", F.when(~F.col("ticker").endswith("7"), F.col("r12")))
+    history = spark.createDataFrame(history.collect(), history.schema)
+    kept = stage(rs.with_neighbours(history), "history")
+    assert 0 < kept.count() == history.filter("r12 IS NOT NULL").count() < history.count() and not {"ma20", "volatility20"} & set(kept.columns)
+    once, anew = (rs.sweep_panel(rows, configs, most=4) for rows in (kept, history))
+    assert sorted(map(str, once.collect())) == sorted(map(str, anew.collect())) != []
+    once, anew = (frame._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(ticker") for frame in (once, anew))
+    assert once == 0 < anew
+
+
 def test_a_reached_step_compares_as_its_value_does(spark):
     values = [None, 0.5, 0.8, 0.9, 1.2, 7.0, float("nan"), float("inf"), -1.0]
     steps = [0.8, 1.0, 1.2]
