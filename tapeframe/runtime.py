@@ -94,10 +94,11 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the writes in here go when their write ends.
+    """Shuffle files of the writes in here, and of frames made and collected in here, go when they end.
 
-    Else they stay until the driver happens to collect its garbage, and the disk holds those of every step at once.  A
-    frame that is run again is planned again, so nothing needs them.  A write takes the setting when it starts.
+    Else they stay until the driver happens to collect its garbage, and the disk holds those of every step at once.
+    Every write is planned anew, so nothing needs them later.  A write takes the setting when it starts, a frame that is
+    collected takes it when it is made.
     """
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)

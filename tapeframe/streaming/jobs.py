@@ -416,8 +416,8 @@ class LineageTable:
         base = now if now["epoch"] < epoch else now["before"]
         marked = batch if "removed" in batch.columns else batch.withColumn("removed", F.lit(False))
         marked = marked.withColumn("removed", F.coalesce("removed", F.lit(False)))
-        keys = marked.groupBy(*px.KEY).agg(F.count("*").alias("n")).groupBy(month_of("date").alias("month")).agg(F.count("*").alias("n"), F.max("n").alias("copies"))
-        with shuffles_removed(keys.sparkSession):
+        with shuffles_removed(marked.sparkSession):
+            keys = marked.groupBy(*px.KEY).agg(F.count("*").alias("n")).groupBy(month_of("date").alias("month")).agg(F.count("*").alias("n"), F.max("n").alias("copies"))
             touched = {str(r.month): r for r in keys.collect()}  # at most the months of the calendar
         if any(r.copies > 1 for r in touched.values()):
             order = [F.col("removed").asc(), *[F.col(c).desc_nulls_last() for c in marked.columns if c not in (*px.KEY, "removed")]]
@@ -438,7 +438,8 @@ class LineageTable:
 
     def placed(self, known: DataFrame, touched: dict[str, Row]) -> dict[str, Column]:
         """Where a bar goes: to its month, and in it to one of as many places as the largest month has files."""
-        held = {str(r.month): r.n for r in known.groupBy(month_of("date").alias("month")).agg(F.count("*").alias("n")).collect()}
+        with shuffles_removed(known.sparkSession):
+            held = {str(r.month): r.n for r in known.groupBy(month_of("date").alias("month")).agg(F.count("*").alias("n")).collect()}
         most = max((held.get(m, 0) + r.n for m, r in touched.items()), default=0)
         return {"month": month_of("date"), "_place": F.pmod(F.hash("ticker"), F.lit(most // self.FILE_ROWS + 1))}
 
